@@ -10,7 +10,9 @@ windows of powers of two, which need no padding either.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode_unseen, load_tokenizer, staged, tokenizer_path
+from .common import Layered, encode_unseen, load_tokenizer, staged, tokenizer_path
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -28,15 +30,24 @@ class WordEncoder:
     """Token ids of texts, four bytes each, by way of distinct words.
 
     For vocabularies whose pre-tokenizer drops white space, words between
-    spaces and line feeds encode alone as they do in the text. The memory of
-    words is emptied beyond ``most`` entries.
+    spaces and line feeds encode alone as they do in the text. The first
+    ``most`` distinct words are remembered, those beyond only for their group.
     """
 
-    def __init__(self, path: str, end: int, most: int = 500_000):
+    _made: dict[tuple, WordEncoder] = {}
+
+    def __init__(self, path: str, end: int, most: int = 700_000):
         self.tok, self.most = load_tokenizer(path), most
         self.end = end.to_bytes(4, "little")
         self.words: dict[str, bytes] = {"": b""}
 
+    @classmethod
+    def shared(cls, path: str, end: int) -> WordEncoder:
+        """The one of this Python worker, which keeps its words from task to task."""
+        if (path, end) not in cls._made:
+            cls._made[path, end] = cls(path, end)
+        return cls._made[path, end]
+
     def encode(self, texts: list[str], budget: int = 1 << 21) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
@@ -45,12 +56,22 @@ class WordEncoder:
                 held += len(texts[at])
                 group.append(texts[at].replace("\n", " ").split(" "))
                 at += 1
-            if len(self.words) > self.most:
-                self.words = {"": b""}
-            for word, ids in encode_unseen(self.tok, list(set().union(*group) - self.words.keys())):
-                self.words[word] = b"".join(i.to_bytes(4, "little") for i in ids)
+            known = self.words
+            fresh = {word: pack_ids(ids) for word, ids in encode_unseen(self.tok, list(set().union(*group).difference(known)))}
+            if len(known) + len(fresh) <= self.most:
+                known.update(fresh)
+            elif fresh:
+                known = Layered(known, fresh)
             for words in group:
-                yield b"".join(map(self.words.__getitem__, words)) + self.end
+                yield b"".join(map(known.__getitem__, words)) + self.end
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Unsigned little-endian four-byte integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 class Packer:
@@ -151,7 +172,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end: int = 2,
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
-            coder = WordEncoder(path, end)
+            coder = WordEncoder.shared(path, end)
             packer = Packer(size, windows, TaskContext.get().partitionId() << 32)
             for pdf in batches:
                 ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"]]
