@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .components import components
+from .words import mixed, shingle_hashes
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
 
@@ -187,12 +188,133 @@ def near_components(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 3, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: that of its smallest id.
+def signatures(texts: list[bytes], shingle: int = 5, words: int = 8) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of distinct shingles, and ``words`` 64-bit SimHash fingerprints of them in one string."""
+    h, owner, _ = shingle_hashes(texts, shingle)
+    seeds = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    sizes, out = np.zeros(len(texts), np.int64), []
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        own = np.unique(h[a:b])
+        sizes[i] = len(own)
+        ones = np.zeros(64 * words, np.int64)
+        for at in range(0, len(own), 8192):
+            part = mixed(own[at : at + 8192, None] ^ seeds[None, :]).view(np.uint8)
+            ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(own)).tobytes())
+    return sizes, out
 
-    Of repeated rows of that id one stays. Rows with a null id stay only if
-    their component has no other.
+
+#: About one standard deviation of the similarity that 512 bits estimate at 0.8; taken off so that pairs above the threshold aren't lost to it.
+_MARGIN = 0.03
+
+
+def _similar(sizes: np.ndarray, sigs: np.ndarray, refs: np.ndarray, least: float, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs with an estimated similarity of ``least`` or more.
+
+    Rows stand by size, as a pair's sizes differ by no more than the factor
+    ``least``. Two sets so alike differ in an angle, so in a number of bits,
+    that bounds how far their pivot distances may lie apart.
+    """
+    n, bits = len(sizes), 64 * sigs.shape[1]
+    order = np.argsort(sizes, kind="stable")
+    sizes, sigs = sizes[order], sigs[order]
+    table = np.stack([np.bitwise_count(sigs ^ r).sum(axis=1, dtype=np.int32) for r in refs], axis=1)
+    radius = bits * np.arccos(2 * least / (1 + least)) / np.pi
+    upto = np.searchsorted(sizes, np.floor(sizes / least), side="right")
+    spans = upto - np.arange(n) - 1
+    root, at = np.arange(n), 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(np.cumsum(spans[at:]), block, side="right")) + at)
+        left = np.repeat(np.arange(at, end), spans[at:end])
+        first = np.concatenate([[0], np.cumsum(spans[at:end])[:-1]])
+        right = np.arange(len(left)) - np.repeat(first, spans[at:end]) + left + 1
+        for k in range(table.shape[1]):
+            near = np.abs(table[left, k] - table[right, k]) <= radius
+            left, right = left[near], right[near]
+        apart = np.zeros(len(left), np.int32)
+        for w in range(sigs.shape[1]):
+            apart += np.bitwise_count(sigs[left, w] ^ sigs[right, w])
+            if w == 1 and sigs.shape[1] > 2:  # of 128 bits, those far beyond the radius can't come back
+                near = apart <= radius / sigs.shape[1] * 2 + 24
+                left, right, apart = left[near], right[near], apart[near]
+        shared = np.cos(np.pi * apart / bits) * np.sqrt(sizes[left] * sizes[right])
+        near = shared >= (least - _MARGIN) * (sizes[left] + sizes[right] - shared)
+        if near.any():
+            root = _roots(n, np.concatenate([np.arange(n), left[near]]), np.concatenate([root, right[near]]))
+        at = end
+    child = np.flatnonzero(root != np.arange(n))
+    return order[child], order[root[child]]
+
+
+def similar_components(docs: DataFrame, least: float = 0.8, shingle: int = 5, words: int = 8, pivots: int = 4, seed: int = 5) -> DataFrame:
+    """``doc_id, component_id`` over links of an estimated similarity of ``least`` or more.
+
+    At such a similarity two 64-bit fingerprints differ in some ten bits, too
+    many to enumerate, so texts get ``words`` fingerprints of their
+    ``shingle``-word shingles. Rows that agree in any sixteenth-bit band of
+    any of them meet in a bucket; there pivot distances and sizes discard
+    pairs, and the angle of all fingerprints verifies the Jaccard similarity
+    of the rest. Nulls, empty texts and repeated rows as for
+    ``near_components``.
+    """
+    spark = docs.sparkSession
+    refs = np.random.default_rng(seed).integers(0, 1 << 64, (pivots, words), dtype=np.uint64)
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                n, sigs = signatures([t.encode() for t in part["text"]], shingle, words)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "sig": sigs})
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 2048):
+                part = pdf.iloc[a : a + 2048]
+                bands = np.frombuffer(b"".join(part["sig"]), "<u2").reshape(-1, 4 * words)
+                for i in range(bands.shape[1]):
+                    yield pd.DataFrame({"bucket": bands[:, i].astype(np.int32) | np.int32(i << 16), "key": part["key"], "n": part["n"], "sig": part["sig"]})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def links(pdf: pd.DataFrame) -> pd.DataFrame:
+            sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(-1, words)
+            key = pdf["key"].to_numpy()
+            a, b = _similar(pdf["n"].to_numpy(), sigs, refs, least)
+            return pd.DataFrame({"a": key[a], "b": key[b]})
+
+        for pdf in batches:
+            pdf = pd.concat([*held, pdf]) if held else pdf
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(pdf["bucket"].to_numpy())) + 1])
+            sizes = np.diff(np.concatenate([edges, [len(pdf)]]))
+            out = [links(pdf.iloc[i : i + n]) for i, n in zip(edges[:-1].tolist(), sizes[:-1].tolist(), strict=True) if n > 1]
+            held = [pdf.iloc[edges[-1] :]]
+            if out:
+                yield pd.concat(out)
+        if held and len(held[0]) > 1:
+            yield links(held[0])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    prints = staged(rows.mapInPandas(sign, "doc_id long, n long, sig binary").withColumn("key", F.xxhash64("n", "sig")), "simhash-signatures")
+    distinct = prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    distinct = staged(distinct, "simhash-distinct")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = distinct.select("key", "n", "sig").mapInPandas(spread, "bucket int, key long, n long, sig binary")
+    root = components(met.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(solve, "a long, b long").distinct())
+    known = distinct.join(root, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    least_id = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = known.select("key", "root").join(least_id, "root").select("key", "component_id")
+    return prints.join(named, "key").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their component of similar texts: that of its smallest id.
+
+    Of repeated rows of that id one stays. Rows with a null id stay, one of
+    them, only if their component has no other.
     """
-    picked = near_components(docs, radius, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    picked = similar_components(docs, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.join(picked, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return rows.dropDuplicates(["doc_id"])
