@@ -64,18 +64,6 @@ def load_tokenizer(path: str):
     return tok
 
 
-class Layered(dict):
-    """``first``, and ``second`` for what it lacks."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __getitem__(self, key):
-        found = self.first.get(key)
-        return super().__getitem__(key) if found is None else found
-
-
 def encode_unseen(tok, units: list[str], budget: int = 1 << 16):
     """Encode distinct units in batches of about ``budget`` characters, longest first.
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Layered, encode_unseen, load_tokenizer, staged, tokenizer_path
+from .common import encode_unseen, load_tokenizer, staged, tokenizer_path
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -36,7 +36,7 @@ class WordEncoder:
 
     _made: dict[tuple, WordEncoder] = {}
 
-    def __init__(self, path: str, end: int, most: int = 700_000):
+    def __init__(self, path: str, end: int, most: int = 900_000):
         self.tok, self.most = load_tokenizer(path), most
         self.end = end.to_bytes(4, "little")
         self.words: dict[str, bytes] = {"": b""}
@@ -56,14 +56,14 @@ class WordEncoder:
                 held += len(texts[at])
                 group.append(texts[at].replace("\n", " ").split(" "))
                 at += 1
-            known = self.words
-            fresh = {word: pack_ids(ids) for word, ids in encode_unseen(self.tok, list(set().union(*group).difference(known)))}
-            if len(known) + len(fresh) <= self.most:
-                known.update(fresh)
-            elif fresh:
-                known = Layered(known, fresh)
-            for words in group:
-                yield b"".join(map(known.__getitem__, words)) + self.end
+            full = len(self.words) > self.most
+            fresh = {word: pack_ids(ids) for word, ids in encode_unseen(self.tok, list(set().union(*group).difference(self.words)))}
+            self.words.update(fresh)
+            coded = [b"".join(map(self.words.__getitem__, words)) + self.end for words in group]
+            if full:
+                for word in fresh:
+                    del self.words[word]
+            yield from coded
 
 
 def pack_ids(ids: list[int]) -> bytes:
