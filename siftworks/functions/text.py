@@ -63,7 +63,7 @@ def json_candidate(text: Column) -> Column:
     last = F.length(text) - F.locate("}", F.reverse(text)) + 1
     last2 = F.length(text) - F.locate("]", F.reverse(text)) + 1
     end = F.when(closer == "}", last).otherwise(last2)
-    cut = F.when((first > 0) & (end > first) & (F.locate(closer, text) > 0), F.substring(text, first, end - first + 1))
+    cut = F.when((first > 0) & (end > first) & text.contains(closer), F.substring(text, first, end - first + 1))
     return F.when(fenced != "", F.trim(fenced)).otherwise(cut)
 
 
