@@ -17,6 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     the local minima leave in each round. Tables of a round are written to
     the shared folder; nothing passes the driver but counts.
     """
+    edges = staged(edges.select("a", "b"), "cc-links")
     nodes = staged(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "cc-nodes")
     label = nodes.select("node", F.col("node").alias("root"))
     left = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -217,15 +219,24 @@ def train(texts: list[str], langs: list[str], slots: int = 1 << 16, length: int
 
 
 def training_sample(docs: DataFrame, rows: int = 3000, chars: int = 4000, folds: int = 5) -> tuple[list[str], list[str]]:
-    """At most ``rows`` labelled texts whose ``crc32(doc_id) % folds`` is not 0, cut to ``chars`` for fitting only."""
+    """At most ``rows`` labelled texts whose ``crc32(doc_id) % folds`` is not 0, cut to ``chars`` for fitting only.
+
+    A first pass counts such rows; the second takes those whose hash falls
+    under the share that gives a fifth more than ``rows``, so a task hands
+    over its share of the sample and no more.
+    """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     some = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold != 0))
-    some = some.select(F.substring("text", 1, chars).alias("text"), "lang", F.xxhash64("doc_id").alias("_h"), "doc_id")
+    spread = 1 << 30
+    total = some.count()
+    below = spread if total <= 2 * rows else int(spread * min(1.0, (1.2 * rows + 50) / total))
+    h = F.xxhash64("doc_id")
+    some = some.filter(F.pmod(h, F.lit(spread)) < below).select(F.substring("text", 1, chars).alias("text"), "lang", F.pmod(h, F.lit(spread)).alias("_h"), "doc_id")
     got = some.orderBy("_h", "doc_id", "lang", "text").limit(rows).collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
-def _predict_series(batches: Iterator[pd.Series], model: Crf, most_words: int = 400_000, group: int = 150_000) -> Iterator[pd.DataFrame]:
+def _predict_series(batches: Iterator[pd.Series], model: Crf, most_words: int = 250_000, group: int = 100_000) -> Iterator[pd.DataFrame]:
     """Predictions for batches of texts; scores of words are remembered, up to ``most_words``."""
     kinds = len(model.labels)
     known: dict[str, int] = {}
@@ -272,7 +283,7 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
     def said(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from _predict_series(texts, model)
 
-    rows = docs.withColumn("_said", said(F.coalesce(F.col("text"), F.lit(""))))
+    rows = bounded_batches(docs).withColumn("_said", said(F.coalesce(F.col("text"), F.lit(""))))
     return rows.withColumns({"_lang": F.col("_said.lang_pred"), "_score": F.col("_said.score")}).drop("_said")
 
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import bounded_batches, partitions
 from .words import shingle_hashes
 
 class OnePermutation:
@@ -77,7 +77,7 @@ def fingerprint_documents(docs: DataFrame, bins: int = 256, shingle: int = 5, id
                 part = pdf.iloc[at : at + 512]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "fingerprint": [s.hex() for s in maker.signatures([t.encode() for t in part["text"]])]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, fingerprint string")
 
 
@@ -94,7 +94,7 @@ def compare_with_edits(docs: DataFrame, bins: int = 256, shingle: int = 5, id_co
     """
     spark = docs.sparkSession
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
-    rows = docs.select(ident.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(ident.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = partitions(spark)
     cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
     cuts = np.array(sorted(set(cuts or []), reverse=True), np.int64)

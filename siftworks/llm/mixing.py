@@ -112,14 +112,15 @@ def mixed_texts(docs: DataFrame, most: int = 3, **options) -> DataFrame:
     the white space that follows them; a document taken whole keeps its text
     as it is. ``n_chars``, if present, is that of the new text.
     """
-    parts = f"filter(transform(_blocks, b -> if(b.times >= _turn, b, null)), b -> b is not null)"
-    rows = mix_plan(docs, most=most, **options).filter("taken > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    rows = rows.withColumn("_part", F.expr(parts)).filter(F.size("_part") > 0)
-    words = f"regexp_extract_all(text, '{WORD}[\\\\x20\\\\x09-\\\\x0D]*', 0)".replace("\\x20\\x09-\\x0D]+", "\\\\x20\\\\x09-\\\\x0D]+", 1)
-    piece = "array_join(transform(_part, b -> array_join(slice(_words, cast(b.first + 1 as int), cast(b.words as int)), '')), '')"
-    full = F.size("_part") == F.size("_blocks")
-    rows = rows.withColumn("_words", F.when(full, F.array().cast("array<string>")).otherwise(F.expr(words)))
-    rows = rows.withColumn("text", F.when(full, F.col("text")).otherwise(F.expr(piece)))
+    rows = mix_plan(docs, most=most, **options).filter("taken > 0")
+    rows = rows.withColumn("_most", F.expr("array_max(transform(_blocks, b -> b.times))")).withColumn("_least", F.expr("array_min(transform(_blocks, b -> b.times))"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    # the words are cut once a document, before the generator, and only where some are left out
+    rows = rows.withColumn("_words", F.when(F.col("_most") != F.col("_least"), words))
+    rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_most").cast("int"))))
+    part = "filter(_blocks, b -> b.times >= _turn)"
+    piece = f"array_join(transform({part}, b -> array_join(slice(_words, cast(b.first + 1 as int), cast(b.words as int)), '')), '')"
+    rows = rows.withColumn("text", F.when(F.col("_turn") <= F.col("_least"), F.col("text")).otherwise(F.expr(piece)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode_unseen, load_tokenizer, staged, tokenizer_path
+from .common import bounded_batches, encode_unseen, load_tokenizer, staged, tokenizer_path
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -36,7 +36,7 @@ class WordEncoder:
 
     _made: dict[tuple, WordEncoder] = {}
 
-    def __init__(self, path: str, end: int, most: int = 900_000):
+    def __init__(self, path: str, end: int, most: int = 400_000):
         self.tok, self.most = load_tokenizer(path), most
         self.end = end.to_bytes(4, "little")
         self.words: dict[str, bytes] = {"": b""}
@@ -195,7 +195,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end: int = 2,
 
         return run
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(1, rows.rdd.getNumPartitions())
     packed = staged(rows.mapInPandas(first, _SCHEMA), "packing-0")
     done, rest, level = [packed.filter("ids is null")], packed.filter("ids is not null"), 0

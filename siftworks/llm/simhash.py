@@ -23,13 +23,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, staged
 from .components import components
 from .words import mixed, shingle_hashes
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
 
 
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many of the rows (of bytes) have each bit set; sums of 255 rows fit in a byte."""
+    ones = np.zeros(8 * rows.shape[1], np.int64)
+    for at in range(0, len(rows), 255):
+        ones += np.add.reduce(np.unpackbits(rows[at : at + 255], axis=1), axis=0, dtype=np.uint8)
+    return ones
+
+
 def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """The 64-bit fingerprint of a text; 0 where it has no words."""
     words = [w for w in text.translate(_FOLD).split(b" ") if w]
@@ -43,10 +51,7 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(words) - shingle + 1
     hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=False)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    ones = bit_counts(hashes.astype(">u8").view(np.uint8).reshape(-1, 8))
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -58,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
             fps = np.fromiter((simhash(t.encode(), shingle, seed) for t in pdf["text"]), np.uint64, len(pdf))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, fp long")
 
 
@@ -198,9 +203,8 @@ def signatures(texts: list[bytes], shingle: int = 5, words: int = 8) -> tuple[np
         own = np.unique(h[a:b])
         sizes[i] = len(own)
         ones = np.zeros(64 * words, np.int64)
-        for at in range(0, len(own), 8192):
-            part = mixed(own[at : at + 8192, None] ^ seeds[None, :]).view(np.uint8)
-            ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+        for at in range(0, len(own), 4080):
+            ones += bit_counts(mixed(own[at : at + 4080, None] ^ seeds[None, :]).view(np.uint8))
         out.append(np.packbits(2 * ones > len(own)).tobytes())
     return sizes, out
 
@@ -296,7 +300,7 @@ def similar_components(docs: DataFrame, least: float = 0.8, shingle: int = 5, wo
         if held and len(held[0]) > 1:
             yield links(held[0])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     prints = staged(rows.mapInPandas(sign, "doc_id long, n long, sig binary").withColumn("key", F.xxhash64("n", "sig")), "simhash-signatures")
     distinct = prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     distinct = staged(distinct, "simhash-distinct")

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, staged
+from .common import bounded_batches, partitions, shared_dir, staged
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
@@ -283,7 +283,7 @@ def _distinct_texts(docs: DataFrame, text_col: str, groups: int, parts: int) ->
         yield pd.DataFrame({"key": [k for k, _ in more], "n": np.array([c for _, c in more], np.int64), "packed": [None] * len(more)})
 
     spark = docs.sparkSession
-    rows = docs.select(_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.mapInPandas(pack, "key binary, n long, packed binary").withColumn("m", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
     rows = rows.repartition(parts, "m").groupBy("m", "key").agg(F.sum("n").alias("n"), F.first("packed", ignorenulls=True).alias("packed"))
     name = f"texts_{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode_unseen, load_tokenizer, tokenizer_path
+from .common import bounded_batches, encode_unseen, load_tokenizer, tokenizer_path
 
 _DOUBLE = re.compile(r"\s\s|^\s|\s\Z")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -25,13 +25,15 @@ class PieceCounter:
     """Lengths of texts under a byte-level tokenizer, by way of distinct pieces.
 
     ``words`` holds lengths of pieces that follow a space (the space belongs
-    to them); ``starts`` those that begin a text or a line. Both are emptied
-    when they exceed ``most`` entries, which bounds memory and changes no result.
+    to them); ``starts`` those that begin a text or a line. The first
+    ``most`` distinct pieces are remembered, those beyond only for their group.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    _made: dict[str, PieceCounter] = {}
+
+    def __init__(self, path: str, most: int = 500_000):
         self.tok, self.most = load_tokenizer(path), most
-        self.words: dict[str, int] = {}
+        self.words: dict[str, int] = {"": 0}
         self.starts: dict[str, int] = {"\n": 1}
 
     def _pieces(self, text: str) -> tuple[list[str], list[str]]:
@@ -48,13 +50,18 @@ class PieceCounter:
             rest += tail
         return heads, rest
 
-    def _learn(self, heads: set[str], rest: set[str]) -> None:
-        if len(self.words) + len(self.starts) > self.most:
-            self.words, self.starts = {}, {}
-        for unit, ids in encode_unseen(self.tok, [" " + u for u in rest - self.words.keys()]):
-            self.words[unit[1:]] = len(ids)
-        for unit, ids in encode_unseen(self.tok, list(heads - self.starts.keys())):
-            self.starts[unit] = len(ids)
+    @classmethod
+    def shared(cls, path: str) -> PieceCounter:
+        """The one of this Python worker, which keeps its pieces from task to task."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
+    def _learn(self, known: dict[str, int], units: set[str], lead: str) -> list[str]:
+        """Add the lengths of new ``units``, which follow ``lead``, to ``known``; the new ones."""
+        fresh = {unit[len(lead) :]: len(ids) for unit, ids in encode_unseen(self.tok, [lead + u for u in units.difference(known)])}
+        known.update(fresh)
+        return list(fresh)
 
     def count(self, texts: list[str], budget: int = 1 << 21) -> list[int]:
         """Token counts of ``texts``, taken in groups of about ``budget`` characters."""
@@ -65,8 +72,14 @@ class PieceCounter:
                 held += len(texts[at])
                 group.append(self._pieces(texts[at]))
                 at += 1
-            self._learn(set().union(*(h for h, _ in group)), set().union(*(r for _, r in group)))
+            full = len(self.words) + len(self.starts) > self.most
+            starts = self._learn(self.starts, set().union(*(h for h, _ in group)), "")
+            words = self._learn(self.words, set().union(*(r for _, r in group)), " ")
             out += [sum(map(self.starts.__getitem__, h)) + sum(map(self.words.__getitem__, r)) for h, r in group]
+            if full:
+                for known, fresh in ((self.starts, starts), (self.words, words)):
+                    for unit in fresh:
+                        del known[unit]
         return out
 
 
@@ -81,11 +94,11 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 51
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = PieceCounter(path)
+        counter = PieceCounter.shared(path)
         for pdf in batches:
             texts = pdf["text"].fillna("").tolist()
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": counter.count(texts)})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
