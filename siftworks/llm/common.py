@@ -38,9 +38,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(df: DataFrame, rows: int = 2048) -> DataFrame:
-    """``df``, with Arrow batches of the session held to ``rows``, so that batches of long texts stay small."""
+def bounded_batches(df: DataFrame, rows: int = 2048, size: int = 4 << 20) -> DataFrame:
+    """``df``, with Arrow batches of the session held to ``rows`` and ``size`` bytes, so that batches of long texts stay small."""
     conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # Spark's default
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return df

@@ -36,7 +36,7 @@ class WordEncoder:
 
     _made: dict[tuple, WordEncoder] = {}
 
-    def __init__(self, path: str, end: int, most: int = 400_000):
+    def __init__(self, path: str, end: int, most: int = 200_000):
         self.tok, self.most = load_tokenizer(path), most
         self.end = end.to_bytes(4, "little")
         self.words: dict[str, bytes] = {"": b""}

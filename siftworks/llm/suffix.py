@@ -43,6 +43,8 @@ from .common import bounded_batches, partitions, shared_dir, staged
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _powers: dict[int, np.ndarray] = {}
+#: Bytes that are hashed at a time; bounds the arrays of a task.
+STRETCH = 1 << 17
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -91,7 +93,7 @@ class Anchors:
     memory doesn't grow with a text; a span at a stretch's end is two.
     """
 
-    def __init__(self, texts: list[bytes], n: np.ndarray, length: int, gram: int, stretch: int = 1 << 20):
+    def __init__(self, texts: list[bytes], n: np.ndarray, length: int, gram: int, stretch: int = STRETCH):
         self.length = length
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -161,7 +163,7 @@ class Anchors:
         count = self.count[i]
         place = np.repeat(self.begin[i] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         one, two = (np.empty(len(place), np.uint64) for _ in range(2))
-        stretch = 1 << 20
+        stretch = STRETCH
         which = place // stretch
         for k in np.unique(which):
             mine = np.flatnonzero(which == k)

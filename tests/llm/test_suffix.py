@@ -81,6 +81,15 @@ def test_stretches_of_long_groups():
         assert all(b <= x < b + 200 for b, x in zip(own.begin, own.at, strict=True))
 
 
+def test_texts_longer_than_a_stretch(spark):
+    draw = random.Random(6)
+    filler = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    passage, at = filler(500), suffix.STRETCH
+    long = filler(at - 250) + passage + filler(at - 400) + passage + filler(999) + passage[100:]
+    texts = [long, filler(300) + passage[:320], filler(2 * at), "short"]
+    assert run(spark, texts) == brute(texts, 200)
+
+
 def test_loser_tree_merges_with_known_prefixes():
     draw = random.Random(5)
     runs = [sorted(bytes(draw.choice(b"ab") for _ in range(draw.randint(0, 12))) for _ in range(draw.randint(0, 30))) for _ in range(7)]
