@@ -16,6 +16,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,14 +40,33 @@ class WordEncoder:
     def __init__(self, path: str, end: int, most: int = 200_000):
         self.tok, self.most = load_tokenizer(path), most
         self.end = end.to_bytes(4, "little")
+        special = {token.content: number for number, token in self.tok.get_added_tokens_decoder().items() if token.special}
+        self.marks = tuple(special)
+        self.mark, self.mark_id = max(special.items(), key=lambda x: x[1], default=("", -1))
         self.words: dict[str, bytes] = {"": b""}
 
     @classmethod
-    def shared(cls, path: str, end: int) -> WordEncoder:
+    def shared(cls, path: str, end: int, most: int) -> WordEncoder:
         """The one of this Python worker, which keeps its words from task to task."""
-        if (path, end) not in cls._made:
-            cls._made[path, end] = cls(path, end)
-        return cls._made[path, end]
+        if (path, end, most) not in cls._made:
+            cls._made[path, end, most] = cls(path, end, most)
+        return cls._made[path, end, most]
+
+    def _learn(self, words: list[str], size: int = 4096) -> list[str]:
+        """Encode new ``words``, many in one call, kept apart by a special token; words that hold such a token go alone."""
+        odd = [w for w in words if any(m in w for m in self.marks)] if self.mark else words
+        for word, ids in encode_unseen(self.tok, odd.copy()):
+            self.words[word] = pack_ids(ids)
+        plain = [w for w in words if not any(m in w for m in self.marks)] if self.mark else []
+        for at in range(0, len(plain), size):
+            part = plain[at : at + size]
+            ids = np.array(self.tok.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4
+            packed, begin = ids.tobytes(), 0
+            for word, stop in zip(part, ends.tolist(), strict=True):
+                self.words[word] = packed[begin:stop]
+                begin = stop + 4
+        return words
 
     def encode(self, texts: list[str], budget: int = 1 << 21) -> Iterator[bytes]:
         at = 0
@@ -57,8 +77,7 @@ class WordEncoder:
                 group.append(texts[at].replace("\n", " ").split(" "))
                 at += 1
             full = len(self.words) > self.most
-            fresh = {word: pack_ids(ids) for word, ids in encode_unseen(self.tok, list(set().union(*group).difference(self.words)))}
-            self.words.update(fresh)
+            fresh = self._learn(list(set().union(*group).difference(self.words)))
             coded = [b"".join(map(self.words.__getitem__, words)) + self.end for words in group]
             if full:
                 for word in fresh:
@@ -158,7 +177,7 @@ def _frames(rows: Iterable[tuple], size: int = 4096) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=names).astype({"doc_id": "Int64"})
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, end: int = 2, size: int = 4096, windows: int = 32, fan_in: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, end: int = 2, size: int = 4096, windows: int = 32, fan_in: int = 16, words_kept: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All tokens of ``docs`` in sequences of at most ``size``: one row a piece.
 
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
@@ -166,13 +185,15 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end: int = 2,
     token. Repeated rows are packed each; null ids stay null; other columns
     are ignored; an empty table gives no rows. Sequences are full but for a
     few at the very end, whose lengths are powers of two. Documents stay in
-    their own partitions, only leftovers move.
+    their own partitions, only leftovers move. ``words_kept`` distinct words
+    stay encoded in each Python worker, at some 200 bytes each; it trades
+    memory for time and changes no result.
     """
     path = vocabulary or tokenizer_path("word_bpe_49k.json")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
-            coder = WordEncoder.shared(path, end)
+            coder = WordEncoder.shared(path, end, words_kept)
             packer = Packer(size, windows, TaskContext.get().partitionId() << 32)
             for pdf in batches:
                 ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"]]

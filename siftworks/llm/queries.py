@@ -26,7 +26,7 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), words_kept=900_000)
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

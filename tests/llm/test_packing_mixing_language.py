@@ -200,3 +200,13 @@ def test_code_switched_words_are_told_apart():
     said = ["fox", "over", "brown", "jump", "mañana", "cómo", "está", "ñandú", "fox", "brown"]
     mass = model.posteriors(model.scores(said), np.array([10]))[0]
     assert model.labels == ["x", "y"] and abs(mass[0] - 6) < 0.8
+
+
+def test_words_encode_alone_as_in_their_text():
+    tok = load_tokenizer(tokenizer_path("word_bpe_49k.json"))
+    texts = ["a <|endoftext|>b c<|startoftext|> d", "\u0301x e\u0301 \u0130stanbul   ' 's", "", "  ", "<|endoftext|>", "don't 123abc \U0001f600x\x00y\xa0z", "a b a\nb"]
+    for most in (0, 3, 1000):
+        coder = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"), 2, most)
+        for _ in range(2):
+            for text, coded in zip(texts, coder.encode(texts, budget=8), strict=True):
+                assert coded == packing.pack_ids([*tok.encode(text, add_special_tokens=False).ids, 2])
