@@ -1,4 +1,4 @@
-"""SimHash near-duplicates with pivot distance tables.
+"""SimHash near-duplicates with pivot distance tables; near-duplicates by exact Jaccard similarity.
 
 Equal fingerprints collapse first. Two fingerprints that differ in at most
 ``radius`` bits agree in some set of blocks of bits; rows with an equal such
@@ -10,6 +10,11 @@ other coordinates discard most of what is left, and the survivors are
 verified bit by bit. Of a bucket only a spanning forest of its links is
 emitted, so a group of thousands makes as many rows, not their square. Large
 buckets are cut into strips of the first coordinates.
+
+Similar texts (``similar_components``) are another matter: MinHash bands only
+propose pairs, and every link is the exact Jaccard similarity of the two sets
+of shingle hashes. There a large bucket's pivot is one of its own rows, and
+the distance is the Jaccard distance, itself a metric.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged
@@ -193,124 +198,162 @@ def near_components(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def signatures(texts: list[bytes], shingle: int = 5, words: int = 8) -> tuple[np.ndarray, list[bytes]]:
-    """Numbers of distinct shingles, and ``words`` 64-bit SimHash fingerprints of them in one string."""
+#: Bands of MinHash values and values a band: a pair at similarity 0.8 meets in none of them in 3 of a million cases.
+BANDS, VALUES = 32, 5
+
+
+def shingle_sets(texts: list[bytes], shingle: int = 5) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of every text."""
     h, owner, _ = shingle_hashes(texts, shingle)
-    seeds = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-    sizes, out = np.zeros(len(texts), np.int64), []
-    for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        own = np.unique(h[a:b])
-        sizes[i] = len(own)
-        ones = np.zeros(64 * words, np.int64)
-        for at in range(0, len(own), 4080):
-            ones += bit_counts(mixed(own[at : at + 4080, None] ^ seeds[None, :]).view(np.uint8))
-        out.append(np.packbits(2 * ones > len(own)).tobytes())
-    return sizes, out
+    return [np.unique(h[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-#: About one standard deviation of the similarity that 512 bits estimate at 0.8; taken off so that pairs above the threshold aren't lost to it.
-_MARGIN = 0.03
+def band_hashes(own: np.ndarray, bands: int = BANDS, values: int = VALUES, seed: int = 5) -> np.ndarray:
+    """A hash of each band's MinHash values of a set; a band's number is part of it."""
+    factors = np.random.default_rng(seed).integers(0, 1 << 64, bands * values, dtype=np.uint64) | np.uint64(1)
+    least = np.full(bands * values, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 512):
+        np.minimum(least, (own[at : at + 512, None] * factors[None, :]).min(axis=0), out=least)
+    out = mixed(np.arange(1, bands + 1, dtype=np.uint64))
+    for column in least.reshape(bands, values).T:
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out
 
 
-def _similar(sizes: np.ndarray, sigs: np.ndarray, refs: np.ndarray, least: float, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs with an estimated similarity of ``least`` or more.
+def _row_digest(docs: DataFrame) -> Column:
+    """A digest of id, text and the other columns: equal only for equal rows."""
+    rest = F.hex(F.xxhash64(*(F.col(c) for c in docs.columns if c != "text")))
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), rest, F.lit(" "), F.col("text").isNull().cast("string"), F.coalesce("text", F.lit(""))), 256))
 
-    Rows stand by size, as a pair's sizes differ by no more than the factor
-    ``least``. Two sets so alike differ in an angle, so in a number of bits,
-    that bounds how far their pivot distances may lie apart.
-    """
-    n, bits = len(sizes), 64 * sigs.shape[1]
-    order = np.argsort(sizes, kind="stable")
-    sizes, sigs = sizes[order], sigs[order]
-    table = np.stack([np.bitwise_count(sigs ^ r).sum(axis=1, dtype=np.int32) for r in refs], axis=1)
-    radius = bits * np.arccos(2 * least / (1 + least)) / np.pi
-    upto = np.searchsorted(sizes, np.floor(sizes / least), side="right")
-    spans = upto - np.arange(n) - 1
-    root, at = np.arange(n), 0
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(np.cumsum(spans[at:]), block, side="right")) + at)
-        left = np.repeat(np.arange(at, end), spans[at:end])
-        first = np.concatenate([[0], np.cumsum(spans[at:end])[:-1]])
-        right = np.arange(len(left)) - np.repeat(first, spans[at:end]) + left + 1
-        for k in range(table.shape[1]):
-            near = np.abs(table[left, k] - table[right, k]) <= radius
-            left, right = left[near], right[near]
-        apart = np.zeros(len(left), np.int32)
-        for w in range(sigs.shape[1]):
-            apart += np.bitwise_count(sigs[left, w] ^ sigs[right, w])
-            if w == 1 and sigs.shape[1] > 2:  # of 128 bits, those far beyond the radius can't come back
-                near = apart <= radius / sigs.shape[1] * 2 + 24
-                left, right, apart = left[near], right[near], apart[near]
-        shared = np.cos(np.pi * apart / bits) * np.sqrt(sizes[left] * sizes[right])
-        near = shared >= (least - _MARGIN) * (sizes[left] + sizes[right] - shared)
-        if near.any():
-            root = _roots(n, np.concatenate([np.arange(n), left[near]]), np.concatenate([root, right[near]]))
-        at = end
-    child = np.flatnonzero(root != np.arange(n))
-    return order[child], order[root[child]]
 
+def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, alike`` for all ``pairs``: the exact Jaccard similarity of their sets."""
 
-def similar_components(docs: DataFrame, least: float = 0.8, shingle: int = 5, words: int = 8, pivots: int = 4, seed: int = 5) -> DataFrame:
-    """``doc_id, component_id`` over links of an estimated similarity of ``least`` or more.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            alike = np.zeros(len(pdf))
+            for i, (x, y) in enumerate(zip(pdf["x"], pdf["y"], strict=True)):
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                alike[i] = shared / (len(both) - shared) if len(both) else 1.0
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "alike": alike})
+
+    held = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
+    return bounded_batches(held.select("a", "b", "x", "y")).mapInPandas(run, "a long, b long, alike double")
+
+
+def _crossing(least: float, block: int = 1 << 20):
+    """Of rows sorted by ``bucket, cell``: the pairs of different roots that sizes and pivot distances allow."""
+
+    def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        pdf = pdf.sort_values(["n", "key"], kind="stable")
+        key, n, root, near = (pdf[c].to_numpy() for c in ("key", "n", "root", "alike"))
+        upto = np.searchsorted(n, np.floor(n / least + 1e-9), side="right")
+        spans = upto - np.arange(len(n)) - 1
+        at = 0
+        while at < len(n):
+            end = max(at + 1, int(np.searchsorted(np.cumsum(spans[at:]), block, side="right")) + at)
+            left = np.repeat(np.arange(at, end), spans[at:end])
+            first = np.concatenate([[0], np.cumsum(spans[at:end])[:-1]])
+            right = np.arange(len(left)) - np.repeat(first, spans[at:end]) + left + 1
+            some = (root[left] != root[right]) & (np.abs(near[left] - near[right]) <= 1 - least + 1e-9)
+            x, y = key[left[some]], key[right[some]]
+            yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            at = end
 
-    At such a similarity two 64-bit fingerprints differ in some ten bits, too
-    many to enumerate, so texts get ``words`` fingerprints of their
-    ``shingle``-word shingles. Rows that agree in any sixteenth-bit band of
-    any of them meet in a bucket; there pivot distances and sizes discard
-    pairs, and the angle of all fingerprints verifies the Jaccard similarity
-    of the rest. Nulls, empty texts and repeated rows as for
-    ``near_components``.
-    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            pdf = pd.concat([*held, pdf]) if held else pdf
+            at = pdf[["bucket", "cell"]].to_numpy()
+            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist()]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield from pairs(pdf.iloc[a:b])
+            held = [pdf.iloc[edges[-1] :]]
+        if held:
+            yield from pairs(held[0])
+
+    return run
+
+
+def _similar_roots(docs: DataFrame, least: float, shingle: int, bands: int, values: int, large: int, seed: int) -> DataFrame:
+    """``doc_id, row, root`` for every row of ``docs``: its digest and what names its component."""
     spark = docs.sparkSession
-    refs = np.random.default_rng(seed).integers(0, 1 << 64, (pivots, words), dtype=np.uint64)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
-                n, sigs = signatures([t.encode() for t in part["text"]], shingle, words)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "sig": sigs})
+                sets = shingle_sets([t.encode() for t in part["text"]], shingle)
+                keys = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes(), 42) for x in sets), np.uint64, len(sets)).view(np.int64)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "key": keys, "n": [len(x) for x in sets], "bands": [band_hashes(x, bands, values, seed).view(np.int64) for x in sets]})
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a in range(0, len(pdf), 2048):
-                part = pdf.iloc[a : a + 2048]
-                bands = np.frombuffer(b"".join(part["sig"]), "<u2").reshape(-1, 4 * words)
-                for i in range(bands.shape[1]):
-                    yield pd.DataFrame({"bucket": bands[:, i].astype(np.int32) | np.int32(i << 16), "key": part["key"], "n": part["n"], "sig": part["sig"]})
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def links(pdf: pd.DataFrame) -> pd.DataFrame:
-            sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(-1, words)
-            key = pdf["key"].to_numpy()
-            a, b = _similar(pdf["n"].to_numpy(), sigs, refs, least)
-            return pd.DataFrame({"a": key[a], "b": key[b]})
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                yield pd.DataFrame({"key": part["key"], "own": [x.tobytes() for x in shingle_sets([t.encode() for t in part["text"]], shingle)]})
+
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _row_digest(docs).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    prints = staged(rows.mapInPandas(sign, "doc_id long, row binary, key long, n long, bands array<long>"), "similar-prints")
+    distinct = prints.groupBy("key").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = staged(distinct, "similar-distinct")
+
+    # the rows of buckets that others share, and the shingles of those rows
+    bucketed = distinct.select(F.explode("bands").alias("bucket"), "key", "n")
+    shared = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    met = staged(bucketed.join(shared, "bucket"), "similar-buckets")
+    needed = met.select("key").distinct().join(distinct.select("key", "row"), "key")
+    sets = rows.select("row", "text").join(needed, "row").dropDuplicates(["row"]).select("key", "text").mapInPandas(read, "key long, own binary")
+    sets = staged(sets, "similar-sets")
+
+    # all pairs of a small bucket, every row of a large one with two of its own
+    listed = met.filter(F.col("m") <= large).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("xs"))
+    every = listed.select(F.explode(F.expr("flatten(transform(xs, (x, i) -> transform(slice(xs, i + 2, size(xs)), y -> named_struct('a', x.key, 'b', y.key, 'n', x.n, 'm', y.n))))")).alias("p")).select("p.*")
+    every = every.filter(F.least("n", "m") >= F.greatest("n", "m") * (least - 1e-9)).select("a", "b")
+    big = met.filter(F.col("m") > large)
+    pivots = staged(big.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")), "similar-pivots")
+    piv = big.join(pivots, "bucket")
+    star = piv.select(F.col("lo").alias("a"), F.col("key").alias("b")).unionByName(piv.select(F.col("key").alias("a"), F.col("hi").alias("b"))).filter("a < b")
+    told = staged(_jaccard(every.unionByName(star).distinct(), sets), "similar-told")
+    links = told.filter(F.col("alike") >= least).select("a", "b")
+    root = components(links)
 
-        for pdf in batches:
-            pdf = pd.concat([*held, pdf]) if held else pdf
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(pdf["bucket"].to_numpy())) + 1])
-            sizes = np.diff(np.concatenate([edges, [len(pdf)]]))
-            out = [links(pdf.iloc[i : i + n]) for i, n in zip(edges[:-1].tolist(), sizes[:-1].tolist(), strict=True) if n > 1]
-            held = [pdf.iloc[edges[-1] :]]
-            if out:
-                yield pd.concat(out)
-        if held and len(held[0]) > 1:
-            yield links(held[0])
-
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    prints = staged(rows.mapInPandas(sign, "doc_id long, n long, sig binary").withColumn("key", F.xxhash64("n", "sig")), "simhash-signatures")
-    distinct = prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    distinct = staged(distinct, "simhash-distinct")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = distinct.select("key", "n", "sig").mapInPandas(spread, "bucket int, key long, n long, sig binary")
-    root = components(met.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(solve, "a long, b long").distinct())
-    known = distinct.join(root, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    least_id = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.select("key", "root").join(least_id, "root").select("key", "component_id")
-    return prints.join(named, "key").select("doc_id", "component_id")
+    # a large bucket whose rows aren't one component: pairs across components, in strips of the distance to its pivot and of size
+    named = piv.join(root, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", "lo", F.coalesce("root", "key").alias("root"))
+    open_ = named.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x < _y").select("bucket")
+    left = named.join(open_, "bucket").join(told.select(F.col("a").alias("lo"), F.col("b").alias("key"), "alike"), ["lo", "key"], "left").withColumn("alike", F.coalesce("alike", F.lit(1.0)))
+    left = staged(left, "similar-open")
+    if not left.isEmpty():
+        place = F.floor((1 - F.col("alike")) / (1 - least + 1e-6)).cast("int")
+        size = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(least - 1e-6))).cast("int")
+        cells = left.withColumn("cell", F.explode(F.array(*(((place - i + 1) * 1000 + size - j + 1).cast("int") for i in (0, 1) for j in (0, 1)))))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cells = cells.select("bucket", "cell", "key", "n", "root", "alike").repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell")
+        more = cells.mapInPandas(_crossing(least), "a long, b long").distinct().join(told, ["a", "b"], "left_anti")
+        more = staged(_jaccard(more, sets).filter(F.col("alike") >= least).select("a", "b"), "similar-more")
+        root = components(links.unionByName(more))
+    named = distinct.select("key").join(root, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"))
+    return prints.select("doc_id", "row", "key").join(named, "key").select("doc_id", "row", "root")
+
+
+def similar_components(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = BANDS, values: int = VALUES, large: int = 8, seed: int = 5) -> DataFrame:
+    """``doc_id, component_id`` over links of a Jaccard similarity of ``least`` or more.
+
+    Texts are sets of ``shingle``-word shingles; equal sets collapse first.
+    Rows that agree in any of ``bands`` bands of ``values`` MinHash values
+    meet in a bucket, which proposes pairs; a pair is a link only if the
+    similarity of the two sets themselves, by their 64-bit shingle hashes, is
+    ``least`` or more. In a bucket of more than ``large`` rows all rows are
+    compared with two of them, and then, unless that made one component of
+    them, all pairs of different components that sizes and the distances to
+    the first pivot allow: nothing that meets is left uncompared. Nulls,
+    empty texts and repeated rows as for ``near_components``.
+    """
+    found = staged(_similar_roots(docs, least, shingle, bands, values, large, seed), "similar-roots")
+    named = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(named, "root").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
