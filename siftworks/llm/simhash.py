@@ -356,12 +356,14 @@ def similar_components(docs: DataFrame, least: float = 0.8, shingle: int = 5, ba
     return found.join(named, "root").select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their component of similar texts: that of its smallest id.
+def drop_near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = BANDS, values: int = VALUES, large: int = 8, seed: int = 5) -> DataFrame:
+    """One row of ``docs`` for each component of similar texts: that of its smallest id.
 
-    Of repeated rows of that id one stays. Rows with a null id stay, one of
-    them, only if their component has no other.
+    Nulls come last among the ids; rows of one id go by their digest, which
+    covers text and all other columns, so the choice is the same in every
+    run. Other rows of that id stay or go with their own component.
     """
-    picked = similar_components(docs, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(picked, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    found = _similar_roots(docs, least, shingle, bands, values, large, seed)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    kept = best.select(F.col("best.row").alias("_row"))
+    return docs.withColumn("_row", _row_digest(docs)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

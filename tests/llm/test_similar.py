@@ -46,3 +46,22 @@ def test_large_families_are_whole(spark):
             texts.append(" ".join(line))
     got = {r.doc_id: r.component_id for r in simhash.similar_components(documents(spark, texts)).collect()}
     assert got == brute(texts) and 5 < len(set(got.values())) < len(texts)
+
+
+def test_rows_are_kept_whatever_their_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    copy = [*base, "more"]
+    alone = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefgh"]
+    texts = [*alone[:5], alone[0], " ".join(base), " ".join(copy), alone[5], alone[6], " ".join([*copy, "end"])]
+    ids = [None, None, None, None, None, None, 3, 7, 7, 7, None]
+    want = sorted([*alone[:5], " ".join(base), alone[5], alone[6]])
+    docs = documents(spark, texts, ids)
+    for parts in (1, 5):
+        assert sorted(r.text for r in simhash.drop_near_duplicates(docs.repartition(parts)).collect()) == want
+
+
+def test_the_choice_among_rows_of_one_id_is_fixed(spark):
+    texts = [" ".join([*(f"w{i}" for i in range(60)), f"end{k}"]) for k in range(6)]
+    docs = documents(spark, texts, [None, 4, 4, 4, 4, 9])
+    got = {tuple(simhash.drop_near_duplicates(docs.repartition(n)).collect()) for n in (1, 2, 7)}
+    assert len(got) == 1 and {r.doc_id for rows in got for r in rows} == {4}
