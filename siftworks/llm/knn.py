@@ -35,7 +35,7 @@ def usable(vector: Column) -> Column:
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    return np.concatenate(column.to_list()).reshape(-1, dim) if len(column) else np.zeros((0, dim), np.int64)
+    return np.concatenate(column.to_list()).reshape(len(column), dim) if len(column) else np.zeros((0, dim), np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 64, block: int = 8192, chunk: int = 4096) -> DataFrame:
@@ -125,8 +125,8 @@ def _one_length(data: DataFrame, asked: DataFrame, dim: int, k: int, pivots: int
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         right = right.sort_values("vec_id", kind="stable")
         ids = right["vec_id"].to_numpy()
-        a = np.frombuffer(b"".join(left["vector"]), "<i8").reshape(-1, dim)
-        b = np.frombuffer(b"".join(right["vector"]), "<i8").reshape(-1, dim)
+        a = np.frombuffer(b"".join(left["vector"]), "<i8").reshape(len(left), dim)
+        b = np.frombuffer(b"".join(right["vector"]), "<i8").reshape(len(right), dim)
         small = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) <= 1 << 20 and dim <= 4096
         out = []
         for at in range(0, len(a), 256):
