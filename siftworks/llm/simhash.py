@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged
-from .components import components
+from .common import bounded_batches, join_lookup, staged, unused
+from .components import forest
 from .words import mixed, shingle_hashes
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
@@ -189,13 +189,12 @@ def near_components(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     Repeated rows give repeated rows; other columns are ignored.
     """
     prints = staged(fingerprints(docs, shingle, seed), "simhash-prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    links = near_links(distinct, radius, **options)
-    root = components(links)
-    known = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    root = forest(near_links(distinct, radius, **options))
+    known = staged(distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = staged(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")), "simhash-components")
+    named = staged(join_lookup(known.select("fp", "n", "root"), least, "root", "fps", ["fp"]).select("fp", "n", "component_id"), "simhash-named")
+    return join_lookup(prints, named, "fp", "n", ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 #: Bands of MinHash values and values a band: a pair at similarity 0.8 meets in none of them in 3 of a million cases.
@@ -240,7 +239,7 @@ def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "alike": alike})
 
     held = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
-    return bounded_batches(held.select("a", "b", "x", "y")).mapInPandas(run, "a long, b long, alike double")
+    return bounded_batches(held.select("a", "b", "x", "y")).mapInPandas(run, "a binary, b binary, alike double")
 
 
 def _crossing(least: float, block: int = 1 << 20):
@@ -248,7 +247,8 @@ def _crossing(least: float, block: int = 1 << 20):
 
     def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         pdf = pdf.sort_values(["n", "key"], kind="stable")
-        key, n, root, near = (pdf[c].to_numpy() for c in ("key", "n", "root", "alike"))
+        key, n, near = (pdf[c].to_numpy() for c in ("key", "n", "alike"))
+        root = pd.factorize(pdf["root"])[0]
         upto = np.searchsorted(n, np.floor(n / least + 1e-9), side="right")
         spans = upto - np.arange(len(n)) - 1
         at = 0
@@ -259,7 +259,8 @@ def _crossing(least: float, block: int = 1 << 20):
             right = np.arange(len(left)) - np.repeat(first, spans[at:end]) + left + 1
             some = (root[left] != root[right]) & (np.abs(near[left] - near[right]) <= 1 - least + 1e-9)
             x, y = key[left[some]], key[right[some]]
-            yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            low = x < y
+            yield pd.DataFrame({"a": np.where(low, x, y), "b": np.where(low, y, x)})
             at = end
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,8 +278,11 @@ def _crossing(least: float, block: int = 1 << 20):
     return run
 
 
-def _similar_roots(docs: DataFrame, least: float, shingle: int, bands: int, values: int, large: int, seed: int) -> DataFrame:
-    """``doc_id, row, root`` for every row of ``docs``: its digest and what names its component."""
+def _similar_roots(docs: DataFrame, least: float, shingle: int, bands: int, values: int, large: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows, ``doc_id, row, key`` (digests of row and set), and of each set ``key, m, best, root``.
+
+    ``m`` rows have the set, ``best`` is the first of them by id and digest.
+    """
     spark = docs.sparkSession
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,7 +290,7 @@ def _similar_roots(docs: DataFrame, least: float, shingle: int, bands: int, valu
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 sets = shingle_sets([t.encode() for t in part["text"]], shingle)
-                keys = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes(), 42) for x in sets), np.uint64, len(sets)).view(np.int64)
+                keys = [xxhash.xxh3_128_digest(x.tobytes(), 42) for x in sets]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "key": keys, "n": [len(x) for x in sets], "bands": [band_hashes(x, bands, values, seed).view(np.int64) for x in sets]})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,16 +300,17 @@ def _similar_roots(docs: DataFrame, least: float, shingle: int, bands: int, valu
                 yield pd.DataFrame({"key": part["key"], "own": [x.tobytes() for x in shingle_sets([t.encode() for t in part["text"]], shingle)]})
 
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _row_digest(docs).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    prints = staged(rows.mapInPandas(sign, "doc_id long, row binary, key long, n long, bands array<long>"), "similar-prints")
-    distinct = prints.groupBy("key").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    prints = staged(rows.mapInPandas(sign, "doc_id long, row binary, key binary, n long, bands array<long>"), "similar-prints")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    distinct = prints.groupBy("key").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     distinct = staged(distinct, "similar-distinct")
 
     # the rows of buckets that others share, and the shingles of those rows
     bucketed = distinct.select(F.explode("bands").alias("bucket"), "key", "n")
     shared = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     met = staged(bucketed.join(shared, "bucket"), "similar-buckets")
-    needed = met.select("key").distinct().join(distinct.select("key", "row"), "key")
-    sets = rows.select("row", "text").join(needed, "row").dropDuplicates(["row"]).select("key", "text").mapInPandas(read, "key long, own binary")
+    needed = met.select("key").distinct().join(distinct.select("key", "best.row"), "key")
+    sets = rows.select("row", "text").join(needed, "row").dropDuplicates(["row"]).select("key", "text").mapInPandas(read, "key binary, own binary")
     sets = staged(sets, "similar-sets")
 
     # all pairs of a small bucket, every row of a large one with two of its own
@@ -313,12 +318,12 @@ def _similar_roots(docs: DataFrame, least: float, shingle: int, bands: int, valu
     every = listed.select(F.explode(F.expr("flatten(transform(xs, (x, i) -> transform(slice(xs, i + 2, size(xs)), y -> named_struct('a', x.key, 'b', y.key, 'n', x.n, 'm', y.n))))")).alias("p")).select("p.*")
     every = every.filter(F.least("n", "m") >= F.greatest("n", "m") * (least - 1e-9)).select("a", "b")
     big = met.filter(F.col("m") > large)
-    pivots = staged(big.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")), "similar-pivots")
-    piv = big.join(pivots, "bucket")
+    pivots = staged(big.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("m").alias("m")), "similar-pivots")
+    piv = staged(join_lookup(big.select("bucket", "key", "n"), pivots, "bucket", "m", ["key"]), "similar-large")
     star = piv.select(F.col("lo").alias("a"), F.col("key").alias("b")).unionByName(piv.select(F.col("key").alias("a"), F.col("hi").alias("b"))).filter("a < b")
     told = staged(_jaccard(every.unionByName(star).distinct(), sets), "similar-told")
     links = told.filter(F.col("alike") >= least).select("a", "b")
-    root = components(links)
+    root = forest(links)
 
     # a large bucket whose rows aren't one component: pairs across components, in strips of the distance to its pivot and of size
     named = piv.join(root, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", "lo", F.coalesce("root", "key").alias("root"))
@@ -331,11 +336,11 @@ def _similar_roots(docs: DataFrame, least: float, shingle: int, bands: int, valu
         cells = left.withColumn("cell", F.explode(F.array(*(((place - i + 1) * 1000 + size - j + 1).cast("int") for i in (0, 1) for j in (0, 1)))))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         cells = cells.select("bucket", "cell", "key", "n", "root", "alike").repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell")
-        more = cells.mapInPandas(_crossing(least), "a long, b long").distinct().join(told, ["a", "b"], "left_anti")
+        more = cells.mapInPandas(_crossing(least), "a binary, b binary").distinct().join(told, ["a", "b"], "left_anti")
         more = staged(_jaccard(more, sets).filter(F.col("alike") >= least).select("a", "b"), "similar-more")
-        root = components(links.unionByName(more))
-    named = distinct.select("key").join(root, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"))
-    return prints.select("doc_id", "row", "key").join(named, "key").select("doc_id", "row", "root")
+        root = forest(links.unionByName(more))
+    named = distinct.select("key", "m", "best").join(root, F.col("key") == F.col("node"), "left").select("key", "m", "best", F.coalesce("root", "key").alias("root"))
+    return prints.select("doc_id", "row", "key"), staged(named, "similar-roots")
 
 
 def similar_components(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = BANDS, values: int = VALUES, large: int = 8, seed: int = 5) -> DataFrame:
@@ -351,9 +356,10 @@ def similar_components(docs: DataFrame, least: float = 0.8, shingle: int = 5, ba
     the first pivot allow: nothing that meets is left uncompared. Nulls,
     empty texts and repeated rows as for ``near_components``.
     """
-    found = staged(_similar_roots(docs, least, shingle, bands, values, large, seed), "similar-roots")
-    named = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(named, "root").select("doc_id", "component_id")
+    rows, sets = _similar_roots(docs, least, shingle, bands, values, large, seed)
+    ids = staged(sets.groupBy("root").agg(F.min("best.doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")), "similar-ids")
+    named = staged(join_lookup(sets.select("key", "m", "root"), ids, "root", "sets", ["key"]).select("key", "m", "component_id"), "similar-named")
+    return join_lookup(rows, named, "key", "m", ["row"]).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = BANDS, values: int = VALUES, large: int = 8, seed: int = 5) -> DataFrame:
@@ -363,7 +369,7 @@ def drop_near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5,
     covers text and all other columns, so the choice is the same in every
     run. Other rows of that id stay or go with their own component.
     """
-    found = _similar_roots(docs, least, shingle, bands, values, large, seed)
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    kept = best.select(F.col("best.row").alias("_row"))
-    return docs.withColumn("_row", _row_digest(docs)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    _, sets = _similar_roots(docs, least, shingle, bands, values, large, seed)
+    (row,) = unused(docs, "_row")
+    kept = sets.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return docs.withColumn(row, _row_digest(docs)).join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
