@@ -7,20 +7,21 @@ such string: the minimizers. Of every window of ``length`` bytes the
 anchors at equal places, and the windows of one anchor, its span, are
 consecutive.
 
-1. Anchors are counted by digests of gram and span, one each a group of
-   texts. A gram that occurs once ends there; spans that occur twice as a
-   whole are duplicates and stand for one from here on.
-2. Spans that share a gram with another span are exchanged: every group of
-   texts sorts the suffixes at its anchors and front-codes the sorted run
-   (bytes shared with the predecessor are not sent).
-3. Each task merges the runs of its range of grams with a loser tree whose
-   players carry their common prefix with the last winner, so no known
-   prefix is compared again; its output is the sorted suffixes with their
-   common prefixes, from which, and from the bytes before the anchors, the
-   windows that occur twice follow exactly.
-4. The windows of grams with very many different spans (the edges of a
-   passage that stands in very many texts) are not compared with each other
-   but counted by 128-bit digests, dealt out evenly.
+1. Every group of texts counts its anchors' grams by digest. A gram that
+   stands at one anchor in all has no partner and ends there.
+2. The others are exchanged: every group of texts sorts the suffixes at
+   their anchors, equal ones once, and front-codes the sorted run (bytes
+   shared with the predecessor are not sent). Runs are dealt by gram. A gram
+   of more than ``hot`` spans (the edge of a passage that stands in very
+   many texts) is dealt by more of its text: its windows are cut by their
+   distance to the anchor, a distance that doubles from block to block, and
+   each block is a suffix of its own, dealt by all bytes that its windows
+   have in common.
+3. Each task merges its runs with a loser tree whose players carry their
+   common prefix with the last winner, so no known prefix is compared again.
+   The merged suffixes' common prefixes, and the common ends of the bytes
+   before the anchors, say for each distance to the anchor which windows
+   are equal; those that occur twice go.
 
 Texts are made distinct first, written once to a bucketed table in the
 shared folder, and read from there without a shuffle by every step.
@@ -28,21 +29,22 @@ shared folder, and read from there without a shuffle by every step.
 
 from __future__ import annotations
 
-import hashlib
-import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, shared_dir, staged
+from .common import bounded_batches, join_lookup, partitions, staged, staged_path, unused
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _powers: dict[int, np.ndarray] = {}
+_ANSWER = np.dtype([("item", "<u4"), ("low", "<u2"), ("high", "<u2")])
 #: Bytes that are hashed at a time; bounds the arrays of a task.
 STRETCH = 1 << 17
 
@@ -94,7 +96,7 @@ class Anchors:
     """
 
     def __init__(self, texts: list[bytes], n: np.ndarray, length: int, gram: int, stretch: int = STRETCH):
-        self.length = length
+        self.length, self.width = length, gram
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -148,35 +150,64 @@ class Anchors:
         self.first = order[fresh]
         owner = np.searchsorted(self.offsets, self.begin, side="right") - 1
         self.multi = np.bincount(self.entry, n[owner], len(self.gram)) >= 2 if len(order) else np.zeros(0, bool)
+        self.grams, self.of_gram, self.spans = np.unique(self.gram, return_inverse=True, return_counts=True)
 
-    def buckets(self, n: int) -> np.ndarray:
-        """Bounds of the entries of each of ``n`` ranges of grams."""
-        part = ((self.gram >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        return np.searchsorted(part, np.arange(n + 1))
-
-    def windows(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All windows of the spans at the first places of ``entries``: places, digests, and where each first stands.
-
-        The digests are distinct pairs, sorted; the last array gives each window's among them.
-        """
-        i = self.first[entries]
-        count = self.count[i]
-        place = np.repeat(self.begin[i] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        one, two = (np.empty(len(place), np.uint64) for _ in range(2))
-        stretch = STRETCH
-        which = place // stretch
-        for k in np.unique(which):
-            mine = np.flatnonzero(which == k)
-            d = _Digests(self.data[k * stretch : (k + 1) * stretch + self.length])
-            at = place[mine] - k * stretch
-            one[mine], two[mine] = d.of(at, at + self.length, 0), d.of(at, at + self.length, 1)
-        order = np.lexsort((two, one))
-        a, b = one[order], two[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        back = np.empty(len(order), np.int64)
-        back[order] = np.cumsum(fresh) - 1
-        return place, a[fresh], b[fresh], back
+
+#: Distances of a hot gram's windows to their anchor, by block: each from its own to the next less one.
+BLOCKS = (0, 1, 2, 4, 8, 16, 32, 64, 1 << 16)
+
+
+def _range(digest: np.ndarray, n: int) -> np.ndarray:
+    """The range, of ``n``, that a digest is dealt to."""
+    return (((digest >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+class Items:
+    """What a group of texts exchanges, given the ``code`` of each of its grams: 0 nothing, 1 as it is, 2 in blocks.
+
+    Per item its suffix's place ``at`` and the places of its first and last
+    window, ``begin`` and ``last``; the range it is dealt to; ``twice``, the
+    items that occur twice within the group. An item's number is its place
+    in these arrays, which every step makes alike.
+    """
+
+    def __init__(self, own: Anchors, code: np.ndarray, ranges: int):
+        length = own.length
+        code = code[own.of_gram]
+        plain = np.flatnonzero(code == 1)
+        i = own.first[plain]
+        at, begin, last = [own.at[i]], [own.begin[i]], [own.begin[i] + own.count[i] - 1]
+        to, self.twice = [_range(own.gram[plain], ranges)], {}
+        hot = own.first[np.flatnonzero(code == 2)]
+        data, seen, rows = own.data, {}, []
+        for x, p, q in zip(own.at[hot].tolist(), own.begin[hot].tolist(), (own.begin[hot] + own.count[hot] - 1).tolist(), strict=True):
+            for low, high in zip(BLOCKS, BLOCKS[1:], strict=False):
+                a, b = max(p, x - high + 1), min(q, x - low)
+                if a > b:
+                    continue
+                text = data[a : b + length].tobytes()
+                place = x - low
+                number = seen.setdefault((text, place - a), len(rows))
+                if number < len(rows):  # equal to a span's block elsewhere in the group
+                    self.twice.setdefault(len(plain) + number, []).append((a, b))
+                    continue
+                # every window that this block may have holds these bytes
+                common = data[place : x - min(high - 1, length - own.width) + length].tobytes()
+                rows.append((place, a, b, xxhash.xxh3_64_intdigest(common, low)))
+        if rows:
+            cut = list(zip(*rows, strict=True))
+            for held, new in zip((at, begin, last), cut[:3], strict=True):
+                held.append(np.array(new, np.int64))
+            to.append(_range(np.array(cut[3], np.uint64), ranges))
+        self.at, self.begin, self.last, self.to = (np.concatenate(x) for x in (at, begin, last, to))
+
+    def runs(self, own: Anchors) -> dict[int, bytes]:
+        """For each range the sorted, front-coded run of its items."""
+        data = own.data.tobytes()
+        runs: dict[int, list] = {}
+        for number, (b, x, p, q) in enumerate(zip(self.to.tolist(), self.at.tolist(), self.begin.tolist(), self.last.tolist(), strict=True)):
+            runs.setdefault(b, []).append((data[x : q + own.length], data[p:x], x - q, number))
+        return {b: front_coded(sorted(run)) for b, run in runs.items()}
 
 
 def front_coded(entries: list[tuple[bytes, bytes, int, int]]) -> bytes:
@@ -250,22 +281,51 @@ def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple[int, tuple, int]]:
             i //= 2
 
 
-def _repeats(group: list[tuple[int, tuple, int]], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """``(run, entry, low, high)``: shifts of windows that occur in another span of the group."""
-    before = [(int.from_bytes(item[2]), len(item[2])) for _, item, _ in group]
-    for i, (run, a, _) in enumerate(group):
-        prefix = length
-        for j in range(i + 1, len(group)):
-            other, b, p = group[j]
-            prefix = min(prefix, p)
-            x = before[i][0] ^ before[j][0]
-            reach = min(before[i][1], before[j][1])
-            if x:
-                reach = min(reach, ((x & -x).bit_length() - 1) >> 3)
-            low = max(length - prefix, a[3], b[3])
-            if low <= reach:
-                yield run, a[4], low, reach
-                yield other, b[4], low, reach
+def repeats(merge: list[tuple[int, tuple, int]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of merged items: places among them, and the lowest and highest distance of runs of windows that occur twice.
+
+    At distance ``k`` two items share a window if their suffixes share
+    ``length - k`` bytes and the bytes before them end in ``k`` equal ones.
+    The first is a class of the sorted suffixes, the second one of the
+    sorted ends, so a window occurs twice if its pair of classes does. The
+    cost is that of sorting, whatever the number of items that are alike.
+    """
+    n = len(merge)
+    shared = np.array([p for _, _, p in merge], np.int64)
+    shared[:1] = 0
+    longest = np.maximum(shared, np.append(shared[1:], 0))
+    low = np.fromiter((item[3] for _, item, _ in merge), np.int64, n)
+    ends = [item[2][::-1] for _, item, _ in merge]
+    reach = np.fromiter(map(len, ends), np.int64, n)
+    order = sorted(range(n), key=ends.__getitem__)
+    alike = np.fromiter((common_prefix(ends[i], ends[j], 0) for i, j in zip(order, order[1:], strict=False)), np.int64, max(0, n - 1))
+    alike = np.concatenate([[0], alike])[:n]
+    order = np.array(order, np.int64)
+    out: list[list[np.ndarray]] = [[], [], []]
+    since, going = np.zeros(n, np.int64), np.zeros(n, bool)
+
+    def close(which: np.ndarray, k: int) -> None:
+        out[0].append(which)
+        out[1].append(since[which])
+        out[2].append(np.full(len(which), k - 1))
+
+    rank = np.empty(n, np.int64)
+    top = int(reach.max(initial=0))
+    for k in range(top + 1):
+        some = np.flatnonzero((low <= k) & (reach >= k) & (longest >= length - k))
+        now = np.zeros(n, bool)
+        if len(some) > 1:
+            rank[order] = np.cumsum(alike < k)
+            pair = np.cumsum(shared < length - k)[some] * (n + 1) + rank[some]
+            by = np.argsort(pair, kind="stable")
+            same = pair[by][1:] == pair[by][:-1]
+            now[some[by[1:][same]]] = True
+            now[some[by[:-1][same]]] = True
+        close(np.flatnonzero(going & ~now), k)
+        since[now & ~going] = k
+        going = now
+    close(np.flatnonzero(going), top + 1)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def _distinct_texts(docs: DataFrame, text_col: str, groups: int, parts: int) -> DataFrame:
@@ -288,9 +348,13 @@ def _distinct_texts(docs: DataFrame, text_col: str, groups: int, parts: int) ->
     rows = bounded_batches(docs).select(_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.mapInPandas(pack, "key binary, n long, packed binary").withColumn("m", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
     rows = rows.repartition(parts, "m").groupBy("m", "key").agg(F.sum("n").alias("n"), F.first("packed", ignorenulls=True).alias("packed"))
-    name = f"texts_{uuid.uuid4().hex}"
-    rows.write.bucketBy(parts, "m").sortBy("m").option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    path = staged_path(spark, "texts")
+    name = path.rpartition("/")[2].replace("-", "_")
+    rows.write.bucketBy(parts, "m").sortBy("m").option("path", path).option("compression", "none").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved before the name goes from the catalog; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def _key(text_col: str):
@@ -303,10 +367,12 @@ def _unpacked(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes], np.ndarray]
     return pdf, [unpack.decompress(t) for t in pdf["packed"]], pdf["n"].to_numpy()
 
 
-def _kept_texts(docs: DataFrame, text_col: str, length: int, gram: int, many: int) -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept`` for every distinct text."""
+def _kept_texts(docs: DataFrame, text_col: str, length: int, gram: int, hot: int, group_bytes: int = 32 << 20) -> DataFrame:
+    """``key, n, n_bytes, n_removed, n_spans, kept`` for every distinct text, of which there are ``n``."""
     parts = partitions(docs.sparkSession)
-    texts = _distinct_texts(docs, text_col, 4 * parts, parts)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    ranges = max(parts, -(-size // group_bytes))  # a task holds the runs of one range, and one group's texts
+    texts = _distinct_texts(docs, text_col, 4 * ranges, parts)
 
     def anchors(pdf: pd.DataFrame) -> tuple[Anchors, pd.DataFrame]:
         pdf, unpacked, n = _unpacked(pdf)
@@ -314,136 +380,92 @@ def _kept_texts(docs: DataFrame, text_col: str, length: int, gram: int, many: in
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         own, m = anchors(pdf)[0], int(pdf["m"].iloc[0])
-        cut = own.buckets(parts).tolist()
-        rows = [(b, m, own.gram[i:j].tobytes() + own.span[i:j].tobytes() + own.multi[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
+        cut = np.searchsorted(_range(own.grams, ranges), np.arange(ranges + 1))
+        spans = own.spans.astype("<u4")
+        rows = [(b, m, own.grams[cut[b] : cut[b + 1]].tobytes() + spans[cut[b] : cut[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cut)).tolist()]
         return pd.DataFrame(rows, columns=["b", "m", "blob"])
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """1: repeated as a whole. 2: to exchange, for all its copies. 4: one of many with its gram."""
+        """For each gram of each group: 0, it stands at one anchor in all; 1, at more; 2, at more than ``hot``."""
         rows = [r for pdf in batches for r in zip(pdf["b"].tolist(), pdf["m"].tolist(), pdf["blob"], strict=True)]
         if not rows:
             return
-        rows.sort(key=lambda r: r[1])
-        size = np.array([len(r[2]) // 17 for r in rows])
-        pieces = [(np.frombuffer(r[2], np.uint64, n), np.frombuffer(r[2], np.uint64, n, 8 * n), np.frombuffer(r[2], bool, n, 16 * n)) for r, n in zip(rows, size.tolist(), strict=True)]
-        g, s, multi = (np.concatenate([p[i] for p in pieces]) for i in range(3))
-        order = np.lexsort((s, g))
-        g, s = g[order], s[order]
-        fresh_g = np.ones(len(g), bool)
-        fresh_g[1:] = g[1:] != g[:-1]
-        fresh = fresh_g.copy()
-        fresh[1:] |= s[1:] != s[:-1]
-        span, group = np.cumsum(fresh) - 1, np.cumsum(fresh_g) - 1
-        twice = (np.bincount(span) + np.bincount(span, multi[order])) >= 2
-        kinds = np.bincount(group, fresh)[group]
-        code = twice[span].astype(np.uint8) | np.where(fresh & (kinds >= 2), np.where(kinds > many, 4, 2), 0).astype(np.uint8)
-        back = np.empty(len(g), np.uint8)
-        back[order] = code
-        cut = np.concatenate([[0], np.cumsum(size)])
-        yield pd.DataFrame({"m": np.array([r[1] for r in rows], np.int32), "kind": 0, "b": [r[0] for r in rows], "blob": [back[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)]})
+        size = [len(r[2]) // 12 for r in rows]
+        grams = np.concatenate([np.frombuffer(r[2], "<u8", n) for r, n in zip(rows, size, strict=True)])
+        spans = np.concatenate([np.frombuffer(r[2], "<u4", n, 8 * n) for r, n in zip(rows, size, strict=True)])
+        _, of, = np.unique(grams, return_inverse=True)
+        total = np.bincount(of, spans)[of]
+        code = (total >= 2).astype(np.uint8) + (total > hot).astype(np.uint8)
+        cut = np.cumsum([0, *size]).tolist()
+        yield pd.DataFrame({"m": np.array([r[1] for r in rows], np.int32), "kind": 0, "b": [r[0] for r in rows], "blob": [code[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)]})
 
     counted = texts.groupBy("m").applyInPandas(count, "b int, m int, blob binary")
-    codes = counted.repartitionById(parts, F.col("b")).mapInPandas(decide, "m int, kind int, b int, blob binary")
+    codes = counted.repartitionById(ranges, F.col("b")).mapInPandas(decide, "m int, kind int, b int, blob binary")
     codes = staged(codes, "suffix-codes")
 
-    def coded(own: Anchors, said: pd.DataFrame) -> np.ndarray:
+    def items_of(own: Anchors, said: pd.DataFrame) -> Items:
         said = said[said["kind"] == 0].sort_values("b")
-        return np.frombuffer(b"".join(said["blob"]), np.uint8) if len(said) else np.zeros(0, np.uint8)
-
-    def deal(one: np.ndarray) -> np.ndarray:
-        part = ((one >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        return np.searchsorted(part, np.arange(parts + 1))
+        code = np.frombuffer(b"".join(said["blob"]), np.uint8) if len(said) else np.zeros(len(own.grams), np.uint8)
+        return Items(own, code, ranges)
 
     def exchange(pdf: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        if len(pdf) and len(said):
-            own, m = anchors(pdf)[0], int(pdf["m"].iloc[0])
-            code = coded(own, said)
-            data = own.data.tobytes()
-            cut = own.buckets(parts)
-            sent = np.flatnonzero(code & 2)
-            i = own.first[sent]
-            span = list(zip(sent.tolist(), own.at[i].tolist(), own.begin[i].tolist(), (own.begin[i] + own.count[i] - 1).tolist(), strict=True))
-            where = (np.searchsorted(cut, sent, side="right") - 1).tolist()
-            runs: dict[int, list] = {}
-            for b, (e, x, p, q) in zip(where, span, strict=True):
-                runs.setdefault(b, []).append((data[x : q + length], data[p:x], x - q, e))
-            rows += [(b, m, 1, front_coded(sorted(run))) for b, run in runs.items()]
-            hot = np.flatnonzero(code & 4)
-            if len(hot):
-                _, one, two, _ = own.windows(hot)
-                cut = deal(one).tolist()
-                rows += [(b, m, 2, one[i:j].tobytes() + two[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
-        return pd.DataFrame(rows, columns=["b", "m", "kind", "blob"])
+        if not len(pdf) or not len(said):
+            return pd.DataFrame({"b": [], "m": [], "blob": []})
+        own, m = anchors(pdf)[0], int(pdf["m"].iloc[0])
+        return pd.DataFrame([(b, m, blob) for b, blob in items_of(own, said).runs(own).items()], columns=["b", "m", "blob"])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = sorted((r for pdf in batches for r in zip(pdf["b"].tolist(), pdf["m"].tolist(), pdf["kind"].tolist(), pdf["blob"], strict=True)), key=lambda r: r[1])
-        runs = [r for r in rows if r[2] == 1]
-        found: dict[int, list[bytes]] = {}
-
-        def settle(group: list) -> None:
-            for run, entry, low, high in _repeats(group, length):
-                found.setdefault(runs[run][1], []).append(entry.to_bytes(4, "little") + low.to_bytes(2, "little") + high.to_bytes(2, "little"))
-
-        if runs:
-            group: list = []
-            for run, item, p in merged([read_run(r[3]) for r in runs]):
-                if group and p < gram:
-                    settle(group)
-                    group = []
-                group.append((run, item, p))
-            settle(group)
-        out = [(m, 1, rows[0][0], b"".join(set(x))) for m, x in found.items()]
-        hot = [r for r in rows if r[2] == 2]
-        if hot:
-            size = np.array([len(r[3]) // 16 for r in hot])
-            one = np.concatenate([np.frombuffer(r[3], np.uint64, n) for r, n in zip(hot, size.tolist(), strict=True)])
-            two = np.concatenate([np.frombuffer(r[3], np.uint64, n, 8 * n) for r, n in zip(hot, size.tolist(), strict=True)])
-            order = np.lexsort((two, one))
-            same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-            twice = np.zeros(len(one), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            cut = np.concatenate([[0], np.cumsum(size)])
-            out += [(r[1], 2, r[0], np.packbits(twice[i:j]).tobytes()) for r, i, j in zip(hot, cut, cut[1:], strict=False)]
-        if out:
-            yield pd.DataFrame(out, columns=["m", "kind", "b", "blob"])
-
-    sent = texts.groupBy("m").cogroup(codes.groupBy("m")).applyInPandas(exchange, "b int, m int, kind int, blob binary")
-    solved = sent.repartitionById(parts, F.col("b")).mapInPandas(solve, "m int, kind int, b int, blob binary")
+        """The items of each range, merged; ranges that share a task go one after the other."""
+        rows = sorted((r for pdf in batches for r in zip(pdf["b"].tolist(), pdf["m"].tolist(), pdf["blob"], strict=True)), key=lambda r: r[:2])
+        for b, of_range in groupby(rows, key=lambda r: r[0]):
+            runs = list(of_range)
+            found: dict[int, list[np.ndarray]] = {}
+
+            def settle(merge: list) -> None:
+                which, low, high = repeats(merge, length)
+                run = np.fromiter((r for r, _, _ in merge), np.int64, len(merge))[which]
+                got = np.empty(len(which), _ANSWER)
+                got["item"], got["low"], got["high"] = np.fromiter((item[4] for _, item, _ in merge), np.int64, len(merge))[which], low, high
+                order = np.argsort(run, kind="stable")
+                for r, mine in zip(*_pieces(run[order], got[order]), strict=True):
+                    found.setdefault(runs[r][1], []).append(mine)
+
+            held: list = []
+            for run, item, p in merged([read_run(r[2]) for r in runs]):
+                if p < gram and len(held) >= 1 << 15:
+                    settle(held)
+                    held = []
+                held.append((run, item, p))
+            if held:
+                settle(held)
+            if found:
+                yield pd.DataFrame([(m, 1, b, np.concatenate(x).tobytes()) for m, x in found.items()], columns=["m", "kind", "b", "blob"])
+
+    sent = texts.groupBy("m").cogroup(codes.groupBy("m")).applyInPandas(exchange, "b int, m int, blob binary")
+    solved = sent.repartitionById(ranges, F.col("b")).mapInPandas(solve, "m int, kind int, b int, blob binary")
 
     def remove(pdf: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({"key": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []})
+            return pd.DataFrame({"key": [], "n": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []})
         own, pdf = anchors(pdf)
         n = pdf["n"].to_numpy()
-        code = coded(own, said)
         cover = np.zeros(len(own.data) + 1, np.int32)
 
         def gone(begin: np.ndarray, end: np.ndarray) -> None:
             np.add.at(cover, begin, 1)
             np.add.at(cover, end, -1)
 
-        if len(code):
-            whole = (code[own.entry] & 1) > 0
-            gone(own.begin[whole], own.begin[whole] + own.count[whole] - 1 + length)
-            pairs = np.frombuffer(b"".join(said["blob"][said["kind"] == 1]), np.dtype([("entry", "<u4"), ("low", "<u2"), ("high", "<u2")]))
-            if len(pairs):
-                # an entry that isn't repeated as a whole has one place
-                x = own.at[own.first[pairs["entry"]]]
-                gone(x - pairs["high"], x - pairs["low"] + length)
-            hot = np.flatnonzero(code & 4)
-            if len(hot):
-                place, one, _, back = own.windows(hot)
-                cut = deal(one)
-                twice = np.zeros(len(one), bool)
-                for b, blob in zip(said["b"][said["kind"] == 2], said["blob"][said["kind"] == 2], strict=True):
-                    i, j = int(cut[b]), int(cut[b + 1])
-                    twice[i:j] = np.unpackbits(np.frombuffer(blob, np.uint8), count=j - i).astype(bool)
-                # a window in two of the group's own spans
-                twice |= np.bincount(back, minlength=len(one)) >= 2
-                at = place[twice[back]]
-                gone(at, at + length)
+        # spans, and blocks of hot ones, that occur twice within the group
+        twice = np.flatnonzero(own.multi[own.entry])
+        gone(own.begin[twice], own.begin[twice] + own.count[twice] - 1 + length)
+        if len(said):
+            items = items_of(own, said)
+            again = [(int(items.begin[i]), int(items.last[i])) for i in items.twice] + [p for places in items.twice.values() for p in places]
+            for a, b in again:
+                gone(np.array([a]), np.array([b + length]))
+            pairs = np.frombuffer(b"".join(said["blob"][said["kind"] == 1]), _ANSWER)
+            x = items.at[pairs["item"]]
+            gone(x - pairs["high"], x - pairs["low"] + length)
         inside = np.cumsum(cover[:-1]) > 0
         rows = []
         for key, copies, a, b in zip(pdf["key"], n.tolist(), own.offsets.tolist(), own.offsets[1:].tolist(), strict=False):
@@ -451,43 +473,48 @@ def _kept_texts(docs: DataFrame, text_col: str, length: int, gram: int, many: in
             if copies > 1 and b - a >= length:
                 out = np.ones(b - a, bool)
             starts = int(out[:1].sum()) + int((out[1:] & ~out[:-1]).sum())
-            rows.append((key, b - a, int(out.sum()), starts, own.data[a:b][~out].tobytes()))
-        return pd.DataFrame(rows, columns=["key", "n_bytes", "n_removed", "n_spans", "kept"])
+            rows.append((key, copies, b - a, int(out.sum()), starts, own.data[a:b][~out].tobytes()))
+        return pd.DataFrame(rows, columns=["key", "n", "n_bytes", "n_removed", "n_spans", "kept"])
 
     answers = codes.unionByName(solved)
-    return texts.groupBy("m").cogroup(answers.groupBy("m")).applyInPandas(remove, "key binary, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.groupBy("m").cogroup(answers.groupBy("m")).applyInPandas(remove, "key binary, n long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def _pieces(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The values of each key; keys are sorted."""
+    cut = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()] if len(keys) else []
+    return [int(keys[i]) for i in cut], [values[i:j] for i, j in zip(cut, [*cut[1:], len(keys)], strict=False)]
 
 
-def dedup_report(docs: DataFrame, length: int = 200, gram: int = 64, many: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_report(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
 
     Null text counts as empty; texts shorter than ``length`` lose nothing;
     of repeated texts, so of repeated rows, all lose all of it. Strings are
-    judged on the input. Other columns are ignored; null ids stay null.
-    ``many`` spans of one gram are compared by the merge, more by digests.
+    judged on the input. Other columns are ignored; null ids stay null. A
+    gram of more than ``hot`` spans is dealt in blocks; no result depends on it.
     """
-    kept = _kept_texts(docs, text_col, length, gram, many)
-    kept = kept.select("key", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = _kept_texts(docs, text_col, length, gram, hot)
+    kept = staged(kept.select("key", "n", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "suffix-report")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text_col).alias("key"))
-    return rows.join(kept, "key").drop("key")
+    return join_lookup(rows, kept, "key", "n", ["doc_id"]).drop("key")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, many: int = 48) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 1024) -> DataFrame:
     """``docs`` without the repeated bytes of ``text``; rows that lose all are dropped.
 
     Bytes of a character that was cut in two are left out. ``n_chars``, if
     present, is that of the new text. A null text stays null.
     """
+    key, left, lost, null = unused(docs, "_key", "_kept", "_lost", "_null")
 
     def text_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"_key": pdf["key"], "_kept": [k.decode(errors="ignore") for k in pdf["kept"]], "_all": pdf["n_bytes"] == pdf["n_removed"], "_any": pdf["n_removed"] > 0})
+            yield pd.DataFrame({key: pdf["key"], left: [k.decode(errors="ignore") for k in pdf["kept"]], lost: (pdf["n_bytes"] == pdf["n_removed"]) & (pdf["n_removed"] > 0)})
 
-    kept = _kept_texts(docs, "text", length, gram, many).mapInPandas(text_of, "_key binary, _kept string, _all boolean, _any boolean")
-    rows = docs.withColumn("_key", _key("text")).drop(*(["n_chars"] if "n_chars" in docs.columns else []))
-    was_null = F.col("text").isNull().alias("_null")
-    rows = rows.select("*", was_null).drop("text").join(kept, "_key").filter(~(F.col("_all") & F.col("_any")))
-    rows = rows.withColumn("text", F.when(~F.col("_null"), F.col("_kept")))
+    kept = _kept_texts(docs, "text", length, gram, hot).mapInPandas(text_of, f"{key} binary, {left} string, {lost} boolean")
+    rows = docs.withColumns({key: _key("text"), null: F.col("text").isNull()}).drop("text", *(["n_chars"] if "n_chars" in docs.columns else []))
+    rows = rows.join(kept.filter(~F.col(lost)), key).withColumn("text", F.when(~F.col(null), F.col(left)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

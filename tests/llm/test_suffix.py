@@ -52,11 +52,49 @@ def test_matches_brute_force(spark, seed):
 
 
 def test_many_spans_of_one_gram(spark):
-    """With the limit at two, nearly all goes by digests; the result is the same."""
+    """With a low limit nearly all grams are dealt in blocks; the result is the same."""
     texts = corpus(3, 80, 30, 2)
     want = brute(texts, 200)
-    assert run(spark, texts, many=1) == want
-    assert run(spark, texts, many=3) == want
+    assert run(spark, texts, hot=1) == want
+    assert run(spark, texts, hot=3) == want
+
+
+@pytest.mark.parametrize("code", [1, 2])
+def test_items_hold_every_window_once(code):
+    """As they are or in blocks, items have all windows of their spans, and deal equal windows alike."""
+    import numpy as np
+
+    texts = [t.encode() for t in corpus(7, 30, 20, 2)[:30]]
+    own = suffix.Anchors(texts, np.ones(len(texts), np.int64), 200, 64)
+    items = suffix.Items(own, np.full(len(own.grams), code, np.uint8), 1000)
+    places = [p for a, b in zip(items.begin.tolist(), items.last.tolist(), strict=True) for p in range(a, b + 1)]
+    assert len(places) == len(set(places))
+    windows = {own.data[p : p + 200].tobytes() for p in places}
+    assert windows == {own.data[p : p + 200].tobytes() for b, c in zip(own.begin.tolist(), own.count.tolist(), strict=True) for p in range(b, b + c)}
+    dealt = defaultdict(set)
+    for x, a, b, to in zip(items.at.tolist(), items.begin.tolist(), items.last.tolist(), items.to.tolist(), strict=True):
+        for p in range(a, b + 1):
+            dealt[own.data[p : p + 200].tobytes()].add((x - p, to))
+    assert all(len(v) == 1 for v in dealt.values())
+
+
+def test_repeats_against_all_pairs():
+    draw = random.Random(8)
+    length = 12
+    items = []
+    for i in range(200):
+        before = bytes(draw.choice(b"ab") for _ in range(draw.randint(0, 6)))
+        low = draw.randint(0, len(before))
+        items.append((bytes(draw.choice(b"ab") for _ in range(length - low)), before, low, i))
+    blob = suffix.front_coded(sorted(items))
+    merge = list(suffix.merged([suffix.read_run(blob)]))
+    got = set()
+    for which, low, high in zip(*(a.tolist() for a in suffix.repeats(merge, length)), strict=True):
+        got |= {(merge[which][1][4], k) for k in range(low, high + 1)}
+    window = lambda s, k: s[1][len(s[1]) - k :] + s[0][: length - k]
+    has = lambda s, k: s[2] <= k <= len(s[1])
+    want = {(s[3], k) for s in items for k in range(7) if has(s, k) and any(t is not s and has(t, k) and window(t, k) == window(s, k) for t in items)}
+    assert got == want
 
 
 def test_awkward_texts(spark):
