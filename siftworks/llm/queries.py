@@ -117,8 +117,9 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 ORACLE["op10_mixing"] = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
-), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ' ' || coalesce(text, ''))[1:15] AS BIGINT) AS hash FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM s),
 x AS (SELECT *, (place - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM w),
 y AS (
@@ -126,26 +127,34 @@ y AS (
             / CAST(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS rate FROM x
 ), z AS (SELECT *, CASE WHEN cap > rate * weight THEN rate END AS free FROM y),
 t AS (
-  SELECT source, source_size, place, (source_size + 65535) // 65536 AS n_shards,
-         CASE WHEN free IS NULL THEN CAST(cap AS DOUBLE)
-              ELSE first_value(free IGNORE NULLS) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * weight END AS target
+  SELECT *, CASE WHEN free IS NULL THEN CAST(cap AS DOUBLE)
+                 ELSE first_value(free IGNORE NULLS) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * weight END AS target
   FROM z
+),
+-- a seat for every eight words: the highest quotients of all parties
+q AS (SELECT place, target, unnest(range(1, CAST(target AS BIGINT) // 4 + (SELECT count(*) FROM t) + 2)) AS seat FROM t),
+o AS (SELECT place, row_number() OVER (ORDER BY target / CAST(2 * seat - 1 AS DOUBLE) DESC, place, seat) AS n FROM q),
+e AS (SELECT place, count(*) AS seats FROM o WHERE n <= (SELECT (sum(source_size) + 4) // 8 FROM s) GROUP BY place),
+h AS (
+  SELECT t.*, CAST(least(coalesce(seats, 0) * 8, cap) AS HUGEINT) AS words, greatest(1, (source_size + 65535) // 65536, (n + 8191) // 8192) AS shards
+  FROM t LEFT JOIN e USING (place)
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.place, greatest(1, n_shards) AS n_shards,
-         (((coalesce(doc_id, -1) % 2147483647 + 2147483647) % 2147483647) * 48271 + 7) % 2147483647 AS seq
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), q AS (
-  SELECT *, seq % n_shards AS shard FROM p
-), r AS (
-  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY place, shard ORDER BY seq, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin_,
-         CAST(sum(size) OVER (PARTITION BY place, shard) AS BIGINT) AS whole FROM q
-), u AS (
-  SELECT *, greatest(1, (whole + 32) // 64) AS parts,
-         CAST(floor(CASE WHEN source_size > 0 THEN target / source_size * greatest(1, (whole + 32) // 64) ELSE 0 END + 0.5) AS BIGINT) AS quota FROM r
+  SELECT d.doc_id, d.size, d.hash, h.source_size, h.target, h.place, h.words, d.hash % h.shards AS shard FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source
+), g AS (
+  SELECT place, shard, CAST(sum(size) AS BIGINT) AS held, any_value(words) AS words, greatest(1, any_value(source_size)) AS whole_size,
+         coalesce(sum(sum(size)) OVER (PARTITION BY place ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM p GROUP BY place, shard
+), k AS (SELECT place, shard, held, CAST((earlier + held) * words // whole_size - earlier * words // whole_size AS BIGINT) AS quota FROM g),
+r AS (
+  SELECT p.*, held, quota // greatest(held, 1) AS whole, quota % greatest(held, 1) AS rest, held // 64 AS blocks,
+         CAST(coalesce(sum(size) OVER (PARTITION BY place, shard ORDER BY hash, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin_
+  FROM p JOIN k USING (place, shard)
 )
 SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN size > 0 THEN list_sum(list_transform(range(((begin_ + 1) * parts - 1) // whole, ((begin_ + size) * parts - 1) // whole + 1),
-    lambda k: (least(((k + 1) * whole) // parts, begin_ + size) - greatest((k * whole) // parts, begin_))
-         * (quota // parts + CASE WHEN (k * 2147483629 + place * 104729 + shard * 7919 + 7) % parts < quota % parts THEN 1 ELSE 0 END))) ELSE 0 END AS BIGINT) AS taken
-FROM u
+  CAST(whole * size + CASE WHEN size > 0 THEN list_sum(list_transform(range(begin_ // 64, (begin_ + size - 1) // 64 + 1),
+    lambda k: greatest(0, least(k * 64 + CASE
+        WHEN k >= blocks THEN CASE WHEN rest // 64 = blocks THEN rest % 64 ELSE 0 END
+        WHEN (k * 2147483629 + place * 104729 + shard * 7919 + 7) % greatest(blocks, 1) < rest // 64 THEN 64
+        WHEN (k * 2147483629 + place * 104729 + shard * 7919 + 7) % greatest(blocks, 1) = rest // 64 THEN rest % 64 ELSE 0 END, begin_ + size) - greatest(k * 64, begin_)))) ELSE 0 END AS BIGINT) AS taken
+FROM r
 """

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from siftworks.llm import langid, mixing, packing
 from siftworks.llm.common import load_tokenizer, tokenizer_path
@@ -110,15 +111,37 @@ def test_mixing_matches_sql_and_its_rules(spark):
 
 
 def test_mixing_of_shards(spark):
-    rows = [(i, " ".join(["w"] * (i % 50)), "a" if i % 3 else "b") for i in range(300)]
-    docs = documents(spark, [r[1] for r in rows], sources=[r[2] for r in rows])
-    plan = mixing.mix_plan(docs, shard_words=500, block=16)
-    by = defaultdict(lambda: [0, 0.0])
-    for r in plan.collect():
-        by[r.source][0] += r.taken
-        by[r.source][1] = r.target
-        assert sum(b["words"] for b in r._blocks) == r["size"]
-    assert all(abs(t - want) < 0.05 * want for t, want in by.values())
+    """Of many small shards, with few ids, null ones and a source without words, each source comes to its seats."""
+    draw = random.Random(4)
+    rows = [(draw.choice([None, 1, 2]), " ".join(draw.choice("uvw") for _ in range(i % 50)), "abc"[min(2, i % 7)]) for i in range(300)] + [(i, None, "none") for i in range(40)]
+    docs = documents(spark, [r[1] for r in rows], [r[0] for r in rows], sources=[r[2] for r in rows])
+    got = mixing.mix_documents(docs.withColumnRenamed("size", "Size"), shard_words=200, shard_rows=7, block=16, seat=4).collect()
+    by = defaultdict(Counter)
+    for r in got:
+        assert 0 <= r.taken <= 3 * r["size"]
+        by[r.source_size].update(taken=r.taken, n=1)
+        by[r.source_size]["target"] = r.target
+    assert all(abs(c["taken"] - c["target"]) <= 4 for c in by.values()) and len(by) == 4
+
+
+@pytest.mark.parametrize("house", [0, 1, 9, 100, 3777])
+def test_seats_go_to_the_highest_quotients(spark, house):
+    draw = random.Random(house)
+    targets = [float(draw.choice([0, 1, 5, 5, 40, 900, 900, 12345])) for _ in range(30)]
+    rows = spark.createDataFrame(list(enumerate(targets, 1)), "place long, target double")
+    got = {r.place: r.seats for r in mixing.apportioned(rows, house, sum(targets)).collect()}
+    want = dict.fromkeys(got, 0)
+    for _ in range(house):
+        best = max(want, key=lambda p: (targets[p - 1] / (2 * want[p] + 1), -p))
+        want[best] += 1
+    assert got == want
+
+
+def test_running_totals_over_ranges(spark):
+    values = [random.Random(9).randint(0, 50) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(values)), "k long, v long").repartition(5)
+    got = sorted((r.k, r._rank, r._before_v) for r in mixing.running(rows, [F.col("k").desc()], ["v"], "t").collect())
+    assert got == [(k, 200 - k, sum(values[k + 1 :])) for k in range(200)]
 
 
 def test_mixing_of_little(spark):
@@ -133,6 +156,7 @@ def test_mixed_texts_are_the_taken_words(spark):
     taken = {r.doc_id: r.taken for r in mixing.mix_documents(docs).collect()}
     got = mixing.mixed_texts(docs)
     assert got.columns == docs.columns
+    assert {(r["size"], r.target, r.m, r.key) for r in got.collect()} == {("x", "t", 1, "k")}  # not the operator's own
     words = lambda t: re.findall(r"[^\x20\x09-\x0d]+", t or "")
     held = defaultdict(Counter)
     for r in got.collect():
