@@ -23,15 +23,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import bounded_batches
+from .common import bounded_batches, unused
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor decimal digits: fractions, circled numbers and the like.
+_NUMERALS = "".join(re.escape(chr(c)) for c in range(1 << 17) if chr(c).isnumeric() and not chr(c).isalpha())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 UNKNOWN = "und"
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
+    """Runs of letters (Unicode category L), lower-cased."""
     return _LETTERS.findall(text.lower())
 
 
@@ -142,25 +145,26 @@ class Crf:
         return np.add.reduceat(total[place], seg0, axis=0)
 
 
-def train(texts: list[str], langs: list[str], slots: int = 1 << 16, length: int = 48, batch: int = 64, rate: float = 0.5, most_words: int = 300_000, seed: int = 3) -> Crf:
+def train(texts: list[str], langs: list[str], slots: int = 1 << 16, length: int = 48, batch: int = 64, rate: float = 0.5, words: int = 300_000, seed: int = 3) -> Crf:
     """Fit on labelled texts by AdaGrad on the chains' log-likelihood.
 
     Chains are made of runs of 4 to 24 words of sampled texts; the next run of a chain comes
     from a text of any language, so the transitions learn code-switching.
-    ``most_words`` bounds the words that are used.
+    At most ``words`` are used, the same share of them for every label.
     """
     labels = sorted(set(langs))
     k = len(labels)
     draw = np.random.default_rng(seed)
     runs: list[tuple[list[str], int]] = []
-    left = most_words
+    left = [words // max(1, k)] * k
     for i in draw.permutation(len(texts)).tolist():
-        words = words_of(texts[i])[: max(0, left)]
-        left -= len(words)
+        label = labels.index(langs[i])
+        said = words_of(texts[i])[: left[label]]
+        left[label] -= len(said)
         at = 0
-        while at < len(words):
+        while at < len(said):
             n = int(draw.integers(4, 25))
-            runs.append((words[at : at + n], labels.index(langs[i])))
+            runs.append((said[at : at + n], label))
             at += n
     vocabulary: dict[str, int] = {}
     said, tags = [], []
@@ -218,21 +222,26 @@ def train(texts: list[str], langs: list[str], slots: int = 1 << 16, length: int
     return model
 
 
-def training_sample(docs: DataFrame, rows: int = 3000, chars: int = 4000, folds: int = 5) -> tuple[list[str], list[str]]:
+def training_sample(docs: DataFrame, rows: int = 1200, chars: int = 4000, labels: int = 64, folds: int = 5) -> tuple[list[str], list[str]]:
     """At most ``rows`` labelled texts whose ``crc32(doc_id) % folds`` is not 0, cut to ``chars`` for fitting only.
 
-    A first pass counts such rows; the second takes those whose hash falls
-    under the share that gives a fifth more than ``rows``, so a task hands
-    over its share of the sample and no more.
+    Each of the ``labels`` most frequent languages gives its share of them,
+    or all it has, so a rare one is learned, too; others are never
+    predicted. A first pass counts the languages' rows; the second takes
+    those whose hash falls under the share that gives a fifth more than
+    needed, so a task hands over its share of the sample and no more.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     some = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold != 0))
-    spread = 1 << 30
-    total = some.count()
-    below = spread if total <= 2 * rows else int(spread * min(1.0, (1.2 * rows + 50) / total))
-    h = F.xxhash64("doc_id")
-    some = some.filter(F.pmod(h, F.lit(spread)) < below).select(F.substring("text", 1, chars).alias("text"), "lang", F.pmod(h, F.lit(spread)).alias("_h"), "doc_id")
-    got = some.orderBy("_h", "doc_id", "lang", "text").limit(rows).collect()
+    counts = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(labels).collect()
+    if not counts:
+        return [], []
+    each, spread = max(1, rows // len(counts)), 1 << 30
+    below = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], spread if r["n"] <= 2 * each else int(spread * min(1.0, (1.2 * each + 50) / r["n"])))))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
+    drawn = some.select(F.substring("text", 1, chars).alias("text"), "lang", h.alias("h"), "doc_id").filter(F.col("h") < F.element_at(below, F.col("lang")))
+    order = W.partitionBy("lang").orderBy("h", "doc_id", "text")
+    got = drawn.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).orderBy("h", "doc_id", "lang", "text").collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
@@ -272,36 +281,40 @@ def _predict_series(batches: Iterator[pd.Series], model: Crf, most_words: int =
         yield pd.DataFrame({"lang_pred": pred, "score": score})
 
 
-def predict(docs: DataFrame, model: Crf) -> DataFrame:
-    """``docs`` with ``_lang`` and ``_score``, from the whole text alone; no shuffle.
+def predict(docs: DataFrame, model: Crf, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with two more columns, ``lang`` and ``score``, from the whole text alone; no shuffle.
 
     The score is the mean posterior of the language over the text's words.
-    A null text, or one without a letter, is ``und`` with score 0.
+    A null text, or one without a letter, is ``und`` with score 0. Columns
+    of ``docs`` with these names are replaced.
     """
 
     @F.pandas_udf("lang_pred string, score double")
     def said(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from _predict_series(texts, model)
 
-    rows = bounded_batches(docs).withColumn("_said", said(F.coalesce(F.col("text"), F.lit(""))))
-    return rows.withColumns({"_lang": F.col("_said.lang_pred"), "_score": F.col("_said.score")}).drop("_said")
+    (both,) = unused(docs, "_said")
+    rows = bounded_batches(docs).withColumn(both, said(F.coalesce(F.col("text"), F.lit(""))))
+    return rows.withColumns({lang: F.col(both)["lang_pred"], score: F.col(both)["score"]}).drop(both)
 
 
-def identify_language(docs: DataFrame, rows: int = 3000, chars: int = 4000, folds: int = 5) -> DataFrame:
+def identify_language(docs: DataFrame, rows: int = 1200, chars: int = 4000, words: int = 300_000, labels: int = 64, folds: int = 5) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs``.
 
     The model is fitted on a bounded sample of labelled rows outside the
-    held-out fold; prediction reads only the text. A null id is not held
-    out. Without labelled rows every text is ``und``. Repeated rows give
-    repeated rows; other columns are ignored.
+    held-out fold (``rows`` texts, ``chars`` of each, ``words`` in all, of
+    the ``labels`` most frequent languages); prediction reads only the text,
+    and all of it. A null id is not held out and not learned from. Without
+    labelled rows every text is ``und``. Repeated rows give repeated rows;
+    other columns are ignored.
     """
-    model = train(*training_sample(docs, rows, chars, folds))
+    model = train(*training_sample(docs, rows, chars, labels, folds), words=words)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.5, words: int = 300_000, **sample) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with a mean posterior of at least ``least``."""
-    model = train(*training_sample(docs, **options))
-    return predict(docs, model).filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
-
+    model = train(*training_sample(docs, **sample), words=words)
+    lang, score = unused(docs, "_lang", "_score")
+    return predict(docs, model, lang, score).filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
