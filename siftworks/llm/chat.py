@@ -21,28 +21,32 @@ from pyspark.sql.window import Window as W
 from .common import staged
 
 _SUMS = ["_a", "_b", "_c", "_d"]
+_CELL = ["_id", "_cell"]
 
 
 def _rolling(turns: DataFrame, span: int) -> DataFrame:
-    """``turns`` with ``position`` (from 0) and the rolling sums ``_a.._d``."""
-    cell = ["conv_id", "_cell"]
-    cells = turns.withColumn("_cell", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / span))
-    sizes = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("conv_id").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    on = lambda df, other: df.join(other.withColumnsRenamed({c: "_" + c for c in cell}), F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("_cell") == F.col("__cell"))).drop("_conv_id", "__cell")
-    order = W.partitionBy(*cell).orderBy("turn", "role", "text")
-    rows = on(cells, sizes).withColumn("position", F.col("_base") + F.row_number().over(order) - 1).drop("_base")
+    """``turns`` with ``position`` (from 0), ``n_turns`` of the conversation and the rolling sums ``_a.._d``.
+
+    The turns are dealt once, by conversation and stretch; all that is said
+    of a stretch comes to them by the same key.
+    """
+    ident = F.when(F.col("conv_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
+    rows = turns.withColumns({"_id": ident, "_cell": F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / span)}).repartition(*_CELL)
+    whole = W.partitionBy("_id")
+    before = whole.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy(*_CELL).orderBy("turn", "role", "text")
+    sizes = rows.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*_CELL, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(whole).alias("n_turns"))
+    rows = rows.withColumn("_row", F.row_number().over(order)).join(sizes, _CELL).withColumn("position", F.col("_base") + F.col("_row") - 1)
     said = [F.col("position"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
     one, two = F.xxhash64(*said), F.xxhash64(F.lit("second"), *said)
     low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
     rows = rows.withColumns(dict(zip(_SUMS, [low(one), F.shiftrightunsigned(one, 32), low(two), F.shiftrightunsigned(two, 32)], strict=True)))
-    totals = rows.groupBy(*cell).agg(*(F.sum(c).alias(c) for c in _SUMS))
-    totals = totals.select(*cell, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c + "0") for c in _SUMS))
-    within = W.partitionBy(*cell).orderBy("position").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumns({c: F.sum(c).over(within) for c in _SUMS})
-    rows = on(rows, totals)
-    return rows.withColumns({c: F.col(c) + F.col(c + "0") for c in _SUMS}).drop("_cell", *(c + "0" for c in _SUMS))
+    totals = rows.groupBy(*_CELL).agg(*(F.sum(c).alias(c) for c in _SUMS))
+    totals = totals.select(*_CELL, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c + "0") for c in _SUMS))
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({c: F.sum(c).over(upto) for c in _SUMS}).join(totals, _CELL)
+    return rows.withColumns({c: F.col(c) + F.col(c + "0") for c in _SUMS}).drop("_base", "_row", *(c + "0" for c in _SUMS))
 
 
 def collapse_snapshots(turns: DataFrame, span: int = 256) -> DataFrame:
@@ -51,17 +55,18 @@ def collapse_snapshots(turns: DataFrame, span: int = 256) -> DataFrame:
     Turns stand by number, then role and text, nulls first; a null role or
     text equals only another null; rows with a null ``conv_id`` are one
     conversation. Repeated rows are turns of their own. Other columns are
-    ignored. An empty table gives an empty one.
+    ignored. An empty table gives an empty one. A conversation of any length
+    is dealt by stretches of ``span`` turn numbers.
     """
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = staged(_rolling(rows, span), "chat-rolling")
-    lengths = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.max(F.struct("position", *_SUMS)).alias("_last"))
-    wholes = lengths.groupBy("n_turns", *(F.col(f"_last.{c}").alias(c) for c in _SUMS)).agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id")).alias("_first"))
-    ends = lengths.select("conv_id", F.col("n_turns").alias("_n"))
-    inner = rows.select("conv_id", (F.col("position") + 1).alias("n_turns"), *_SUMS).join(ends.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv"))).filter("n_turns < _n")
-    prefixes = inner.select("n_turns", *_SUMS).distinct()
-    kept = wholes.join(prefixes, ["n_turns", *_SUMS], "left_anti").select(F.col("_first.conv_id").alias("_kept"), "n_turns")
-    return rows.join(kept, F.col("conv_id").eqNullSafe(F.col("_kept"))).select("conv_id", "position", "turn", "role", "text", "n_turns")
+    ends = rows.filter(F.col("position") + 1 == F.col("n_turns"))
+    wholes = ends.groupBy("n_turns", *_SUMS).agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id", "_id"))["_id"].alias("_id"))
+    prefixes = rows.filter(F.col("position") + 1 < F.col("n_turns")).select((F.col("position") + 1).alias("n_turns"), *_SUMS).distinct()
+    kept = wholes.join(prefixes, ["n_turns", *_SUMS], "left_anti").select("_id")
+    # the stretches of the kept conversations, by which their turns are found
+    cells = rows.select(*_CELL).distinct().join(kept, "_id")
+    return rows.join(cells, _CELL).select("conv_id", "position", "turn", "role", "text", "n_turns")
 
 
 def render(turns: DataFrame, template: str = "<|%s|>\n%s\n", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
