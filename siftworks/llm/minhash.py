@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, partitions
 from .words import shingle_hashes
 
+
 class OnePermutation:
     """Fingerprints of ``bins`` bytes: the low eight bits of every bin's minimum."""
 
     def __init__(self, bins: int = 256, shingle: int = 5, seed: int = 1):
-        if bins & (bins - 1) or bins > 65536:
-            raise ValueError("bins must be a power of two")
+        if bins < 1 or bins & (bins - 1) or bins > 4096:  # the table of orders has bins**2 entries of two bytes
+            raise ValueError("bins must be a power of two up to 4096")
         self.bins, self.shingle = bins, shingle
         draw = np.random.default_rng(seed)
         self.order = np.argsort(draw.random((bins, bins)), axis=1).argsort(axis=1).astype(np.uint16)
@@ -84,44 +85,58 @@ def fingerprint_documents(docs: DataFrame, bins: int = 256, shingle: int = 5, id
 _NONE = -(1 << 63)
 
 
-def compare_with_edits(docs: DataFrame, bins: int = 256, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sortable(down: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Pairs of longs as 16 bytes each that sort like them."""
+    both = np.stack([down, h], axis=1).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
+
+
+def compare_with_edits(docs: DataFrame, bins: int = 256, shingle: int = 5, per_range: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of all texts and of their edits, and the likenesses the contract asks for.
 
-    The order is by descending id (null last, ties by text). Texts are dealt
-    once into ranges of ids; the head of each range also goes to the range
-    before it, so every document meets its successor in its own task. Only
-    range bounds and heads, one of each a partition, pass the driver.
+    The order is by descending id, null last, of one id by a hash of the
+    text. Texts are dealt once into ranges of this order, so an id of very
+    many rows goes to many tasks; the head of each range also goes to the
+    range before it, so every document meets its successor in its own task.
+    Of the rows only range bounds pass the driver, from ``per_range`` pairs
+    of id and hash a partition, and one head a range. Null text counts as
+    empty; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
-    rows = bounded_batches(docs).select(ident.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = partitions(spark)
-    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    cuts = np.array(sorted(set(cuts or []), reverse=True), np.int64)
+    down = F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = bounded_batches(docs).select(down.alias("down"), F.xxhash64(text).alias("h"), text.alias("text"))
+    n, keys = partitions(spark), rows.select("down", "h")
+    spread, wanted, total = 1 << 30, per_range * partitions(spark), docs.count()
+    below = spread if total <= 2 * wanted else int(spread * min(1.0, (1.2 * wanted + 50) / total))
+    drawn = keys.filter(F.pmod(F.xxhash64("down", "h"), F.lit(spread)) < below).distinct().limit(2 * wanted + 100).toPandas()
+    drawn = np.sort(_sortable(drawn["down"].to_numpy(np.int64), drawn["h"].to_numpy(np.int64)))
+    cuts = np.unique(drawn[[len(drawn) * i // n for i in range(1, n)]]) if len(drawn) else drawn
     n = len(cuts) + 1
-    bucket = lambda keys: n - 1 - np.searchsorted(cuts[::-1], keys, side="right") if len(cuts) else np.zeros(len(keys), np.int64)
+    bucket = lambda pdf: np.searchsorted(cuts, _sortable(pdf["down"].to_numpy(), pdf["h"].to_numpy()), side="right").astype(np.int32)
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"part": bucket(pdf["key"].to_numpy()), "key": pdf["key"]})
+            yield pd.DataFrame({"part": bucket(pdf), "down": pdf["down"], "h": pdf["h"]})
 
-    heads = {r["part"]: r["head"] for r in rows.select("key").mapInPandas(number, "part long, key long").groupBy("part").agg(F.max("key").alias("head")).collect()}
+    heads = keys.mapInPandas(number, "part int, down long, h long").groupBy("part").agg(F.min(F.struct("down", "h")).alias("head")).collect()
+    heads = {r["part"]: (r["head"]["down"], r["head"]["h"]) for r in heads}
     used = sorted(heads)
     before = {heads[b]: used[i - 1] for i, b in enumerate(used)}  # the first head follows the last range
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=1)
+        firsts: dict[tuple[int, int], bytes] = {}
         for pdf in batches:
-            keys = pdf["key"].to_numpy()
-            out = pd.DataFrame({"part": bucket(keys).astype(np.int32), "role": np.zeros(len(pdf), np.int32), "key": keys, "packed": [pack.compress(t.encode()) for t in pdf["text"]]})
-            head = out[[k in before for k in keys.tolist()]]
-            if len(head):
-                out = pd.concat([out, head.assign(part=np.array([before[k] for k in head["key"].tolist()], np.int32), role=np.int32(1))])
-            yield out
+            packed = [pack.compress(t.encode()) for t in pdf["text"]]
+            yield pd.DataFrame({"part": bucket(pdf), "role": np.int32(0), "down": pdf["down"], "h": pdf["h"], "packed": packed})
+            for key, text in zip(zip(pdf["down"].tolist(), pdf["h"].tolist(), strict=True), packed, strict=True):
+                if key in before:
+                    firsts[key] = min(text, firsts.get(key, text))
+        yield pd.DataFrame([(before[k], 1, *k, text) for k, text in firsts.items()], columns=["part", "role", "down", "h", "packed"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maker, unpack = OnePermutation(bins, shingle), zstandard.ZstdDecompressor()
-        old: list[tuple[int, str]] = []
 
         def answers(chunk: list[tuple[int, str]]) -> pd.DataFrame:
             texts = [t for _, t in chunk]
@@ -130,7 +145,7 @@ def compare_with_edits(docs: DataFrame, bins: int = 256, shingle: int = 5, id_co
             edited = [t.encode() for t in edits]
             a, b = maker.signatures(coded), maker.signatures(edited)
             return pd.DataFrame({
-                "doc_id": pd.array([None if k == _NONE else k for k, _ in chunk[:-1]], dtype="Int64"),
+                "doc_id": pd.array([None if d == ~_NONE else ~d for d, _ in chunk[:-1]], dtype="Int64"),
                 "n_chars": [len(t) for t in texts[:-1]],
                 "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
                 "fingerprint": [s.hex() for s in a[:-1]],
@@ -140,29 +155,22 @@ def compare_with_edits(docs: DataFrame, bins: int = 256, shingle: int = 5, id_co
             })
 
         after: tuple[int, str] | None = None
-        for pdf in batches:
-            for key, role, packed in zip(pdf["key"].tolist(), pdf["role"].tolist(), pdf["packed"], strict=True):
+        chunk: list[tuple[int, str]] = []
+        held = 0
+        for pdf in batches:  # the head of the next range comes first, then the rows in order
+            for row, role, packed in zip(pdf["down"].tolist(), pdf["role"].tolist(), pdf["packed"], strict=True):
                 text = unpack.decompress(packed).decode()
                 if role:
-                    # of equal heads the first by text follows
-                    after = min(after, (key, text), key=lambda x: x[1]) if after else (key, text)
+                    after = after or (row, text)
                     continue
-                if old and old[-1][0] == key:
-                    i = len(old)
-                    while i and old[i - 1][0] == key:
-                        i -= 1
-                    at = next((j for j in range(i, len(old)) if old[j][1] > text), len(old))
-                    old.insert(at, (key, text))
-                else:
-                    if len(old) >= 256:
-                        same = next(i for i in range(len(old)) if old[i][0] == old[-1][0])
-                        if same:
-                            yield answers(old[: same + 1])
-                            old = old[same:]
-                    old.append((key, text))
-        if old:
-            yield answers([*old, after or old[0]])
-
-    dealt = rows.mapInPandas(deal, "part int, role int, key long, packed binary")
-    dealt = dealt.repartitionById(n, F.col("part")).sortWithinPartitions(F.col("role").desc(), F.col("key").desc())
+                chunk.append((row, text))
+                held += len(text)
+                if len(chunk) > 1 and (len(chunk) > 256 or held > 4 << 20):
+                    yield answers(chunk)
+                    chunk, held = chunk[-1:], len(text)
+        if chunk:
+            yield answers([*chunk, after])
+
+    dealt = rows.mapInPandas(deal, "part int, role int, down long, h long, packed binary")
+    dealt = dealt.repartitionById(n, F.col("part")).sortWithinPartitions(F.col("role").desc(), "down", "h", "packed")
     return dealt.mapInPandas(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -127,14 +127,27 @@ def test_fingerprint_estimates_are_unbiased():
         assert abs(np.mean(errors)) < 3.5 * np.std(errors) / math.sqrt(len(errors)) + 0.01
 
 
-@pytest.mark.parametrize("ids", [[None, 5, 5, 1], [7, 7, 7, 7]])
+@pytest.mark.parametrize("ids", [[None, 5, 5, 1], [7, 7, 7, 7], [None] * 4])
 def test_fingerprints_with_ties_and_null_ids(spark, ids):
+    """Rows of one id stand by the hash of their text; repeated ones are rows of their own."""
     texts = ["b b", "c c c c", "a a", None]
+    texts, ids = texts + texts[:2], ids + ids[:2]
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t or "",) for t in texts], "t string").selectExpr("t", "xxhash64(t) as h").collect()}
     got = minhash.compare_with_edits(documents(spark, texts, ids)).collect()
-    want = sorted(zip([-(1 << 63) if i is None else i for i in ids], [t or "" for t in texts], strict=True), key=lambda x: (-x[0], x[1]))
+    want = sorted(zip([-(1 << 63) if i is None else i for i in ids], [t or "" for t in texts], strict=True), key=lambda x: (-x[0], hashed[x[1]]))
     edits = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest() for (_, t), (_, u) in zip(want, want[1:] + want[:1], strict=True))
     assert sorted(r.edited_sha256 for r in got) == edits
-    assert sorted((r.doc_id is None, r.doc_id) for r in got) == sorted((i is None, i) for i in ids)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i in ids)
+
+
+def test_fingerprints_of_a_hot_id(spark):
+    """Rows of one id go to many ranges, and none is lost between them."""
+    texts = [f"text {i} of many words " * (1 + i % 7) for i in range(400)]
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) as h").collect()}
+    got = minhash.compare_with_edits(documents(spark, texts, [3] * 300 + [None] * 100)).collect()
+    order = [*sorted(texts[:300], key=hashed.get), *sorted(texts[300:], key=hashed.get)]
+    edits = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(order, order[1:] + order[:1], strict=True)]
+    assert sorted(r.edited_sha256 for r in got) == sorted(hashlib.sha256(e.encode()).hexdigest() for e in edits)
 
 
 def test_fingerprints_of_few_rows(spark):
