@@ -87,7 +87,7 @@ def test_null_ids_and_repeated_rows(spark):
 def plain_search(rows, k=5, every=50):
     good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
+    for q, a in dict.fromkeys((i, tuple(v)) for i, v in good):
         if q % every == 0:
             scored = sorted(((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q))
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
@@ -99,7 +99,7 @@ def test_search(spark, options):
     draw = np.random.default_rng(2)
     centres = draw.normal(size=(6, 8))
     rows = [(int(i), [float(np.float32(x)) for x in centres[i % 6] + draw.normal(size=8) * 0.1]) for i in range(300)]
-    rows += [(500 + i, rows[0][1]) for i in range(30)] + [(600, None), (650, [None] * 8), (700, [float("nan")] * 8), (750, [float("inf")] * 8), (None, rows[1][1]), (800, [0.0] * 8)]
+    rows += [(500 + i, rows[0][1]) for i in range(30)] + [(100, rows[100][1]), (100, rows[7][1]), (150, rows[3][1]), (3, rows[3][1])] + [(600, None), (650, [None] * 8), (700, [float("nan")] * 8), (750, [float("inf")] * 8), (None, rows[1][1]), (800, [0.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as cell", "2 as far")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in knn.search_embeddings(df, **options).collect())
     assert got == plain_search(rows)
