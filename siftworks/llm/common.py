@@ -137,16 +137,17 @@ def load_tokenizer(path: str):
 
 
 def encode_unseen(tok, units: list[str], budget: int = 1 << 16):
-    """Encode distinct units in batches of about ``budget`` characters, longest first.
+    """Encode distinct units in batches of about ``budget`` bytes, longest first.
 
     Yields ``(unit, ids)``. Sorting by length keeps each batch of even cost.
     """
+    size = lambda u: (len(u) if u.isascii() else len(u.encode())) + 8
     units.sort(key=len, reverse=True)
     at = 0
     while at < len(units):
         end, held = at, 0
-        while end < len(units) and (held == 0 or held + len(units[end]) <= budget):
-            held += len(units[end]) + 8
+        while end < len(units) and (held == 0 or held + size(units[end]) <= budget):
+            held += size(units[end])
             end += 1
         batch = units[at:end]
         for unit, enc in zip(batch, tok.encode_batch_fast(batch, add_special_tokens=False), strict=True):

@@ -29,6 +29,7 @@ shared folder, and read from there without a shuffle by every step.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -367,8 +368,11 @@ def _unpacked(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes], np.ndarray]
     return pdf, [unpack.decompress(t) for t in pdf["packed"]], pdf["n"].to_numpy()
 
 
-def _kept_texts(docs: DataFrame, text_col: str, length: int, gram: int, hot: int, group_bytes: int = 32 << 20) -> DataFrame:
-    """``key, n, n_bytes, n_removed, n_spans, kept`` for every distinct text, of which there are ``n``."""
+def _kept_texts(docs: DataFrame, text_col: str, length: int, gram: int, hot: int, as_text: bool, group_bytes: int = 32 << 20) -> DataFrame:
+    """``key, n, n_bytes, n_removed, n_spans, kept`` for every distinct text, of which there are ``n``.
+
+    ``kept`` is the SHA-256 of the bytes that stay or, ``as_text``, what they say.
+    """
     parts = partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranges = max(parts, -(-size // group_bytes))  # a task holds the runs of one range, and one group's texts
@@ -473,11 +477,12 @@ def _kept_texts(docs: DataFrame, text_col: str, length: int, gram: int, hot: int
             if copies > 1 and b - a >= length:
                 out = np.ones(b - a, bool)
             starts = int(out[:1].sum()) + int((out[1:] & ~out[:-1]).sum())
-            rows.append((key, copies, b - a, int(out.sum()), starts, own.data[a:b][~out].tobytes()))
+            kept = own.data[a:b][~out].tobytes()
+            rows.append((key, copies, b - a, int(out.sum()), starts, kept.decode(errors="ignore") if as_text else hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(rows, columns=["key", "n", "n_bytes", "n_removed", "n_spans", "kept"])
 
     answers = codes.unionByName(solved)
-    return texts.groupBy("m").cogroup(answers.groupBy("m")).applyInPandas(remove, "key binary, n long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.groupBy("m").cogroup(answers.groupBy("m")).applyInPandas(remove, "key binary, n long, n_bytes long, n_removed long, n_spans long, kept string")
 
 
 def _pieces(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -494,8 +499,7 @@ def dedup_report(docs: DataFrame, length: int = 200, gram: int = 64, hot: int =
     judged on the input. Other columns are ignored; null ids stay null. A
     gram of more than ``hot`` spans is dealt in blocks; no result depends on it.
     """
-    kept = _kept_texts(docs, text_col, length, gram, hot)
-    kept = staged(kept.select("key", "n", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "suffix-report")
+    kept = staged(_kept_texts(docs, text_col, length, gram, hot, as_text=False).withColumnRenamed("kept", "kept_sha256"), "suffix-report")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text_col).alias("key"))
     return join_lookup(rows, kept, "key", "n", ["doc_id"]).drop("key")
 
@@ -506,15 +510,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int
     Bytes of a character that was cut in two are left out. ``n_chars``, if
     present, is that of the new text. A null text stays null.
     """
-    key, left, lost, null = unused(docs, "_key", "_kept", "_lost", "_null")
-
-    def text_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf["key"], left: [k.decode(errors="ignore") for k in pdf["kept"]], lost: (pdf["n_bytes"] == pdf["n_removed"]) & (pdf["n_removed"] > 0)})
-
-    kept = _kept_texts(docs, "text", length, gram, hot).mapInPandas(text_of, f"{key} binary, {left} string, {lost} boolean")
+    key, left, null = unused(docs, "_key", "_kept", "_null")
+    kept = _kept_texts(docs, "text", length, gram, hot, as_text=True).filter((F.col("n_bytes") > F.col("n_removed")) | (F.col("n_removed") == 0))
+    kept = kept.select(F.col("key").alias(key), F.col("kept").alias(left))
     rows = docs.withColumns({key: _key("text"), null: F.col("text").isNull()}).drop("text", *(["n_chars"] if "n_chars" in docs.columns else []))
-    rows = rows.join(kept.filter(~F.col(lost)), key).withColumn("text", F.when(~F.col(null), F.col(left)))
+    rows = rows.join(kept, key).withColumn("text", F.when(~F.col(null), F.col(left)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

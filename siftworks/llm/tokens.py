@@ -64,12 +64,13 @@ class PieceCounter:
         return list(fresh)
 
     def count(self, texts: list[str], budget: int = 1 << 21) -> list[int]:
-        """Token counts of ``texts``, taken in groups of about ``budget`` characters."""
+        """Token counts of ``texts``, taken in groups of about ``budget`` bytes."""
         out, at = [], 0
+        sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
         while at < len(texts):
             group, held = [], 0
-            while at < len(texts) and (not group or held + len(texts[at]) <= budget):
-                held += len(texts[at])
+            while at < len(texts) and (not group or held + sizes[at] <= budget):
+                held += sizes[at]
                 group.append(self._pieces(texts[at]))
                 at += 1
             full = len(self.words) + len(self.starts) > self.most
