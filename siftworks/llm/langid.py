@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -27,15 +28,17 @@ from pyspark.sql.window import Window as W
 
 from .common import bounded_batches, unused
 
-#: Word characters that are neither letters nor decimal digits: fractions, circled numbers and the like.
-_NUMERALS = "".join(re.escape(chr(c)) for c in range(1 << 17) if chr(c).isnumeric() and not chr(c).isalpha())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters (Unicode category L), lower-cased."""
-    return _LETTERS.findall(text.lower())
+    words = _LETTERS.findall(text.lower())
+    if "".join(words).isalpha() or not words:
+        return words
+    # fractions, circled numbers and the like are word characters, but no letters
+    return ["".join(run) for w in words for letters, run in groupby(w, str.isalpha) if letters]
 
 
 def _hash(slots: int, kind: int, *parts: np.ndarray) -> np.ndarray:

@@ -193,6 +193,29 @@ def test_language_of_awkward_texts(spark):
     assert langid.identify_language(documents(spark, [])).count() == 0
 
 
+def test_letters_are_of_category_l():
+    import unicodedata
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 1 << 17)]))
+    small = {c for x in every for c in x.lower()}
+    assert set("".join(langid.words_of(every))) == {c for c in small if unicodedata.category(c)[0] == "L"}
+    assert langid.words_of("Abc½d ² e3f") == ["abc", "d", "e", "f"]
+
+
+def test_sample_is_shared_among_languages(spark):
+    texts = [f"wort {i}" for i in range(900)] + [f"word {i}" for i in range(20)] + ["rare"] * 5
+    docs = documents(spark, texts, langs=["de"] * 900 + ["en"] * 20 + ["xx"] * 5)
+    _, langs = langid.training_sample(docs, rows=30, labels=2)
+    assert Counter(langs)["de"] == 15 and 0 < Counter(langs)["en"] <= 15 and "xx" not in langs
+
+
+def test_identified_rows_keep_their_columns(spark):
+    docs = documents(spark, ["the quick fox", "½² ①", None], langs=["en", "en", None]).selectExpr("*", "'a' as _said", "'b' as _lang", "'c' as _score", "'d' as lang_pred")
+    got = langid.keep_identified(docs)
+    assert got.columns == docs.columns
+    assert [(r.doc_id, r._said, r._lang, r._score, r.lang_pred) for r in got.collect()] == [(0, "a", "b", "c", "d")]
+
+
 def test_forward_backward_in_stretches_is_exact():
     draw = np.random.default_rng(1)
     model = langid.Crf(["a", "b", "c"], np.zeros((1, 3)), draw.normal(size=(3, 3)))

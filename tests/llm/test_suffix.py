@@ -141,7 +141,7 @@ def test_loser_tree_merges_with_known_prefixes():
 def test_remove_repeats_keeps_columns(spark):
     passage = "a passage of text that stands in two documents and is longer than it may be, " * 4
     texts = ["own words first " + passage, passage + " other words last", "untouched", None, passage, "copy" * 60, "copy" * 60]
-    docs = documents(spark, texts)
+    docs = documents(spark, texts).selectExpr("*", "1 as _null", "2 as _KEY", "3 as _kept", "4 as kept", "5 as n")
     got = suffix.remove_repeats(docs)
     assert got.columns == docs.columns
     kept = {r.doc_id: r.text for r in got.collect()}
