@@ -25,9 +25,21 @@ PHONE_DIGITS = (7, 15)
 EMPTY_TOKENS = ["", "n/a", "na", "#n/a", "-", "--", "null", "none", "unknown", "nil", "undefined"]
 
 
+#: An email address, and what is taken for an attempt at one.
+EMAIL = r"(?U)^[^\s@\x{FEFF}]+@[^\s@\x{FEFF}]+\.[^\s@\x{FEFF}]+\z"
+EMAIL_ATTEMPT = r"(?U)^[^\s@\x{FEFF}]+@[^\s@\x{FEFF}]+\z"
+
+#: Fixed value: the characters of a phone number.
+PHONE = r"^[+()\-.\s\d]+\z"
+
+#: Fixed value: a number, with a dollar sign before it, a percent sign behind it and commas anywhere.
+NUMERIC = r"^(?:[+-]?\$)?,*[+-]?,*\d[\d,]*(?:\.,*\d[\d,]*)?%?\z"
+
+
 def trim(value: Column) -> Column:
-    """Without white space, Unicode's included, at both ends."""
-    return F.regexp_replace(value, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    """Without white space, Unicode's included, at both ends; most values have none there and skip the pattern."""
+    clean = F.ascii(value).between(33, 126) & F.ascii(F.right(value, F.lit(1))).between(33, 126)
+    return F.when(clean, value).otherwise(F.regexp_replace(value, rf"(?U)^{SPACE}+|{SPACE}+\z", ""))
 
 
 def digits(value: Column) -> Column:
@@ -35,11 +47,11 @@ def digits(value: Column) -> Column:
 
 
 def looks_like_email(value: Column) -> Column:
-    return value.rlike(r"(?U)^[^\s@\x{FEFF}]+@[^\s@\x{FEFF}]+\.[^\s@\x{FEFF}]+\z")
+    return value.contains("@") & value.rlike(EMAIL)
 
 
 def looks_like_email_attempt(value: Column) -> Column:
-    return value.rlike(r"(?U)^[^\s@\x{FEFF}]+@[^\s@\x{FEFF}]+\z")
+    return value.contains("@") & value.rlike(EMAIL_ATTEMPT)
 
 
 def looks_like_date(value: Column) -> Column:
@@ -47,13 +59,11 @@ def looks_like_date(value: Column) -> Column:
 
 
 def looks_like_phone(value: Column) -> Column:
-    n = F.length(digits(value))
-    return ~looks_like_date(value) & value.rlike(r"^[+()\-.\s\d]+\z") & n.between(*PHONE_DIGITS)
+    return value.rlike(PHONE) & F.length(digits(value)).between(*PHONE_DIGITS) & ~looks_like_date(value)
 
 
 def looks_like_numeric(value: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"^[+-]?\$", ""), r"%\z", ""), ",", "")
-    return bare.rlike(r"^[+-]?\d+(\.\d+)?\z")
+    return value.rlike(NUMERIC)
 
 
 def is_empty_token(value: Column, tokens: list[str] | None = None) -> Column:

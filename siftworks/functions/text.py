@@ -6,10 +6,12 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import detect
+
 #: Fixed value: characters that count as one token.
 CHARS_PER_TOKEN = 4
 
@@ -36,6 +38,27 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / CHARS_PER_TOKEN).cast("long")
 
 
+def with_cost(df: DataFrame, prices: DataFrame, model: str = "model", prompt: str = "prompt_tokens", completion: str = "completion_tokens") -> DataFrame:
+    """``df`` with ``cost_usd`` by ``prices`` (``model, prompt_price, completion_price`` for a thousand tokens); null for a model without price.
+
+    The prices are a small fixed list, so they are broadcast.
+    """
+    listed = F.broadcast(prices.select(F.col("model").alias("_model"), "prompt_price", "completion_price"))
+    cost = F.col(prompt) / 1000 * F.col("prompt_price") + F.col(completion) / 1000 * F.col("completion_price")
+    return df.join(listed, F.col(model) == F.col("_model"), "left").withColumn("cost_usd", cost).drop("_model", "prompt_price", "completion_price")
+
+
+def completion_tokens(records: Column, each: int = 60) -> Column:
+    """The tokens an answer about so many records is thought to need."""
+    return (F.greatest(records, F.lit(0)) * each).cast("long")
+
+
+def answer_problem(text: Column) -> Column:
+    """``EMPTY_RESPONSE`` or ``JSON_PARSE_FAILED`` of an answer, or null."""
+    candidate = F.coalesce(json_candidate(text), detect.trim(text))
+    return F.when(detect.trim(F.coalesce(text, F.lit(""))) == "", "EMPTY_RESPONSE").when(F.try_parse_json(candidate).isNull(), "JSON_PARSE_FAILED")
+
+
 def round_half_up(value: Column) -> Column:
     """Halves go up, negative ones too."""
     return F.floor(value + 0.5)

@@ -29,9 +29,11 @@ def extract(fields: DataFrame) -> DataFrame:
     key = ["upload_id", "row_number"]
     # headers that are integers come first, in order of their value
     order = F.when(F.col("header").rlike(r"^(0|[1-9]\d{0,8})\z"), F.struct(F.lit(0).alias("k"), F.col("header").try_cast("long").alias("n"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("column_index").cast("long").alias("n")))
-    filled = F.when(value.isNotNull() & (detect.trim(value) != ""), target)
-    firsts = [F.min(F.when(filled == f, F.struct(order.alias("o"), value.alias("value"), F.col("header").alias("header")))).alias(f"_{f}") for f in FIELDS]
-    rows = fields.groupBy(*key).agg(*firsts)
+    filled = value.isNotNull() & (detect.trim(value) != "")
+    # a projection of its own: each cell's field is found once, not once for each field
+    found = fields.select(*key, F.when(filled, target).alias("_target"), F.struct(order.alias("o"), value.alias("value"), F.col("header").alias("header")).alias("_cell"))
+    firsts = [F.min(F.when(F.col("_target") == f, F.col("_cell"))).alias(f"_{f}") for f in FIELDS]
+    rows = found.groupBy(*key).agg(*firsts)
     made = F.array(*(F.struct(F.lit(f).alias("target_field"), F.col(f"_{f}.value").alias("value"), F.when(F.col(f"_{f}").isNotNull(), 1.0).otherwise(0.0).alias("confidence"), F.col(f"_{f}.header").alias("source_header")) for f in FIELDS))
     return check_enums(rows.select(*key, made.alias("fields")))
 

@@ -133,7 +133,7 @@ def normalization_report(fields: DataFrame) -> DataFrame:
         "dates_parsed": (kind == "date") & F.col("details.date.iso").isNotNull(),
         "failed_date_parses": (kind == "date") & F.col("details.date.iso").isNull(),
         "numbers_normalized": (kind == "number") & F.col("details.number.value").isNotNull(),
-        "booleans_normalized": (kind == "bool") & F.col("details.bool.value").isNotNull(),
+        "booleans_normalized": (kind == "boolean") & F.col("details.bool.value").isNotNull(),
         "fields_with_warnings": F.col("status") == "warning",
         "fields_failed": F.col("status") == "failed",
     }

@@ -121,6 +121,39 @@ def analyze_columns(fields: DataFrame) -> DataFrame:
     )
 
 
+def classifier_evidence(fields: DataFrame, most: int = 3) -> DataFrame:
+    """``upload_id, column_index, classifier, evidence``: the first different values, by row, that each classifier takes; at most ``most``."""
+    values = fields.filter(F.col("normalized_value") != "").groupBy(*COLUMN, F.col("normalized_value").alias("value")).agg(F.min("row_number").alias("first_row"))
+    kinds = F.filter(F.array(*(F.when(f(F.col("value")), F.lit(k)) for k, f in CLASSIFIERS.items())), lambda k: k.isNotNull())
+    found = values.select(*COLUMN, "value", "first_row", F.explode(kinds).alias("classifier"))
+    rank = F.row_number().over(W.partitionBy(*COLUMN, "classifier").orderBy("first_row", "value"))
+    first = found.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return first.groupBy(*COLUMN, "classifier").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("evidence"))
+
+
+#: Kinds of values that normalization tells apart.
+VALUE_KINDS = ("email", "phone", "date", "number", "boolean")
+
+
+def dataset_context(fields: DataFrame, samples: int = 5) -> DataFrame:
+    """Per column: share of nulls, the most frequent kind of value (of equal ones the first seen), the first different values.
+
+    One aggregate per different value comes first, so no step sees more of
+    a column than its values.
+    """
+    value, kind = F.col("normalized_value"), F.col("details.kind")
+    values = fields.groupBy(*COLUMN, "header", value.alias("value"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("row_number").alias("first_row"))
+    of = lambda k: F.col("value").isNotNull() & (F.col("kind") == k)
+    counted = [c for k in VALUE_KINDS for c in (F.sum(F.when(of(k), F.col("n"))).alias(f"_n_{k}"), F.min(F.when(of(k), F.col("first_row"))).alias(f"_f_{k}"))]
+    totals = values.groupBy(*COLUMN, "header").agg(F.sum("n").alias("record_count"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("_nulls"), *counted)
+    best = F.array_max(F.filter(F.array(*(F.struct(F.col(f"_n_{k}").alias("n"), (-F.col(f"_f_{k}")).alias("first"), F.lit(k).alias("kind")) for k in VALUE_KINDS)), lambda x: x["n"].isNotNull()))
+    seen = values.filter("value is not null").groupBy(*COLUMN, "value").agg(F.min("first_row").alias("first_row"))
+    rank = F.row_number().over(W.partitionBy(*COLUMN).orderBy("first_row", "value"))
+    first = seen.withColumn("rank", rank).filter(F.col("rank") <= samples).groupBy(*COLUMN).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("samples"))
+    out = totals.join(first, COLUMN, "left")
+    return out.select(*COLUMN, "header", "record_count", (F.col("_nulls") / F.col("record_count")).alias("null_ratio"), best["kind"].alias("type_hint"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+
+
 def dataset_kind(headers: DataFrame) -> DataFrame:
     """The kind of each dataset by the words in its headers, with a confidence."""
     per = headers.groupBy("upload_id").agg(F.count(F.lit(1)).alias("_n"), *(F.max(F.col("normalized").contains(w)).cast("int").alias(f"_{k}_{i}") for k, words in V.DATASET_KINDS.items() for i, w in enumerate(words)))
@@ -173,8 +206,36 @@ def tiers(columns: DataFrame, ranked: DataFrame) -> DataFrame:
     return columns.select(*COLUMN).join(top, COLUMN, "left").withColumn("tier", tier)
 
 
+def semantic_context(mapped: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Per column its tier, its best field and the others as ``alternates``, best first: what a model is told."""
+    rest = ranked.filter("rank > 1").groupBy(*COLUMN).agg(F.array_sort(F.collect_list(F.struct("rank", "field_id", "confidence"))).alias("_rest"))
+    alternates = F.coalesce(F.transform("_rest", lambda x: F.struct(x["field_id"].alias("field_id"), x["confidence"].alias("confidence"))), F.array().cast("array<struct<field_id:string,confidence:double>>"))
+    return mapped.join(rest, COLUMN, "left").select(*COLUMN, "tier", F.col("field_id").alias("top_field"), F.coalesce("confidence", F.lit(0.0)).alias("top_confidence"), alternates.alias("alternates"))
+
+
 def semantic_report(mapped: DataFrame) -> DataFrame:
-    """Columns in each tier, coverage and the mean of the best confidences."""
+    """Per dataset the columns of each tier and their number, coverage and the mean of the best confidences."""
+    names = ("deterministic", "ai_candidate", "ai_required", "unknown")
     count = lambda t: F.count_if(F.col("tier") == t).alias(f"{t}_count")
+    listed = lambda t: F.array_sort(F.collect_list(F.when(F.col("tier") == t, F.col("column_index")))).alias(f"{t}_columns")
     covered = F.count_if(F.col("tier").isin("deterministic", "ai_candidate"))
-    return mapped.groupBy("upload_id").agg(*(count(t) for t in ("deterministic", "ai_candidate", "ai_required", "unknown")), (covered / F.count(F.lit(1))).alias("coverage"), F.avg(F.coalesce("confidence", F.lit(0.0))).alias("average_confidence"))
+    return mapped.groupBy("upload_id").agg(
+        F.count(F.lit(1)).alias("columns_analyzed"), *map(count, names), *map(listed, names),
+        (covered / F.count(F.lit(1))).alias("coverage"), F.avg(F.coalesce("confidence", F.lit(0.0))).alias("average_confidence"),
+    )
+
+
+def analyze_semantics(headers: DataFrame, fields: DataFrame, extra: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """All that is known of the columns' meaning, from ``headers`` (profiles) and normalized ``fields``.
+
+    ``matches`` of headers with fields, ``columns`` with statistics,
+    ``ranked`` fields of each column, its tier (``mapped``), the dataset's
+    ``kind``, a ``report`` and the ``context`` for a model. The first three
+    have some rows a column of the data and are used by all others, so they
+    are cached; ``unpersist`` them when done.
+    """
+    matches, columns = match_headers(headers, extra=extra).cache(), analyze_columns(fields).cache()
+    ranked = confidences(matches, columns).cache()
+    mapped = tiers(columns, ranked)
+    kind = dataset_kind(headers)
+    return {"matches": matches, "columns": columns, "ranked": ranked, "mapped": mapped, "kind": kind, "report": semantic_report(mapped).join(kind, "upload_id", "left"), "context": semantic_context(mapped, ranked)}

@@ -19,7 +19,8 @@ select c_custkey as row_number,
  case c_custkey % 7 when 0 then '2026-01-15' when 1 then '15/01/2026' when 2 then '01/15/2026' when 3 then '05/06/2026'
    when 4 then '15-Jan-2026' when 5 then 'not a date' else '2026-02-30' end as created,
  cast(cast(c_acctbal as decimal(12,2)) as string) as budget_num,
- '$' || cast(cast(c_acctbal as decimal(12,2)) as string) as budget,
+ case c_custkey % 13 when 0 then '$12,345,678.90' when 1 then '0.0001%' when 2 then '1000000000000000000000' when 3 then '$0.00000012' when 4 then '-$5,000.50'
+   when 5 then '12345678901234567890.5' else '$' || cast(cast(c_acctbal as decimal(12,2)) as string) end as budget,
  case c_custkey % 8 when 0 then 'Yes' when 1 then 'n' when 2 then 'TRUE' when 3 then 'f' when 4 then '' else 'maybe' end as interested,
  case when c_custkey % 4 = 0 then '“Call ’ later”   please' else 'note  ' || cast(c_custkey as string) end as remarks
 from customer join nation on c_nationkey = n_nationkey
@@ -31,6 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
-    return spark.sql(LEADS)
+    # subqueries for the tables' names, so that no view of the session is replaced
+    text = LEADS
+    for name in ("customer", "nation"):
+        text = text.replace(f"from {name} ", f"from {{{name}}} {name} ").replace(f"join {name} ", f"join {{{name}}} {name} ")
+    return spark.sql(text, customer=table(spark, sf_dir, "customer"), nation=table(spark, sf_dir, "nation"))

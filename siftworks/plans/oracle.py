@@ -67,6 +67,18 @@ def iso(v: str) -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
+def number_text(v: str) -> str:
+    """A double as text: DuckDB's own, which has an exponent from 1e16 on and below 1e-4, brought to one from 1e21 on and below 1e-6."""
+    t = f"CAST({v} AS VARCHAR)"
+    digits, power = f"replace(replace(regexp_extract({t}, '^([^e]*)e', 1), '.', ''), '-', '')", f"try_cast(regexp_extract({t}, 'e(.*)$', 1) AS INTEGER)"
+    sign = f"CASE WHEN {v} < 0 THEN '-' ELSE '' END"
+    return (
+        f"CASE WHEN NOT contains({t}, 'e') THEN regexp_replace({t}, '\\.0$', '') "
+        f"WHEN {power} >= 21 OR {power} < -6 THEN regexp_replace(regexp_replace({t}, '\\.0e', 'e'), 'e([+-]?)0', 'e\\1') "
+        f"WHEN {power} < 0 THEN {sign} || '0.' || repeat('0', -{power} - 1) || {digits} ELSE {sign} || rpad({digits}, {power} + 1, '0') END"
+    )
+
+
 def ambiguous(v: str) -> str:
     e = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})$"
     return f"(regexp_matches({v}, '{e}') AND coalesce(try_cast(regexp_extract({v}, '{e}', 1) AS INTEGER) <= 12, false) AND coalesce(try_cast(regexp_extract({v}, '{e}', 2) AS INTEGER) <= 12, false))"
@@ -93,7 +105,7 @@ fields AS (SELECT row_number, column_index, header, raw_value, kind,
    CASE kind WHEN 'null' THEN NULL WHEN 'email' THEN mail
      WHEN 'phone' THEN CASE WHEN regexp_matches(tel, '^\+') AND regexp_matches({digits('tel')}, '^91[6-9]\d{{9}}$') THEN '+' || {digits('tel')} ELSE {digits('tel')} END
      WHEN 'date' THEN coalesce(iso, v)
-     WHEN 'number' THEN CASE WHEN CAST(num AS DOUBLE) = floor(CAST(num AS DOUBLE)) THEN CAST(CAST(num AS DECIMAL(38,0)) AS VARCHAR) ELSE CAST(CAST(num AS DOUBLE) AS VARCHAR) END
+     WHEN 'number' THEN {number_text('CAST(num AS DOUBLE)')}
      WHEN 'boolean' THEN CASE WHEN lower(v) IN ('yes','y','true','t') THEN 'true' ELSE 'false' END
      ELSE translate(v, '“”‘’', '""''''') END AS normalized_value,
    CASE kind WHEN 'email' THEN CASE WHEN {email('mail')} THEN 1.0 ELSE 0.4 END

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detect, rules, text
-from ..operators import batches, cells, extract, profile, semantic, trust
+from ..operators import batches, cells, extract, profile, trust
 from ..sources import delimited
 from . import oracle as O
 from .leads import LEADS, leads, table
+from .registry import ORACLE, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-HEADERS = ["Full Name", "E-mail", "Contact No.", "Lead Status", "Enquiry Date", "Budget", "Remarks", "Campaign Name", "Stage", "Cty", "Owner", "Form Name"]
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
+__all__ = ["ORACLE", "QUERIES"]
 
 WITH = f"WITH leads AS ({LEADS}) "
 
@@ -41,11 +25,6 @@ def lead_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.normalize_cells(lead_cells(spark, sf_dir), compose=False)
 
 
-def header_rows(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([("h", i, h) for i, h in enumerate(HEADERS)], "upload_id string, column_index int, header string")
-    return profile.header_profiles(rows)
-
-
 # sources
 
 
@@ -172,7 +151,7 @@ def date_rule(spark, sf_dir):
     return leads(spark, sf_dir).withColumn("o", rules.parse_date(F.col("created"))).select("row_number", "created", "o.iso", "o.ambiguous")
 
 
-@query(WITH + "SELECT row_number, CAST(replace(budget, '$', '') AS DOUBLE) AS number, CASE WHEN budget[1] = '$' THEN '$' END AS currency_symbol FROM leads")
+@query(WITH + "SELECT row_number, CAST(replace(replace(replace(budget, '$', ''), ',', ''), '%', '') AS DOUBLE) AS number, CASE WHEN budget[1] = '$' THEN '$' END AS currency_symbol FROM leads")
 def number_rule(spark, sf_dir):
     return leads(spark, sf_dir).withColumn("o", rules.number_rule(F.col("budget"))).select("row_number", F.col("o.details.number.value").alias("number"), "o.details.number.currency_symbol")
 
@@ -215,72 +194,6 @@ def field_issues(spark, sf_dir):
     return profile.field_issues(lead_fields(spark, sf_dir)).select("issue_rank", "row_number", "header", "code", "total_issue_count")
 
 
-# meaning of columns
-
-_HEADERS_SQL = "h(column_index, header) AS (VALUES " + ", ".join(f"({i}, '{h}')" for i, h in enumerate(HEADERS)) + "), n AS (SELECT column_index, header, lower(regexp_replace(regexp_replace(header, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS normalized FROM h)"
-_ALIAS_SQL = "al(alias_order, alias, field_id) AS (VALUES " + ", ".join(f"({i}, '{a.replace(' ', '_').replace('-', '_')}', '{f}')" for i, (a, f) in enumerate(semantic._pairs(None))) + ")"
-
-
-@query(f"WITH {_HEADERS_SQL} SELECT column_index, header, normalized, count(*) OVER (PARTITION BY normalized) > 1 AS is_duplicate FROM n")
-def header_names(spark, sf_dir):
-    return header_rows(spark).select("column_index", "header", "normalized", "is_duplicate")
-
-
-_MATCH_SQL = f"""WITH {_HEADERS_SQL}, {_ALIAS_SQL},
-g AS (SELECT n.column_index, n.normalized, al.* , list_transform(range(1, length(n.normalized)), lambda i: n.normalized[i:i+1]) AS x, list_transform(range(1, length(al.alias)), lambda i: al.alias[i:i+1]) AS y FROM n, al
-  WHERE normalized NOT IN (SELECT alias FROM al)),
-s AS (SELECT *, 2.0 * list_sum(list_transform(list_distinct(x), lambda b: least(len(list_filter(x, lambda c: c = b)), len(list_filter(y, lambda c: c = b))))) / (len(x) + len(y)) AS score FROM g),
-b AS (SELECT *, row_number() OVER (PARTITION BY column_index, field_id ORDER BY score DESC, alias_order) AS k, min(alias_order) OVER (PARTITION BY column_index, field_id) AS f FROM s WHERE score >= 0.45),
-t AS (SELECT *, row_number() OVER (PARTITION BY column_index ORDER BY score DESC, f) AS j FROM b WHERE k = 1),
-m AS (SELECT column_index, normalized, field_id, 1.0::DOUBLE AS score, 'exact_alias' AS match_type, alias AS matched_alias, alias_order FROM n JOIN al ON normalized = alias
-  UNION ALL SELECT column_index, normalized, field_id, score::DOUBLE, 'fuzzy', alias, alias_order FROM t WHERE j <= 3)
-"""
-
-
-@query(_MATCH_SQL + "SELECT column_index, normalized, field_id, round(score, 9) AS score, match_type, matched_alias FROM m")
-def alias_match(spark, sf_dir):
-    return semantic.match_headers(header_rows(spark)).select("column_index", "normalized", "field_id", F.round("score", 9).alias("score"), "match_type", "matched_alias")
-
-
-@query(_MATCH_SQL + ", a AS (SELECT *, lead(score) OVER w AS nxt, row_number() OVER w AS r FROM m WINDOW w AS (PARTITION BY column_index ORDER BY score DESC, alias_order)) SELECT column_index, field_id AS top_field, coalesce(score - nxt < 0.1, false) AS is_ambiguous FROM a WHERE r = 1")
-def header_ambiguity(spark, sf_dir):
-    return semantic.header_ambiguity(semantic.match_headers(header_rows(spark))).select("column_index", "top_field", "is_ambiguous")
-
-
-@query("SELECT 'mixed' AS detected_kind, 0.7::DOUBLE AS confidence")
-def dataset_kind(spark, sf_dir):
-    return semantic.dataset_kind(header_rows(spark)).select("detected_kind", "confidence")
-
-
-@query("WITH " + O.fields(LEADS) + r""", v AS (SELECT header, count(*) AS total_count, count(nullif(normalized_value, '')) AS n, count(DISTINCT nullif(normalized_value, '')) AS u, sum(length(nullif(normalized_value, ''))) AS chars, entropy(nullif(normalized_value, '')) AS h FROM fields GROUP BY header),
-e AS (SELECT header, -sum(c / t * log2(c / t)) AS h FROM (SELECT header, normalized_value, count(*) AS c, sum(count(*)) OVER (PARTITION BY header) AS t FROM fields WHERE normalized_value <> '' GROUP BY header, normalized_value) GROUP BY header),
-r AS (SELECT header, count(*) FILTER (""" + O.email("normalized_value") + ") AS em, count(*) FILTER (" + O.phone("normalized_value") + ") AS ph, count(*) FILTER (" + O.date("normalized_value") + r""") AS da, count(*) FILTER (lower(normalized_value) IN ('india','canada','china','japan','brazil','germany','france','united kingdom','united states')) AS lo FROM fields WHERE normalized_value <> '' GROUP BY header)
-SELECT v.header, CAST(total_count AS BIGINT) AS total_count, CAST(n AS BIGINT) AS non_empty_count, CAST(u AS BIGINT) AS unique_count, round(u / n, 6) AS uniqueness, CASE WHEN u > 1 THEN round(e.h / log2(u), 6) ELSE 0.0 END AS entropy,
-  round(em / n, 6) AS email_ratio, round(ph / n, 6) AS phone_ratio, round(da / n, 6) AS date_ratio, round(lo / n, 6) AS location_ratio FROM v JOIN e USING (header) JOIN r USING (header)""")
-def column_semantics(spark, sf_dir):
-    fields = lead_fields(spark, sf_dir)
-    names = spark.createDataFrame([(i, c) for i, c in enumerate(O.LEAD_COLUMNS)], "column_index int, header string")
-    rounded = lambda *names: [F.round(c, 6).alias(c) for c in names]
-    return semantic.analyze_columns(fields).join(F.broadcast(names), "column_index").select("header", "total_count", "non_empty_count", "unique_count", *rounded("uniqueness", "entropy", "email_ratio", "phone_ratio", "date_ratio", "location_ratio"))
-
-
-def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    heads = profile.header_profiles(spark.createDataFrame([("", i, c) for i, c in enumerate(O.LEAD_COLUMNS)], "upload_id string, column_index int, header string"))
-    columns = semantic.analyze_columns(lead_fields(spark, sf_dir))
-    return columns, semantic.confidences(semantic.match_headers(heads), columns)
-
-
-@query()
-def field_confidences(spark, sf_dir):
-    return _ranked(spark, sf_dir)[1].select("column_index", "field_id", F.round("confidence", 9).alias("confidence"), "rank", F.array_join("evidence", ",").alias("evidence"))
-
-
-@query()
-def semantic_report(spark, sf_dir):
-    columns, ranked = _ranked(spark, sf_dir)
-    return semantic.semantic_report(semantic.tiers(columns, ranked))
-
-
 # extraction and trust
 
 
@@ -378,14 +291,6 @@ def business_rules(spark, sf_dir):
     return got.select("row_number", "i.code", "i.severity")
 
 
-@query(WITH + "SELECT row_number, 'MISSING_FIELD' AS code, CAST(13 AS INTEGER) AS missing, CAST(1 AS INTEGER) AS unknown FROM leads")
-def schema_diff(spark, sf_dir):
-    part = F.array(*(F.struct(F.lit(f).alias("target_field"), F.lit("x").alias("value")) for f in ("name", "email", "nickname")))
-    got = leads(spark, sf_dir).select("row_number", trust.schema_issues(part).alias("i"))
-    n = lambda code: F.size(F.filter("i", lambda x: x["code"] == code))
-    return got.select("row_number", F.get("i", F.lit(0))["code"].alias("code"), n("MISSING_FIELD").alias("missing"), n("UNKNOWN_FIELD").alias("unknown"))
-
-
 # batches, prompts, answers
 
 
@@ -395,16 +300,6 @@ def batch_summaries(spark, sf_dir):
     return trust.trust_summary(got, ["batch_id"]).select("batch_id", "record_count", "approved_count", "repair_count")
 
 
-@query("""WITH b AS (SELECT user_id, epoch_us(min(ts)) // 1000 AS s, epoch_us(max(ts)) // 1000 AS e, count(*) AS n, sum(value) AS c FROM events GROUP BY user_id)
-SELECT CAST(count(*) AS BIGINT) AS batch_count, CAST(count(*) FILTER (user_id % 10 <> 0) AS BIGINT) AS completed_count, CAST(sum(n) AS BIGINT) AS record_count, CAST(max(e) - min(s) AS BIGINT) AS elapsed_ms, CAST(sum(e - s) AS BIGINT) AS busy_ms,
-  round(least(1.0, sum(e - s) / ((max(e) - min(s)) * 1000.0)), 9)::DOUBLE AS utilization, round(sum(n) / ((max(e) - min(s)) / 1000.0), 9)::DOUBLE AS records_per_second, round(count(*) FILTER (user_id % 10 <> 0) / count(*) * 100, 9) AS percent_complete FROM b""")
-def execution_metrics(spark, sf_dir):
-    ms = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 1000)
-    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(ms(F.min("ts")).alias("started_ms"), ms(F.max("ts")).alias("ended_ms"), F.count(F.lit(1)).alias("record_count"), F.sum("value").alias("cost_usd"))
-    got = batches.execution_metrics(runs.withColumn("status", F.when(F.col("user_id") % 10 != 0, "completed").otherwise("failed")), 1000)
-    return got.select("batch_count", "completed_count", "record_count", "elapsed_ms", "busy_ms", *(F.round(c, 9).alias(c) for c in ("utilization", "records_per_second", "percent_complete")))
-
-
 @query("SELECT conv_id, turn, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, sha256(text)[1:16] AS hash FROM conversations")
 def token_estimates(spark, sf_dir):
     t = F.col("text")
@@ -423,10 +318,3 @@ def answers_to_records(spark, sf_dir):
     answer = F.concat(F.lit('Here it is:\n```json\n{"records":[{"row":'), F.col("c_custkey").cast("string"), F.lit(',"fields":'), name, F.lit("},7]}\n```"))
     got = table(spark, sf_dir, "customer").select(text.json_candidate(answer).alias("text"))
     return extract.wide(extract.records_from_json(got)).select("row_number", "name", "crm_status", "email")
-
-
-@query("SELECT event_id, true AS success, 'trailing_commas,unbalanced_brackets' AS repairs, event_type AS said FROM events")
-def json_repair(spark, sf_dir):
-    broken = F.concat(F.lit('{"said": "'), F.col("event_type"), F.lit('", "list": [1, 2,], "open": {"a": 1'))
-    got = table(spark, sf_dir, "events").select("event_id", text.repair_json(broken).alias("r"))
-    return got.select("event_id", "r.success", F.array_join("r.repairs", ",").alias("repairs"), F.get_json_object("r.text", "$.said").alias("said"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import detect
+from ..operators.profile import disambiguate_headers
 
 #: Fixed value: the largest file, in bytes.
 MAX_BYTES = 25 * 1024 * 1024
@@ -98,22 +99,62 @@ class TokenizeFile:
         text, encoding = decode(bytes(content or b""))
         text = text.removeprefix("﻿")
         delimiter = find_delimiter(text)
+        i = -1
         for i, record in enumerate(tokenize(text, delimiter)):
             yield i, record, delimiter, encoding
+        if i < 0:
+            yield -1, None, delimiter, encoding
 
 
-def read_records(files: DataFrame) -> DataFrame:
-    """``upload_id, ordinal, raw_cells, delimiter, encoding`` of ``binaryFile`` rows no larger than the limit."""
-    spark = files.sparkSession
-    spark.udtf.register("siftworks_tokenize", TokenizeFile)
-    files.filter(F.col("length") <= MAX_BYTES).createOrReplaceTempView("siftworks_files")
-    return spark.sql("select f.path as upload_id, t.* from siftworks_files f, lateral siftworks_tokenize(f.content) t")
+@F.udtf(returnType="n_chars bigint, n_bytes bigint, is_blank boolean")
+class MeasureFile:
+    """Length of the decoded text, in characters and UTF-8 bytes, and whether it is blank."""
 
+    def eval(self, content: bytes):
+        text, _ = decode(bytes(content or b""))
+        yield len(text), len(text.encode(errors="replace")), not text.strip().strip("\ufeff")
+
+
+def verify_uploads(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
+    """``upload_id, code, severity`` of what is wrong with each of ``files``.
 
-def file_problems(files: DataFrame) -> DataFrame:
-    """Why files can't be taken: empty ones and those over the limit; the content isn't read for the size."""
-    items = F.array(F.when(F.col("length") == 0, F.lit("EMPTY_FILE")), F.when(F.col("length") > MAX_BYTES, F.lit("FILE_TOO_LARGE")))
-    return files.select(F.col("path").alias("upload_id"), F.explode(F.filter(items, lambda x: x.isNotNull())).alias("code"))
+    ``files`` are ``binaryFile`` rows; ``file_name, mime_type, declared_bytes``
+    are checked where they are columns. Sizes are those of the decoded text
+    as UTF-8, so a mark or UTF-16 makes the declared size differ, which is a
+    warning. All other codes are errors: such a file isn't parsed. A file
+    whose raw size is over four times the limit can't decode to less and is
+    not read.
+    """
+    has = set(files.columns)
+    col = lambda c: F.col(c) if c in has else F.lit("-")
+    blank = lambda c: F.trim(F.coalesce(col(c).cast("string"), F.lit(""))) == ""
+    read = F.when(F.col("length") <= 4 * most, F.col("content"))
+    kept = [F.col(c) for c in ("file_name", "mime_type", "declared_bytes") if c in has]
+    rows = files.select(F.col("path").alias("upload_id"), "length", read.alias("content"), *kept)
+    rows = rows.lateralJoin(MeasureFile(F.col("content").outer()))
+    size = F.when(F.col("content").isNull() & (F.col("length") > 4 * most), F.col("length")).otherwise(F.col("n_bytes"))
+    problem = lambda holds, code, severity="error": F.when(holds, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+    errors = [
+        problem(blank("file_name"), "MISSING_FILE_NAME"),
+        problem(blank("mime_type"), "MISSING_MIME_TYPE"),
+        problem(F.col("is_blank") & (F.col("length") <= 4 * most), "EMPTY_FILE"),
+        problem(size > most, "FILE_TOO_LARGE"),
+    ]
+    found = F.filter(F.array(*errors), lambda x: x.isNotNull())
+    if "declared_bytes" in has:
+        differs = problem(F.col("declared_bytes") != size, "DECLARED_SIZE_MISMATCH", "warning")
+        found = F.when((F.size(found) == 0) & (F.col("declared_bytes") != size), F.array(differs)).otherwise(found)
+    return rows.select("upload_id", F.explode(found).alias("_p")).select("upload_id", "_p.code", "_p.severity")
+
+
+def read_records(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
+    """``upload_id, ordinal, raw_cells, delimiter, encoding`` of ``binaryFile`` rows no larger than ``most``.
+
+    Larger ones give one row without cells, so that ``parse`` can say so; of
+    a file without records there is one, too.
+    """
+    rows = files.select(F.col("path").alias("upload_id"), F.when(F.col("length") <= most, F.col("content")).alias("content"), (F.col("length") > most).alias("_large"))
+    return rows.lateralJoin(TokenizeFile(F.col("content").outer())).select("upload_id", F.when(~F.col("_large"), F.col("ordinal")).alias("ordinal"), "raw_cells", "delimiter", "encoding")
 
 
 def parse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,28 +162,29 @@ def parse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Blank records go, row numbers count the others; short rows are padded,
     long ones cut, and marked ``recovered``; blank headers are numbered,
-    repeated ones get a suffix.
+    repeated ones get a suffix. ``error`` of a dataset is null or one of
+    ``FILE_TOO_LARGE``, ``EMPTY_DATASET``, ``HEADERLESS_FILE``; such a file
+    has a dataset and no rows.
     """
     head = records.filter("ordinal = 0")
-    names = head.select("upload_id", F.posexplode("raw_cells").alias("i", "raw"))
-    n = F.row_number().over(W.partitionBy("upload_id", "raw").orderBy("i"))
-    repeated = F.count(F.lit(1)).over(W.partitionBy("upload_id", "raw")) > 1
-    empty = detect.trim(F.col("raw")) == ""
-    named = names.select("upload_id", "i", (~empty & repeated).alias("dup"), empty.alias("blank"), F.when(empty, F.concat(F.lit("Column "), (F.col("i") + 1).cast("string"))).when(n > 1, F.concat("raw", F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col("raw")).alias("header"))
-    heads = named.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("i", "header", "dup", "blank"))).alias("h"))
+    names = head.select("upload_id", F.posexplode("raw_cells").alias("column_index", "raw_header"))
+    named = disambiguate_headers(names).withColumn("blank", detect.trim(F.col("raw_header")) == "")
+    heads = named.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("column_index", "header", "raw_duplicate", "blank"))).alias("h"))
     body = records.filter("ordinal > 0").withColumn("is_blank", F.forall("raw_cells", lambda c: detect.trim(c) == ""))
     counts = body.groupBy("upload_id").agg(F.count_if(F.col("is_blank")).alias("blank_rows"), F.count_if(~F.col("is_blank")).alias("row_count"))
+    first = records.filter("ordinal is null or ordinal <= 0").select("upload_id", "ordinal", "delimiter", "encoding")
+    none = F.array().cast("array<string>")
     datasets = (
-        head.select("upload_id", "delimiter", "encoding").join(heads, "upload_id").join(counts, "upload_id", "left")
+        first.join(heads, "upload_id", "left").join(counts, "upload_id", "left")
         .select(
-            "upload_id", F.transform("h", lambda x: x["header"]).alias("headers"), F.transform("h", lambda x: x["dup"]).alias("dup_flags"), "delimiter", "encoding",
-            F.coalesce("row_count", F.lit(0)).alias("row_count"), F.size("h").alias("column_count"), F.coalesce("blank_rows", F.lit(0)).alias("blank_rows"),
-            F.forall("h", lambda x: x["blank"]).alias("is_headerless"),
+            "upload_id", F.coalesce(F.transform("h", lambda x: x["header"]), none).alias("headers"), F.coalesce(F.transform("h", lambda x: x["raw_duplicate"]), F.array().cast("array<boolean>")).alias("dup_flags"), "delimiter", "encoding",
+            F.coalesce("row_count", F.lit(0)).alias("row_count"), F.when(F.col("h").isNull(), 0).otherwise(F.size("h")).alias("column_count"), F.coalesce("blank_rows", F.lit(0)).alias("blank_rows"),
+            F.when(F.col("ordinal").isNull(), "FILE_TOO_LARGE").when(F.col("ordinal") < 0, "EMPTY_DATASET").when(F.forall("h", lambda x: x["blank"]), "HEADERLESS_FILE").alias("error"),
         )
     )
     width = F.col("column_count")
     have = F.size("raw_cells")
-    rows = body.filter("not is_blank").join(datasets.select("upload_id", "column_count"), "upload_id")
+    rows = body.filter("not is_blank").join(datasets.filter("error is null").select("upload_id", "column_count"), "upload_id")
     rows = rows.select(
         "upload_id", F.row_number().over(W.partitionBy("upload_id").orderBy("ordinal")).cast("long").alias("row_number"), "raw_cells",
         F.slice(F.concat("raw_cells", F.array_repeat(F.lit(""), width)), F.lit(1), width).alias("cells"),
@@ -167,6 +209,6 @@ def parse_warnings(datasets: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``datasets`` and ``rows`` of all files at ``path``."""
+    """``datasets`` and ``rows`` of all files at ``path``; a file that can't be taken is a dataset with an ``error``."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
     return parse(read_records(files))

@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from siftworks.plans.queries import ORACLE, QUERIES
+from siftworks.plans import imports, queries, semantics  # noqa: F401
+from siftworks.plans.registry import ORACLE, QUERIES
 
 
 def normal(rows):

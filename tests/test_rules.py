@@ -81,6 +81,26 @@ def test_number_rule_takes_other_currencies(spark):
     assert [(r.n, r.c) for r in got] == [(1850000.0, "₹"), (5.0, "€"), (-5.0, None), (None, None)]
 
 
+def test_numbers_as_text(spark):
+    items = [1e21, 1.5e22, 1e20, 123456789012345680.0, 12345678.9, 1e7, 150000.0, 0.0001, 0.001, 1.5e-6, 1e-7, -1.25e-9, -12345678.5, 0.0]
+    want = ["1e+21", "1.5e+22", "100000000000000000000", "123456789012345680", "12345678.9", "10000000", "150000", "0.0001", "0.001", "0.0000015", "1e-7", "-1.25e-9", "-12345678.5", "0"]
+    assert values(spark, items, rules.number_text, "double") == want
+
+
+def test_preview_of_a_file(spark, tmp_path):
+    from siftworks.operators import preview
+
+    (tmp_path / "leads.csv").write_text("Full Name,E-mail,Budget\n" + "".join(f"Person {'abc'[i % 3]}x,p{i}@x.io,${i},000\n" for i in range(60)))
+    (tmp_path / "empty.csv").write_text("")
+    datasets, rows = delimited.read_delimited(spark, str(tmp_path))
+    got = preview.preview(datasets.filter("error is null").cache(), rows.cache(), compose=False)
+    assert {r.error for r in datasets.collect()} == {None, "EMPTY_DATASET"}
+    assert got["rows"].count() == 50 and got["metadata"].first().row_count == 60
+    assert {r.column_index: r.field_id for r in got["mapped"].collect()} == {0: "name", 1: "email", 2: got["mapped"].filter("column_index = 2").first().field_id}
+    assert got["report"].first().columns_analyzed == 3 and got["normalization"].first().emails_normalized == 60
+    assert {r.type_guess for r in got["columns"].collect()} == {"text", "email", "numeric"}
+
+
 def test_dice_is_symmetric_and_bounded(spark):
     pairs = [("night", "nacht"), ("aaaa", "aa"), ("a", "b"), ("same", "same"), ("", "x")]
     df = spark.createDataFrame(pairs, "a string, b string")
