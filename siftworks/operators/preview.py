@@ -11,7 +11,7 @@ from . import cells, profile, semantic
 def preview(datasets: DataFrame, rows: DataFrame, compose: bool = True, limit: int = 50) -> dict[str, DataFrame]:
     """Tables of ``datasets`` and ``rows`` as ``sources.delimited.parse`` gives them.
 
-    ``headers``, ``columns``, ``types`` (columns by guessed type),
+    ``headers``, ``profiles`` of columns, ``types`` (columns by guessed type),
     ``metadata``, the first ``rows``, ``normalization`` (counts and health),
     ``issues``, and the tables of ``semantic.analyze_semantics``. Nothing runs
     before a table is used; ``rows`` should be stored if several are.
@@ -26,7 +26,7 @@ def preview(datasets: DataFrame, rows: DataFrame, compose: bool = True, limit: i
     parsed = datasets.select("upload_id", "blank_rows").join(recovered, "upload_id", "left").join(repeated, "upload_id", "left").withColumn("n_bytes", F.lit(0))
     return {
         "headers": headers,
-        "columns": columns,
+        "profiles": columns,
         "types": profile.dataset_intelligence(columns),
         "metadata": profile.dataset_metadata(long, parsed),
         "rows": profile.preview(rows, limit),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,7 +209,14 @@ def parse_warnings(datasets: DataFrame, rows: DataFrame) -> DataFrame:
     return d.select("upload_id", F.explode(items).alias("w")).select("upload_id", "w.*").filter("count > 0")
 
 
+def files_at(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, content`` of all files at ``path``, empty ones too, which Spark lists but doesn't read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    listed = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    return files.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+
+
 def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``datasets`` and ``rows`` of all files at ``path``; a file that can't be taken is a dataset with an ``error``."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    return parse(read_records(files))
+    return parse(read_records(files_at(spark, path)))

@@ -98,7 +98,7 @@ def test_preview_of_a_file(spark, tmp_path):
     assert got["rows"].count() == 50 and got["metadata"].first().row_count == 60
     assert {r.column_index: r.field_id for r in got["mapped"].collect()} == {0: "name", 1: "email", 2: got["mapped"].filter("column_index = 2").first().field_id}
     assert got["report"].first().columns_analyzed == 3 and got["normalization"].first().emails_normalized == 60
-    assert {r.type_guess for r in got["columns"].collect()} == {"text", "email", "numeric"}
+    assert {r.type_guess for r in got["profiles"].collect()} == {"text", "email", "numeric"}
 
 
 def test_dice_is_symmetric_and_bounded(spark):
