@@ -81,12 +81,13 @@ class Crf:
     weights: np.ndarray  # slots x labels
     steps: np.ndarray  # label x label
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """The words' summed weights."""
-        if not words:
-            return np.zeros((0, len(self.labels)), np.float32)
-        slot, first = features(words, len(self.weights))
-        return np.add.reduceat(self.weights[slot], first, axis=0)
+    def scores(self, words: list[str], size: int = 8192) -> np.ndarray:
+        """The words' summed weights, ``size`` words at a time, so that their features stay few."""
+        out = np.zeros((len(words), len(self.labels)), np.float32)
+        for at in range(0, len(words), size):
+            slot, first = features(words[at : at + size], len(self.weights))
+            out[at : at + size] = np.add.reduceat(self.weights[slot], first, axis=0)
+        return out
 
     def posteriors(self, scores: np.ndarray, lengths: np.ndarray, stretch: int = 64) -> np.ndarray:
         """Sums over each text's words of the posterior of every label.
@@ -248,7 +249,7 @@ def training_sample(docs: DataFrame, rows: int = 1200, chars: int = 4000, labels
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
-def _predict_series(batches: Iterator[pd.Series], model: Crf, most_words: int = 250_000, group: int = 100_000) -> Iterator[pd.DataFrame]:
+def _predict_series(batches: Iterator[pd.Series], model: Crf, most_words: int = 120_000, group: int = 40_000) -> Iterator[pd.DataFrame]:
     """Predictions for batches of texts; scores of words are remembered, up to ``most_words``."""
     kinds = len(model.labels)
     known: dict[str, int] = {}

@@ -436,7 +436,7 @@ def _kept_texts(docs: DataFrame, text_col: str, length: int, gram: int, hot: int
 
             held: list = []
             for run, item, p in merged([read_run(r[2]) for r in runs]):
-                if p < gram and len(held) >= 1 << 15:
+                if p < gram and len(held) >= 1 << 14:
                     settle(held)
                     held = []
                 held.append((run, item, p))
