@@ -13,8 +13,7 @@ buckets are cut into strips of the first coordinates.
 
 Similar texts (``similar_components``) are another matter: MinHash bands only
 propose pairs, and every link is the exact Jaccard similarity of the two sets
-of shingle hashes. There a large bucket's pivot is one of its own rows, and
-the distance is the Jaccard distance, itself a metric.
+of shingle hashes.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_lookup, staged, unused
+from .common import bounded_batches, join_lookup, partitions, staged, unused
 from .components import forest
 from .words import mixed, shingle_hashes
 
@@ -199,6 +198,8 @@ def near_components(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
 
 #: Bands of MinHash values and values a band: a pair at similarity 0.8 meets in none of them in 3 of a million cases.
 BANDS, VALUES = 32, 5
+#: Rows of a block of a large bucket; two blocks are compared in one task.
+CELL = 1024
 
 
 def shingle_sets(texts: list[bytes], shingle: int = 5) -> list[np.ndarray]:
@@ -242,38 +243,49 @@ def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return bounded_batches(held.select("a", "b", "x", "y")).mapInPandas(run, "a binary, b binary, alike double")
 
 
-def _crossing(least: float, block: int = 1 << 20):
-    """Of rows sorted by ``bucket, cell``: the pairs of different roots that sizes and pivot distances allow."""
+def _linked(least: float, columns: int = 4096):
+    """Of rows sorted by ``bucket, one, two``: a forest of the links between rows of different roots of a cell.
 
-    def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        pdf = pdf.sort_values(["n", "key"], kind="stable")
-        key, n, near = (pdf[c].to_numpy() for c in ("key", "n", "alike"))
+    The similarities of the rows outside a cell's largest component to all of
+    the cell are products of 0/1 matrices over the shingles that two rows
+    hold, some columns at a time; no pair becomes a row.
+    """
+
+    def links(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         root = pd.factorize(pdf["root"])[0]
-        upto = np.searchsorted(n, np.floor(n / least + 1e-9), side="right")
-        spans = upto - np.arange(len(n)) - 1
-        at = 0
-        while at < len(n):
-            end = max(at + 1, int(np.searchsorted(np.cumsum(spans[at:]), block, side="right")) + at)
-            left = np.repeat(np.arange(at, end), spans[at:end])
-            first = np.concatenate([[0], np.cumsum(spans[at:end])[:-1]])
-            right = np.arange(len(left)) - np.repeat(first, spans[at:end]) + left + 1
-            some = (root[left] != root[right]) & (np.abs(near[left] - near[right]) <= 1 - least + 1e-9)
-            x, y = key[left[some]], key[right[some]]
-            low = x < y
-            yield pd.DataFrame({"a": np.where(low, x, y), "b": np.where(low, y, x)})
-            at = end
+        few = np.flatnonzero(root != np.bincount(root).argmax())
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["own"]]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        of = np.repeat(np.arange(len(sets)), n)
+        _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[at]
+        of, place = of[place >= 0], place[place >= 0]
+        order = np.argsort(place, kind="stable")
+        of, place = of[order], place[order]
+        shared = np.zeros((len(few), len(sets)), np.float32)
+        for low in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+            i, j = np.searchsorted(place, (low, low + columns))
+            has = np.zeros((len(sets), columns), np.float32)
+            has[of[i:j], place[i:j] - low] = 1
+            shared += has[few] @ has.T
+        alike = shared >= least * (n[few][:, None] + n[None, :] - shared) - 1e-6
+        x, y = np.nonzero(alike & (root[few][:, None] != root[None, :]))
+        joined = _roots(len(sets), few[x], y)
+        child = np.flatnonzero(joined != np.arange(len(sets)))
+        key = pdf["key"].to_numpy()
+        return key[child], key[joined[child]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
             pdf = pd.concat([*held, pdf]) if held else pdf
-            at = pdf[["bucket", "cell"]].to_numpy()
+            at = pdf[["bucket", "one", "two"]].to_numpy()
             edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist()]
-            for a, b in zip(edges, edges[1:], strict=False):
-                yield from pairs(pdf.iloc[a:b])
+            for i, j in zip(edges, edges[1:], strict=False):
+                yield pd.DataFrame(dict(zip("ab", links(pdf.iloc[i:j]), strict=True)))
             held = [pdf.iloc[edges[-1] :]]
         if held:
-            yield from pairs(held[0])
+            yield pd.DataFrame(dict(zip("ab", links(held[0]), strict=True)))
 
     return run
 
@@ -325,19 +337,19 @@ def _similar_roots(docs: DataFrame, least: float, shingle: int, bands: int, valu
     links = told.filter(F.col("alike") >= least).select("a", "b")
     root = forest(links)
 
-    # a large bucket whose rows aren't one component: pairs across components, in strips of the distance to its pivot and of size
-    named = piv.join(root, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", "lo", F.coalesce("root", "key").alias("root"))
-    open_ = named.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x < _y").select("bucket")
-    left = named.join(open_, "bucket").join(told.select(F.col("a").alias("lo"), F.col("b").alias("key"), "alike"), ["lo", "key"], "left").withColumn("alike", F.coalesce("alike", F.lit(1.0)))
-    left = staged(left, "similar-open")
-    if not left.isEmpty():
-        place = F.floor((1 - F.col("alike")) / (1 - least + 1e-6)).cast("int")
-        size = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(least - 1e-6))).cast("int")
-        cells = left.withColumn("cell", F.explode(F.array(*(((place - i + 1) * 1000 + size - j + 1).cast("int") for i in (0, 1) for j in (0, 1)))))
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        cells = cells.select("bucket", "cell", "key", "n", "root", "alike").repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell")
-        more = cells.mapInPandas(_crossing(least), "a binary, b binary").distinct().join(told, ["a", "b"], "left_anti")
-        more = staged(_jaccard(more, sets).filter(F.col("alike") >= least).select("a", "b"), "similar-more")
+    # a large bucket whose rows aren't one component: its rows meet with their sets, in cells of two blocks of bounded size
+    named = piv.select("bucket", "key").join(root, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    open_ = named.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count(F.lit(1)).alias("m")).filter("_x < _y")
+    open_ = staged(open_.select("bucket", "m"), "similar-open")
+    if not open_.isEmpty():
+        left = join_lookup(named, open_.withColumn("blocks", F.ceil(F.col("m") / CELL).cast("int")), "bucket", "m", ["key"])
+        mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+        left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # a cell of one block is only needed where there is no other
+        left = left.filter((F.col("mine") != F.col("other")) | (F.col("blocks") == 1))
+        left = left.select("bucket", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "key", "root")
+        cells = bounded_batches(left.join(sets, "key")).repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "key")
+        more = staged(cells.mapInPandas(_linked(least), "a binary, b binary"), "similar-more")
         root = forest(links.unionByName(more))
     named = distinct.select("key", "m", "best").join(root, F.col("key") == F.col("node"), "left").select("key", "m", "best", F.coalesce("root", "key").alias("root"))
     return prints.select("doc_id", "row", "key"), staged(named, "similar-roots")
@@ -352,9 +364,9 @@ def similar_components(docs: DataFrame, least: float = 0.8, shingle: int = 5, ba
     similarity of the two sets themselves, by their 64-bit shingle hashes, is
     ``least`` or more. In a bucket of more than ``large`` rows all rows are
     compared with two of them, and then, unless that made one component of
-    them, all pairs of different components that sizes and the distances to
-    the first pivot allow: nothing that meets is left uncompared. Nulls,
-    empty texts and repeated rows as for ``near_components``.
+    them, all rows outside the largest component with all others, in blocks
+    of bounded size: nothing that meets is left uncompared. Nulls, empty
+    texts and repeated rows as for ``near_components``.
     """
     rows, sets = _similar_roots(docs, least, shingle, bands, values, large, seed)
     ids = staged(sets.groupBy("root").agg(F.min("best.doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")), "similar-ids")

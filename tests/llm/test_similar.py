@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from siftworks.llm import simhash
 from tests.llm.helpers import documents
 from tests.llm.test_pipeline import shingles
@@ -35,7 +37,9 @@ def test_links_begin_at_exactly_the_threshold(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, texts)).collect()} == {i for i, c in want.items() if i == c}
 
 
-def test_large_families_are_whole(spark):
+@pytest.mark.parametrize("cell", [1024, 16])
+def test_large_families_are_whole(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
     draw = random.Random(3)
     texts = []
     for f in range(3):
