@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn, langid, minhash, mixing, packing, simhash, suffix, tokens, urlfilter
+from . import chat, divergence, knn, langid, minhash, mixing, ngrams, packing, resample, simhash, suffix, tokens, urlfilter
 
 #: The rules of the contract.
 RULES = [
@@ -62,7 +62,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_packing, op3_chat_formatting, op4_language_id, op5_suffix_dedup, op6_token_counts, op7_fingerprints, op8_url_filters, op9_simhash_dedup, op10_mixing)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_topk_search, op2_packing, op3_chat_formatting, op4_language_id, op5_suffix_dedup, op6_token_counts, op7_fingerprints, op8_url_filters, op9_simhash_dedup, op10_mixing,
+    op11_resampling, op12_divergence, op13_ngram_join,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE: dict[str, str] = {}
 
@@ -158,3 +174,64 @@ SELECT doc_id, size, source_size, target,
         WHEN (k * 2147483629 + place * 104729 + shard * 7919 + 7) % greatest(blocks, 1) = rest // 64 THEN rest % 64 ELSE 0 END, begin_ + size) - greatest(k * 64, begin_)))) ELSE 0 END AS BIGINT) AS taken
 FROM r
 """
+
+ORACLE["op11_resampling"] = r"""
+WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS i
+  FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), dw AS (SELECT i, w, count(*) AS n FROM (SELECT i, unnest(ws) AS w FROM d) GROUP BY i, w),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY w),
+vocabulary AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+sums AS (
+  SELECT w, xor(list_reduce(list_transform(range(1, len(x) // 2 + 1), lambda j: CAST('0x' || x[2 * j - 1:2 * j] AS BIGINT)),
+                            lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+  FROM vocabulary, steps
+), ds AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS s FROM dw JOIN sums USING (w) GROUP BY bucket),
+bs AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS t FROM bw JOIN sums USING (w) GROUP BY bucket),
+g AS (
+  SELECT r.bucket, CAST(floor(1000.0::DOUBLE * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(s), 0) FROM ds) + 10000 AS DOUBLE)
+         / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM bs) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) r LEFT JOIN ds ON ds.bucket = r.bucket LEFT JOIN bs ON bs.bucket = r.bucket
+), wt AS (SELECT i, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN sums USING (w) JOIN g USING (bucket) GROUP BY i),
+sc AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln((CAST(CAST('0x' || sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN wt USING (i)
+), r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS place FROM sc)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FROM sc WHERE n_features >= 20) * 10 // 100 THEN CAST(place AS BIGINT) END AS rank
+FROM r
+"""
+
+ORACLE["op12_divergence"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, i, term, count(*) AS n FROM (SELECT lang, source, i, unnest(ts) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY lang, term HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+o AS (
+  SELECT g.lang, g.source, k.term, k.n AS whole, coalesce(x.n, 0) AS n
+  FROM g JOIN k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term
+), t AS (SELECT lang, source, sum(n) AS n FROM o GROUP BY ALL),
+p AS (
+  SELECT o.lang, o.source, o.term, o.n, 1 + 1000000000::HUGEINT * (o.n + 2) // (t.n + 2 * v.v) AS p, 1 + 1000000000::HUGEINT * (o.whole + 2) // (v.n + 2 * v.v) AS q
+  FROM o JOIN t ON t.lang = o.lang AND t.source = o.source JOIN v ON v.lang = o.lang
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""

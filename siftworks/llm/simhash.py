@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_lookup, partitions, staged, unused
-from .components import forest
+from .components import forest, roots
 from .words import mixed, shingle_hashes
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
@@ -71,22 +71,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     return rows.mapInPandas(run, "doc_id long, fp long")
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index each of ``n`` items reaches over links ``a - b``."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def pivot_links(fps: np.ndarray, pivots: np.ndarray, radius: int, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as index pairs, of the links of distinct fingerprints."""
     n = len(fps)
@@ -109,7 +93,7 @@ def pivot_links(fps: np.ndarray, pivots: np.ndarray, radius: int, block: int = 1
                 break
         near = np.bitwise_count(fps[left] ^ fps[right]) <= radius
         if near.any():
-            root = _roots(n, np.concatenate([np.arange(n), left[near]]), np.concatenate([root, right[near]]))
+            root = roots(n, np.concatenate([np.arange(n), left[near]]), np.concatenate([root, right[near]]))
         at = end
     child = np.flatnonzero(root != np.arange(n))
     return order[child], order[root[child]]
@@ -270,7 +254,7 @@ def _linked(least: float, columns: int = 4096):
             shared += has[few] @ has.T
         alike = shared >= least * (n[few][:, None] + n[None, :] - shared) - 1e-6
         x, y = np.nonzero(alike & (root[few][:, None] != root[None, :]))
-        joined = _roots(len(sets), few[x], y)
+        joined = roots(len(sets), few[x], y)
         child = np.flatnonzero(joined != np.arange(len(sets)))
         key = pdf["key"].to_numpy()
         return key[child], key[joined[child]]
