@@ -4,8 +4,8 @@ Pivots, a sample of the data that grows with the square root of its rows,
 partition queries and data into cells. Per cell a summary holds the count and
 the largest distance to the pivot. From the summaries every group of queries
 gets a lower bound of its k-th best score (cells in order of their least
-possible score, until they hold k rows) and an upper bound of its score in
-each data cell; only cells that may reach the lower bound are sent the group.
+possible score, until they hold rows of k ids other than the query's) and an
+upper bound of its score in each data cell; only cells that may reach the lower bound are sent the group.
 Cells are cut into blocks of bounded size, groups into chunks; which chunk
 meets which block is a table, joined on keys of bounded size. Each such pair
 is solved by one matrix product, and the k best of all are ranked.
@@ -90,6 +90,9 @@ def _one_length(data: DataFrame, asked: DataFrame, dim: int, k: int, pivots: int
     wanted = staged(asked.select("vec_id", "vector").mapInPandas(assign, schema), "knn-groups")
     summary = lambda df: df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).toPandas().sort_values("cell")
     s, q = summary(rows), summary(wanted)
+    # every id counts once, in the first of its cells: of k + 1 counted ids one may be the query's own, the others' rows are candidates
+    named = rows.groupBy("vec_id").agg(F.min("cell").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("ids")).toPandas()
+    s = s.merge(named, "left", "cell").fillna({"ids": 0})
 
     # chunks of query groups: small groups share one, large ones have several; of each group its first chunk and their number
     homes: list[tuple[int, float, int, int]] = []
@@ -101,7 +104,7 @@ def _one_length(data: DataFrame, asked: DataFrame, dim: int, k: int, pivots: int
         homes.append((c, far, number, parts))
         number, held = (number + parts, 0) if parts > 1 else (number, held + n)
     homes = spark.createDataFrame(homes, "home int, far double, first int, parts int")
-    places, radii, counts = s["cell"].to_numpy(), s["far"].to_numpy(), s["n"].to_numpy()
+    places, radii, counts, ids_of = s["cell"].to_numpy(), s["far"].to_numpy(), s["n"].to_numpy(), s["ids"].to_numpy()
     at = centres[places]
     lengths = np.linalg.norm(at, axis=1)
 
@@ -113,7 +116,7 @@ def _one_length(data: DataFrame, asked: DataFrame, dim: int, k: int, pivots: int
                 middle = at @ g
                 spread = np.linalg.norm(g) * radii + far * lengths + far * radii + 1e-6 * (1 + np.abs(middle))
                 order = np.argsort(spread - middle)
-                place = int(np.searchsorted(np.cumsum(counts[order]), k + 1))  # one more: the query itself may be among them
+                place = int(np.searchsorted(np.cumsum(ids_of[order]), k + 1))
                 bound = (middle - spread)[order][place] if place < len(order) else -np.inf
                 cell = places[middle + spread >= bound]
                 yield pd.DataFrame({"first": np.full(len(cell), first, np.int32), "parts": np.int32(parts), "cell": cell.astype(np.int32)})

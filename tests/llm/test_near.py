@@ -154,3 +154,18 @@ def test_oracles_are_for_registered_queries():
     from siftworks.llm.queries import QUERIES
 
     assert set(ORACLE) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("pivots", [None, 16, 10_000])
+def test_search_with_many_rows_of_each_query_id(spark, pivots):
+    """The query's own rows fill cells and are no candidates."""
+    draw = np.random.default_rng(4)
+    data = [(i, draw.integers(-256, 257, 8).tolist()) for i in range(400)]
+    asked = [(i, v) for i, v in data if i % 20 == 0]
+    rows = data + [(i, [x * 3 for x in v]) for i, v in asked for _ in range(10)]
+    table = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    queries = spark.createDataFrame(asked, "vec_id long, vector array<long>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn.top_k(table, queries, pivots=pivots).collect()}
+    for i, v in asked:
+        best = sorted((-int(np.dot(v, w)), j) for j, w in rows if j != i)[:5]
+        assert [got[i, n + 1] for n in range(5)] == [(j, -x) for x, j in best]
