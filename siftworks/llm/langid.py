@@ -226,18 +226,17 @@ def train(texts: list[str], langs: list[str], slots: int = 1 << 16, length: int
     return model
 
 
-def training_sample(docs: DataFrame, rows: int = 1200, chars: int = 4000, labels: int = 64, folds: int = 5) -> tuple[list[str], list[str]]:
+def training_sample(docs: DataFrame, rows: int = 1200, chars: int = 4000, folds: int = 5) -> tuple[list[str], list[str]]:
     """At most ``rows`` labelled texts whose ``crc32(doc_id) % folds`` is not 0, cut to ``chars`` for fitting only.
 
-    Each of the ``labels`` most frequent languages gives its share of them,
-    or all it has, so a rare one is learned, too; others are never
-    predicted. A first pass counts the languages' rows; the second takes
+    Each language gives its share of them, one text at least, or all it
+    has, so a rare one is learned, too. A first pass counts the languages' rows; the second takes
     those whose hash falls under the share that gives a fifth more than
     needed, so a task hands over its share of the sample and no more.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     some = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold != 0))
-    counts = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(labels).collect()
+    counts = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not counts:
         return [], []
     each, spread = max(1, rows // len(counts)), 1 << 30
@@ -302,17 +301,16 @@ def predict(docs: DataFrame, model: Crf, lang: str = "lang_pred", score: str = "
     return rows.withColumns({lang: F.col(both)["lang_pred"], score: F.col(both)["score"]}).drop(both)
 
 
-def identify_language(docs: DataFrame, rows: int = 1200, chars: int = 4000, words: int = 300_000, labels: int = 64, folds: int = 5) -> DataFrame:
+def identify_language(docs: DataFrame, rows: int = 1200, chars: int = 4000, words: int = 300_000, folds: int = 5) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs``.
 
     The model is fitted on a bounded sample of labelled rows outside the
-    held-out fold (``rows`` texts, ``chars`` of each, ``words`` in all, of
-    the ``labels`` most frequent languages); prediction reads only the text,
-    and all of it. A null id is not held out and not learned from. Without
+    held-out fold (``rows`` texts, ``chars`` of each, ``words`` in all,
+    shared by all languages); prediction reads only the text, and all of it. A null id is not held out and not learned from. Without
     labelled rows every text is ``und``. Repeated rows give repeated rows;
     other columns are ignored.
     """
-    model = train(*training_sample(docs, rows, chars, labels, folds), words=words)
+    model = train(*training_sample(docs, rows, chars, folds), words=words)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     return predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 

@@ -205,8 +205,15 @@ def test_letters_are_of_category_l():
 def test_sample_is_shared_among_languages(spark):
     texts = [f"wort {i}" for i in range(900)] + [f"word {i}" for i in range(20)] + ["rare"] * 5
     docs = documents(spark, texts, langs=["de"] * 900 + ["en"] * 20 + ["xx"] * 5)
-    _, langs = langid.training_sample(docs, rows=30, labels=2)
-    assert Counter(langs)["de"] == 15 and 0 < Counter(langs)["en"] <= 15 and "xx" not in langs
+    _, langs = langid.training_sample(docs, rows=30)
+    assert Counter(langs)["de"] == 10 and 0 < Counter(langs)["en"] <= 10 and 0 < Counter(langs)["xx"] <= 5
+
+
+def test_no_language_is_left_out(spark):
+    names = [f"l{i:02}" for i in range(90)]
+    docs = documents(spark, [f"{n}x " * 4 for n in names for _ in range(6)], langs=[n for n in names for _ in range(6)])
+    texts, langs = langid.training_sample(docs, rows=200)
+    assert len(set(langs)) == 90 and len(texts) <= 200
 
 
 def test_identified_rows_keep_their_columns(spark):
