@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_lookup, partitions, staged
@@ -259,14 +259,18 @@ def _candidates(docs: DataFrame, percent: int, shingle: int, share: float) -> Da
     return met.groupBy("sid").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("sid")
 
 
-def similar_sets(docs: DataFrame, percent: int = 80, shingle: int = 5, share: float = 0.4, label: str = "ngrams") -> tuple[DataFrame, DataFrame]:
-    """The rows, ``doc_id, n, key``, and links ``a, b`` of keys that connect all sets that reach ``percent``; both staged."""
+def similar_sets(docs: DataFrame, percent: int = 80, shingle: int = 5, share: float = 0.4, label: str = "ngrams", row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows, ``doc_id, row, n, key, salt``, and links ``a, b`` of keys that connect all sets that reach ``percent``; both staged.
+
+    ``row`` is a binary column of ``docs``, null if not given; ``salt``
+    differs from row to row.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = _sets_of(pdf, shingle)
             keys = list(map(_name, sets))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "said": pdf["said"], "n": list(map(len, sets)), "key": keys, "sid": list(map(_short, keys))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "said": pdf["said"], "n": list(map(len, sets)), "key": keys, "sid": list(map(_short, keys))})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -274,14 +278,17 @@ def similar_sets(docs: DataFrame, percent: int = 80, shingle: int = 5, share: fl
 
     text = F.coalesce(F.col("text"), F.lit(""))
     said = F.unhex(F.sha2(text, 256)).alias("said")
-    rows = bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), said, text.alias("text")))
-    rows = staged(rows.mapInPandas(sign, "doc_id long, said binary, n long, key binary, sid long"), f"{label}-rows")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    rows = bounded_batches(docs.select(doc_id, (F.lit(None).cast("binary") if row is None else row).alias("row"), said, text.alias("text")))
+    rows = rows.mapInPandas(sign, "doc_id long, row binary, said binary, n long, key binary, sid long").withColumn("salt", F.monotonically_increasing_id())
+    rows = staged(rows, f"{label}-rows")
 
-    # the sets that may have a partner, read from one text each
+    # the sets that may have a partner, read from one row each; a join by text and id, so that the copies of a text are dealt to many tasks
     maybe = staged(_candidates(docs, percent, shingle, share), f"{label}-maybe")
-    wanted = rows.filter("n > 0").join(maybe, "sid", "left_semi").groupBy("key").agg(F.min("said").alias("said"), F.first("sid").alias("sid"))
-    wanted = staged(wanted, f"{label}-wanted")
-    texts = docs.select(said, text.alias("text")).join(wanted, "said").dropDuplicates(["said"]).select("key", "sid", "text")
+    wanted = rows.filter("n > 0").join(maybe, "sid", "left_semi").groupBy("key").agg(F.min(F.struct("said", "doc_id")).alias("one"), F.first("sid").alias("sid"))
+    wanted = staged(wanted.select("key", "sid", F.col("one.said").alias("_said"), F.col("one.doc_id").alias("_id")), f"{label}-wanted")
+    texts = docs.select(doc_id, said, text.alias("text")).join(wanted, (F.col("said") == F.col("_said")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = texts.dropDuplicates(["said"]).select("key", "sid", "text")
     sets = staged(bounded_batches(texts).mapInPandas(read, "key binary, sid long, own array<long>"), f"{label}-sets")
 
     # columns of two sets or more; rows with enough of them; the rarest columns of these rows
@@ -299,7 +306,7 @@ def similar_sets(docs: DataFrame, percent: int = 80, shingle: int = 5, share: fl
     found = forest(edges)
     cluster = found.unionByName(tops.join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
     clusters = staged(sets.join(cluster, F.col("sid") == F.col("node")).select(F.col("root").alias("cluster"), "key", "own"), f"{label}-clustered")
-    return rows.select("doc_id", "n", "key"), cluster_links(clusters, percent, label)
+    return rows.select("doc_id", "row", "n", "key", "salt"), cluster_links(clusters, percent, label)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5, share: float = 0.4) -> DataFrame:
@@ -326,5 +333,5 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5, sha
     sets = staged(sets, "ngrams-roots")
     ids = staged(sets.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k")), "ngrams-ids")
     named = staged(join_lookup(sets.select("key", "m", "root"), ids, "root", "k", ["key"]).select("key", "m", "component_id"), "ngrams-named")
-    out = join_lookup(full, named, "key", "m", ["doc_id"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = join_lookup(full, named, "key", "m", ["salt"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

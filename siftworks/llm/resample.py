@@ -104,7 +104,7 @@ def resample_documents(docs: DataFrame, target: DataFrame, **options) -> DataFra
 
     Only the gains, one integer for each of ``buckets``, pass the driver. A
     text held by many documents is one row of counts; its documents are dealt
-    to many tasks by id for the join. The order of all documents is that of
+    to many tasks for the join. The order of all documents is that of
     ranges, each sorted by itself. Options: ``percent, least_words, ngrams``
     (the lengths of runs of words, both included), ``buckets, seed``.
     """
@@ -127,7 +127,8 @@ def _ranked(docs: DataFrame, target: DataFrame, percent: int = 10, least_words:
     said = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     h = F.conv(F.substring(F.sha2(said, 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(F.lit(-1000.0) * F.ln(-F.ln((h + 0.5) / F.lit(4294967296.0)))).cast("long")
-    rows = join_lookup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key")), weights, "key", "copies", ["doc_id"])
+    narrow = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.monotonically_increasing_id().alias("salt")), "resample-docs")
+    rows = join_lookup(narrow, weights, "key", "copies", ["salt"])
     rows = staged(rows.select("doc_id", "key", "n_features", "weight", (F.col("weight") + noise).alias("score"), (F.col("n_words") >= least_words).alias("long_enough")), "resample-scores")
     drawn = (rows.filter("long_enough").count() * percent) // 100
     order = [F.col("long_enough").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("weight"), F.col("n_features")]
