@@ -11,9 +11,9 @@ verified bit by bit. Of a bucket only a spanning forest of its links is
 emitted, so a group of thousands makes as many rows, not their square. Large
 buckets are cut into strips of the first coordinates.
 
-Similar texts (``similar_components``) are another matter: MinHash bands only
-propose pairs, and every link is the exact Jaccard similarity of the two sets
-of shingle hashes.
+Similar texts (``similar_components``) are another matter: fingerprints three
+bits apart don't tell a similarity of 0.8, so their links are those of the
+exact n-gram join (``ngrams``).
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_lookup, partitions, staged, unused
+from . import ngrams
+from .common import bounded_batches, join_lookup, staged, unused
 from .components import forest, roots
-from .words import mixed, shingle_hashes
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
 
@@ -171,201 +171,57 @@ def near_components(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     null and names no component unless all of its component are null.
     Repeated rows give repeated rows; other columns are ignored.
     """
-    prints = staged(fingerprints(docs, shingle, seed), "simhash-prints")
+    prints = staged(fingerprints(docs, shingle, seed).withColumn("salt", F.monotonically_increasing_id()), "simhash-prints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     root = forest(near_links(distinct, radius, **options))
     known = staged(distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     least = staged(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")), "simhash-components")
     named = staged(join_lookup(known.select("fp", "n", "root"), least, "root", "fps", ["fp"]).select("fp", "n", "component_id"), "simhash-named")
-    return join_lookup(prints, named, "fp", "n", ["doc_id"]).select("doc_id", "fp", "component_id")
-
-
-#: Bands of MinHash values and values a band: a pair at similarity 0.8 meets in none of them in 3 of a million cases.
-BANDS, VALUES = 32, 5
-#: Rows of a block of a large bucket; two blocks are compared in one task.
-CELL = 1024
-
-
-def shingle_sets(texts: list[bytes], shingle: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every text."""
-    h, owner, _ = shingle_hashes(texts, shingle)
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-    return [np.unique(h[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-
-
-def band_hashes(own: np.ndarray, bands: int = BANDS, values: int = VALUES, seed: int = 5) -> np.ndarray:
-    """A hash of each band's MinHash values of a set; a band's number is part of it."""
-    factors = np.random.default_rng(seed).integers(0, 1 << 64, bands * values, dtype=np.uint64) | np.uint64(1)
-    least = np.full(bands * values, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), 512):
-        np.minimum(least, (own[at : at + 512, None] * factors[None, :]).min(axis=0), out=least)
-    out = mixed(np.arange(1, bands + 1, dtype=np.uint64))
-    for column in least.reshape(bands, values).T:
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
-    return out
+    return join_lookup(prints, named, "fp", "n", ["salt"]).select("doc_id", "fp", "component_id")
 
 
 def _row_digest(docs: DataFrame) -> Column:
-    """A digest of id, text and the other columns: equal only for equal rows."""
-    rest = F.hex(F.xxhash64(*(F.col(c) for c in docs.columns if c != "text")))
+    """A digest of id, text and the other columns: equal only for equal rows. Maps, which have no hash, count by their JSON."""
+    quoted = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+    plain = lambda f: F.to_json(F.struct(quoted(f).alias("x"))) if '"map"' in f.dataType.json() else quoted(f)
+    rest = F.hex(F.xxhash64(F.lit(0), *(plain(f) for f in docs.schema.fields if f.name != "text")))
     return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), rest, F.lit(" "), F.col("text").isNull().cast("string"), F.coalesce("text", F.lit(""))), 256))
 
 
-def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, alike`` for all ``pairs``: the exact Jaccard similarity of their sets."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            alike = np.zeros(len(pdf))
-            for i, (x, y) in enumerate(zip(pdf["x"], pdf["y"], strict=True)):
-                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                alike[i] = shared / (len(both) - shared) if len(both) else 1.0
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "alike": alike})
-
-    held = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
-    return bounded_batches(held.select("a", "b", "x", "y")).mapInPandas(run, "a binary, b binary, alike double")
-
-
-def _linked(least: float, columns: int = 4096):
-    """Of rows sorted by ``bucket, one, two``: a forest of the links between rows of different roots of a cell.
-
-    The similarities of the rows outside a cell's largest component to all of
-    the cell are products of 0/1 matrices over the shingles that two rows
-    hold, some columns at a time; no pair becomes a row.
-    """
-
-    def links(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        root = pd.factorize(pdf["root"])[0]
-        few = np.flatnonzero(root != np.bincount(root).argmax())
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["own"]]
-        n = np.fromiter(map(len, sets), np.int64, len(sets))
-        of = np.repeat(np.arange(len(sets)), n)
-        _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        place = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[at]
-        of, place = of[place >= 0], place[place >= 0]
-        order = np.argsort(place, kind="stable")
-        of, place = of[order], place[order]
-        shared = np.zeros((len(few), len(sets)), np.float32)
-        for low in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
-            i, j = np.searchsorted(place, (low, low + columns))
-            has = np.zeros((len(sets), columns), np.float32)
-            has[of[i:j], place[i:j] - low] = 1
-            shared += has[few] @ has.T
-        alike = shared >= least * (n[few][:, None] + n[None, :] - shared) - 1e-6
-        x, y = np.nonzero(alike & (root[few][:, None] != root[None, :]))
-        joined = roots(len(sets), few[x], y)
-        child = np.flatnonzero(joined != np.arange(len(sets)))
-        key = pdf["key"].to_numpy()
-        return key[child], key[joined[child]]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            pdf = pd.concat([*held, pdf]) if held else pdf
-            at = pdf[["bucket", "one", "two"]].to_numpy()
-            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist()]
-            for i, j in zip(edges, edges[1:], strict=False):
-                yield pd.DataFrame(dict(zip("ab", links(pdf.iloc[i:j]), strict=True)))
-            held = [pdf.iloc[edges[-1] :]]
-        if held:
-            yield pd.DataFrame(dict(zip("ab", links(held[0]), strict=True)))
-
-    return run
-
-
-def _similar_roots(docs: DataFrame, least: float, shingle: int, bands: int, values: int, large: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The rows, ``doc_id, row, key`` (digests of row and set), and of each set ``key, m, best, root``.
+def _similar_roots(docs: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The rows, ``doc_id, row, key, salt`` (digests of row and set), and of each set ``key, m, best, root``.
 
     ``m`` rows have the set, ``best`` is the first of them by id and digest.
     """
-    spark = docs.sparkSession
+    rows, links = ngrams.similar_sets(docs, percent, shingle, label="similar", row=_row_digest(docs))
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    sets = rows.groupBy("key").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("m"))
+    sets = sets.join(forest(links), F.col("key") == F.col("node"), "left").select("key", "m", "best", F.coalesce("root", "key").alias("root"))
+    return rows, staged(sets, "similar-roots")
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                sets = shingle_sets([t.encode() for t in part["text"]], shingle)
-                keys = [xxhash.xxh3_128_digest(x.tobytes(), 42) for x in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "key": keys, "n": [len(x) for x in sets], "bands": [band_hashes(x, bands, values, seed).view(np.int64) for x in sets]})
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                yield pd.DataFrame({"key": part["key"], "own": [x.tobytes() for x in shingle_sets([t.encode() for t in part["text"]], shingle)]})
+def similar_components(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """``doc_id, component_id`` over links of texts with ``100 overlap >= percent union``.
 
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _row_digest(docs).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    prints = staged(rows.mapInPandas(sign, "doc_id long, row binary, key binary, n long, bands array<long>"), "similar-prints")
-    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    distinct = prints.groupBy("key").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    distinct = staged(distinct, "similar-distinct")
-
-    # the rows of buckets that others share, and the shingles of those rows
-    bucketed = distinct.select(F.explode("bands").alias("bucket"), "key", "n")
-    shared = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    met = staged(bucketed.join(shared, "bucket"), "similar-buckets")
-    needed = met.select("key").distinct().join(distinct.select("key", "best.row"), "key")
-    sets = rows.select("row", "text").join(needed, "row").dropDuplicates(["row"]).select("key", "text").mapInPandas(read, "key binary, own binary")
-    sets = staged(sets, "similar-sets")
-
-    # all pairs of a small bucket, every row of a large one with two of its own
-    listed = met.filter(F.col("m") <= large).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("xs"))
-    every = listed.select(F.explode(F.expr("flatten(transform(xs, (x, i) -> transform(slice(xs, i + 2, size(xs)), y -> named_struct('a', x.key, 'b', y.key, 'n', x.n, 'm', y.n))))")).alias("p")).select("p.*")
-    every = every.filter(F.least("n", "m") >= F.greatest("n", "m") * (least - 1e-9)).select("a", "b")
-    big = met.filter(F.col("m") > large)
-    pivots = staged(big.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("m").alias("m")), "similar-pivots")
-    piv = staged(join_lookup(big.select("bucket", "key", "n"), pivots, "bucket", "m", ["key"]), "similar-large")
-    star = piv.select(F.col("lo").alias("a"), F.col("key").alias("b")).unionByName(piv.select(F.col("key").alias("a"), F.col("hi").alias("b"))).filter("a < b")
-    told = staged(_jaccard(every.unionByName(star).distinct(), sets), "similar-told")
-    links = told.filter(F.col("alike") >= least).select("a", "b")
-    root = forest(links)
-
-    # a large bucket whose rows aren't one component: its rows meet with their sets, in cells of two blocks of bounded size
-    named = piv.select("bucket", "key").join(root, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    open_ = named.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count(F.lit(1)).alias("m")).filter("_x < _y")
-    open_ = staged(open_.select("bucket", "m"), "similar-open")
-    if not open_.isEmpty():
-        left = join_lookup(named, open_.withColumn("blocks", F.ceil(F.col("m") / CELL).cast("int")), "bucket", "m", ["key"])
-        mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-        left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        # a cell of one block is only needed where there is no other
-        left = left.filter((F.col("mine") != F.col("other")) | (F.col("blocks") == 1))
-        left = left.select("bucket", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "key", "root")
-        cells = bounded_batches(left.join(sets, "key")).repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "key")
-        more = staged(cells.mapInPandas(_linked(least), "a binary, b binary"), "similar-more")
-        root = forest(links.unionByName(more))
-    named = distinct.select("key", "m", "best").join(root, F.col("key") == F.col("node"), "left").select("key", "m", "best", F.coalesce("root", "key").alias("root"))
-    return prints.select("doc_id", "row", "key"), staged(named, "similar-roots")
-
-
-def similar_components(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = BANDS, values: int = VALUES, large: int = 8, seed: int = 5) -> DataFrame:
-    """``doc_id, component_id`` over links of a Jaccard similarity of ``least`` or more.
-
-    Texts are sets of ``shingle``-word shingles; equal sets collapse first.
-    Rows that agree in any of ``bands`` bands of ``values`` MinHash values
-    meet in a bucket, which proposes pairs; a pair is a link only if the
-    similarity of the two sets themselves, by their 64-bit shingle hashes, is
-    ``least`` or more. In a bucket of more than ``large`` rows all rows are
-    compared with two of them, and then, unless that made one component of
-    them, all rows outside the largest component with all others, in blocks
-    of bounded size: nothing that meets is left uncompared. Nulls, empty
-    texts and repeated rows as for ``near_components``.
+    Texts are sets of ``shingle``-word shingles; equal sets, so all texts
+    without words, are one. Fingerprints can't tell a similarity of 0.8, so
+    the links are those of the exact n-gram join. Nulls and repeated rows as
+    for ``near_components``.
     """
-    rows, sets = _similar_roots(docs, least, shingle, bands, values, large, seed)
+    rows, sets = _similar_roots(docs, percent, shingle)
     ids = staged(sets.groupBy("root").agg(F.min("best.doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")), "similar-ids")
     named = staged(join_lookup(sets.select("key", "m", "root"), ids, "root", "sets", ["key"]).select("key", "m", "component_id"), "similar-named")
-    return join_lookup(rows, named, "key", "m", ["row"]).select("doc_id", "component_id")
+    return join_lookup(rows, named, "key", "m", ["salt"]).select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = BANDS, values: int = VALUES, large: int = 8, seed: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """One row of ``docs`` for each component of similar texts: that of its smallest id.
 
     Nulls come last among the ids; rows of one id go by their digest, which
     covers text and all other columns, so the choice is the same in every
     run. Other rows of that id stay or go with their own component.
     """
-    _, sets = _similar_roots(docs, least, shingle, bands, values, large, seed)
+    _, sets = _similar_roots(docs, percent, shingle)
     (row,) = unused(docs, "_row")
     kept = sets.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    return docs.withColumn(row, _row_digest(docs)).join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
+    return docs.withColumn(row, _row_digest(docs)).join(kept, row, "left_semi").dropDuplicates([row]).select(*(f"`{c}`" for c in docs.columns))

@@ -512,9 +512,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int
     """
     key, left, null = unused(docs, "_key", "_kept", "_null")
     kept = _kept_texts(docs, "text", length, gram, hot, as_text=True).filter((F.col("n_bytes") > F.col("n_removed")) | (F.col("n_removed") == 0))
-    kept = kept.select(F.col("key").alias(key), F.col("kept").alias(left))
+    (n,) = unused(docs, "_n")
+    kept = staged(kept.select(F.col("key").alias(key), F.col("kept").alias(left), F.col("n").alias(n)), "suffix-kept")
+    spread = [f"`{f.name}`" for f in docs.schema.fields if f.name not in ("text", "n_chars") and '"map"' not in f.dataType.json()]
     rows = docs.withColumns({key: _key("text"), null: F.col("text").isNull()}).drop("text", *(["n_chars"] if "n_chars" in docs.columns else []))
-    rows = rows.join(kept, key).withColumn("text", F.when(~F.col(null), F.col(left)))
+    rows = join_lookup(rows, kept, key, n, spread or [key]).withColumn("text", F.when(~F.col(null), F.col(left)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

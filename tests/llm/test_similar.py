@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from siftworks.llm import simhash
+from siftworks.llm import ngrams, simhash
 from tests.llm.helpers import documents
 from tests.llm.test_pipeline import shingles
 
@@ -39,7 +39,7 @@ def test_links_begin_at_exactly_the_threshold(spark):
 
 @pytest.mark.parametrize("cell", [1024, 16])
 def test_large_families_are_whole(spark, monkeypatch, cell):
-    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(ngrams, "ROWS", cell)
     draw = random.Random(3)
     texts = []
     for f in range(3):
@@ -94,3 +94,12 @@ def test_links_of_documents_are_those_of_exact_similarity(spark):
     assert len(near) > 50
     got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows)).collect()}
     assert got == least
+
+
+def test_columns_without_a_hash_and_null_ids_of_a_hot_text(spark):
+    line = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, line, {"a": 1}, "x") for _ in range(300)] + [(5, line + " more", {"b": 2}, "y"), (6, "else " * 9, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, `a.b` string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [5, 6]
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_components(docs).collect()} == {(None, 5), (5, 5), (6, 6)}
+    assert {(r.doc_id, r.component_id) for r in simhash.near_components(docs.filter("doc_id is null or doc_id = 6")).collect()} == {(None, None), (6, 6)}
