@@ -37,59 +37,66 @@ def decode(content: bytes) -> tuple[str, str]:
     return content.decode(errors="replace"), "UTF-8"
 
 
+def delimiter_counts(line: str) -> list[int]:
+    """How often each delimiter stands outside quotes in a line."""
+    bare = re.sub(r'"[^"]*"', "", line)
+    return [bare.count(d) for d in DELIMITERS]
+
+
+def best_delimiter(counts: list[list[int]]) -> str:
+    """The delimiter that stands most often in the poorest of some lines."""
+    least = [min(c) for c in zip(*counts, strict=True)] or [0]
+    return DELIMITERS[least.index(max(least))]
+
+
 def find_delimiter(text: str) -> str:
     """The delimiter that stands, outside quotes, most often in the poorest of the first five lines."""
-    lines = [re.sub(r'"[^"]*"', "", x) for x in re.split(r"\r\n|\r|\n", text) if x.strip()][:5]
-    best, most = ",", 0
-    for d in DELIMITERS:
-        least = min((x.count(d) for x in lines), default=0)
-        if least > most:
-            best, most = d, least
-    return best
+    return best_delimiter([delimiter_counts(x) for x in re.split(r"\r\n|\r|\n", text) if x.strip()][:5])
+
+
+def closing(text: str, at: int) -> int:
+    """The place of the quote that closes a cell whose content begins at ``at``, or -1; doubled quotes are content."""
+    while True:
+        at = text.find('"', at)
+        if at < 0 or text[at + 1 : at + 2] != '"':
+            return at
+        at += 2
 
 
 def tokenize(text: str, delimiter: str) -> Iterator[list[str]]:
-    """Records of cells: quotes open after blanks only, double themselves, and may hold delimiters and line ends."""
-    plain = re.compile(rf'[^{re.escape(delimiter)}\r\n]*')
-    blank = re.compile(r"[ \t]*")
+    """Records of cells: a quote opens where its cell is blank so far, doubles itself, and may hold delimiters and line ends."""
+    upto_quote = re.compile(rf'[^{re.escape(delimiter)}\r\n"]*')
+    upto_end = re.compile(rf"[^{re.escape(delimiter)}\r\n]*")
     at, end = 0, len(text)
     record: list[str] = []
+    cell = ""
     while at < end:
-        start = blank.match(text, at).end() if delimiter != "\t" else at
-        cell = ""
-        if text[start : start + 1] == '"':
-            at = start + 1
-            pieces = []
-            while True:
-                stop = text.find('"', at)
-                if stop < 0:  # never closed: the rest belongs to it
-                    pieces.append(text[at:])
-                    at = end
-                    break
-                pieces.append(text[at:stop])
-                at = stop + 1
-                if text[at : at + 1] != '"':
-                    break
-                pieces.append('"')
+        blank = not cell.strip(" \t")
+        got = (upto_quote if blank else upto_end).match(text, at)
+        cell += got[0]
+        at = got.end()
+        if at >= end:
+            break
+        c = text[at]
+        if c == '"':
+            if cell.strip(" \t"):  # a quote inside a cell is part of it
+                cell += c
                 at += 1
-            cell = "".join(pieces)
-        rest = plain.match(text, at)
-        cell += rest[0]
-        at = rest.end()
+                continue
+            stop = closing(text, at + 1)
+            cell = text[at + 1 : stop if stop >= 0 else end].replace('""', '"')
+            at = stop + 1 if stop >= 0 else end  # never closed: the rest belongs to it
+            continue
         record.append(cell)
-        if at >= end:
-            yield record
-            return
-        if text[at] == delimiter:
+        cell = ""
+        if c == delimiter:
             at += 1
-            if at >= end:
-                record.append("")
-                yield record
-                return
             continue
         at += 2 if text.startswith("\r\n", at) else 1
         yield record
         record = []
+    if cell or record:
+        yield [*record, cell]
 
 
 @F.udtf(returnType="ordinal bigint, raw_cells array<string>, delimiter string, encoding string")
@@ -165,8 +172,12 @@ def parse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     long ones cut, and marked ``recovered``; blank headers are numbered,
     repeated ones get a suffix. ``error`` of a dataset is null or one of
     ``FILE_TOO_LARGE``, ``EMPTY_DATASET``, ``HEADERLESS_FILE``; such a file
-    has a dataset and no rows.
+    has a dataset and no rows. Records with a ``block`` column, their range
+    of the file, are numbered range by range, with running totals of what
+    lies before, so that a large file is no single task.
     """
+    if "block" not in records.columns:
+        records = records.withColumn("block", F.lit(0).cast("long"))
     head = records.filter("ordinal = 0")
     names = head.select("upload_id", F.posexplode("raw_cells").alias("column_index", "raw_header"))
     named = disambiguate_headers(names).withColumn("blank", detect.trim(F.col("raw_header")) == "")
@@ -185,9 +196,13 @@ def parse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     width = F.col("column_count")
     have = F.size("raw_cells")
-    rows = body.filter("not is_blank").join(datasets.filter("error is null").select("upload_id", "column_count"), "upload_id")
+    full = body.filter("not is_blank")
+    earlier = W.partitionBy("upload_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = full.groupBy("upload_id", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    known = before.join(datasets.filter("error is null").select("upload_id", "column_count"), "upload_id")
+    rows = full.withColumn("place", F.row_number().over(W.partitionBy("upload_id", "block").orderBy("ordinal"))).join(known, ["upload_id", "block"])
     rows = rows.select(
-        "upload_id", F.row_number().over(W.partitionBy("upload_id").orderBy("ordinal")).cast("long").alias("row_number"), "raw_cells",
+        "upload_id", (F.col("before") + F.col("place")).cast("long").alias("row_number"), "raw_cells",
         F.slice(F.concat("raw_cells", F.array_repeat(F.lit(""), width)), F.lit(1), width).alias("cells"),
         F.when(have == width, "ok").otherwise("recovered").alias("status"),
         F.when(have < width, "ROW_PADDED").when(have > width, "ROW_TRUNCATED").alias("warning"),
