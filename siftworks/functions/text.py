@@ -12,6 +12,19 @@ from pyspark.sql import types as T
 
 from . import detect
 
+#: Fixed value: a fenced block of an answer.
+FENCE = r"(?is)```(?:json)?\s*(.*?)```"
+
+#: Fixed value: a key without quotes.
+UNQUOTED_KEY = r"([{,]\s*)([A-Za-z_$][A-Za-z0-9_$]*)(\s*:)"
+
+#: What may follow a backslash in JSON, and the control characters that get one.
+ESCAPED = '"\\/bfnrtu'
+CONTROLS = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+#: Strings, which may lack their end, and what lies between them.
+PIECES = re.compile(r'(?s)"(?:[^"\\]|\\.)*(?:(?P<end>")|\\?\Z)|[^"]+')
+
 #: Fixed value: characters that count as one token.
 CHARS_PER_TOKEN = 4
 
@@ -55,8 +68,7 @@ def completion_tokens(records: Column, each: int = 60) -> Column:
 
 def answer_problem(text: Column) -> Column:
     """``EMPTY_RESPONSE`` or ``JSON_PARSE_FAILED`` of an answer, or null."""
-    candidate = F.coalesce(json_candidate(text), detect.trim(text))
-    return F.when(detect.trim(F.coalesce(text, F.lit(""))) == "", "EMPTY_RESPONSE").when(F.try_parse_json(candidate).isNull(), "JSON_PARSE_FAILED")
+    return F.when(detect.trim(F.coalesce(text, F.lit(""))) == "", "EMPTY_RESPONSE").when(F.try_parse_json(json_candidate(text)).isNull(), "JSON_PARSE_FAILED")
 
 
 def round_half_up(value: Column) -> Column:
@@ -77,77 +89,90 @@ def header_name(header: Column) -> Column:
     return F.when(bare == "", F.lit("column")).otherwise(bare)
 
 
-def json_candidate(text: Column) -> Column:
-    """What may be JSON in an answer: the first fenced block, else from the first opening to the last closing bracket."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:[A-Za-z]+)?[ \t]*\r?\n?(.*?)```", 1)
-    brace, bracket = F.locate("{", text), F.locate("[", text)
+def _unfenced(text: Column) -> Column:
+    """The first fenced block of an answer, trimmed, else the trimmed answer."""
+    t = detect.trim(text)
+    return F.when(t.rlike(FENCE), detect.trim(F.regexp_extract(t, FENCE, 1))).otherwise(t)
+
+
+def _isolated(inner: Column) -> Column:
+    """From the first opening bracket to the last closing one of its kind; all of it where there are none."""
+    brace, bracket = F.locate("{", inner), F.locate("[", inner)
     first = F.when(brace == 0, bracket).when(bracket == 0, brace).otherwise(F.least(brace, bracket))
-    closer = F.when(F.substring(text, first, F.lit(1)) == "{", F.lit("}")).otherwise(F.lit("]"))
-    last = F.length(text) - F.locate("}", F.reverse(text)) + 1
-    last2 = F.length(text) - F.locate("]", F.reverse(text)) + 1
-    end = F.when(closer == "}", last).otherwise(last2)
-    cut = F.when((first > 0) & (end > first) & text.contains(closer), F.substring(text, first, end - first + 1))
-    return F.when(fenced != "", F.trim(fenced)).otherwise(cut)
+    closer = F.when(F.substring(inner, first, F.lit(1)) == "{", F.lit("}")).otherwise(F.lit("]"))
+    last = F.length(inner) - F.when(closer == "}", F.locate("}", F.reverse(inner))).otherwise(F.locate("]", F.reverse(inner))) + 1
+    found = (first > 1) & inner.contains(closer) & (last >= first)
+    return F.when(found, F.substring(inner, first, last - first + 1)).otherwise(inner)
+
+
+def json_candidate(text: Column) -> Column:
+    """What may be JSON in an answer: the first fenced block, else all of it, without prose around the brackets."""
+    return _isolated(_unfenced(text))
+
+
+def answer_diagnostics(text: Column) -> Column:
+    """Codes of what was taken off an answer, and of what is wrong with the rest."""
+    inner = _unfenced(text)
+    blank = detect.trim(F.coalesce(text, F.lit(""))) == ""
+    codes = F.array(
+        F.when(blank, "EMPTY_RESPONSE"), F.when(detect.trim(text).rlike(FENCE), "MARKDOWN_CODE_BLOCK_STRIPPED"),
+        F.when(_isolated(inner) != inner, "SURROUNDING_TEXT_STRIPPED"), F.when(~blank & F.try_parse_json(_isolated(inner)).isNull(), "JSON_PARSE_FAILED"),
+    )
+    return F.filter(codes, lambda c: c.isNotNull())
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
 
 
 def _repaired(text: str) -> tuple[bool, str | None, list[str]]:
-    """Strict JSON from nearly valid text, and what was done to it."""
-    done: list[str] = []
-
-    def step(name: str, new: str, old: str) -> str:
-        if new != old and name not in done:
-            done.append(name)
-        return new
-
-    out = step("smart_quotes", re.sub("[‘’]", "'", re.sub("[“”]", '"', text)), text)
-    out = step("unquoted_keys", re.sub(r'([{,]\s*)([A-Za-z_$][\w$]*)(\s*:)', r'\1"\2"\3', out), out)
-    chars: list[str] = []
-    stack: list[str] = []
-    inside, i = False, 0
-    while i < len(out):
-        c = out[i]
-        if inside:
-            if c == "\\":
-                follow = out[i + 1 : i + 2]
-                if follow and follow in '"\\/bfnrtu':
-                    chars.append(c + follow)
-                    i += 1
-                else:
-                    chars.append("\\\\")
-                    step("bad_escapes", "x", "")
-            elif c < " ":
-                chars.append({"\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(c, f"\\u{ord(c):04x}"))
-                step("control_characters", "x", "")
-            else:
-                chars.append(c)
-                inside = c != '"'
-        elif c == '"':
-            chars.append(c)
-            inside = True
-        elif c in "}]" or c == ",":
-            if c == "," and re.match(r"\s*[}\]]", out[i + 1 :]):
-                step("trailing_commas", "x", "")
-            else:
-                if c != "," and stack and stack[-1] == c:
-                    stack.pop()
-                chars.append(c)
+    """Strict JSON from nearly valid text, and what was done to it; the text of a repair that failed, too."""
+    done: dict[str, None] = {}
+
+    def replaced(code: str, pattern: str, new, old: str) -> str:
+        out = re.sub(pattern, new, old)
+        if out != old:
+            done.setdefault(code)
+        return out
+
+    def inside(m: re.Match) -> str:
+        if m[0] in CONTROLS:
+            done.setdefault("CONTROL_CHARACTER_ESCAPED")
+            return CONTROLS[m[0]]
+        if m[1] in ESCAPED:
+            return m[0]
+        done.setdefault("INVALID_ESCAPE_FIXED")
+        return "\\" + m[0]
+
+    out = replaced("SMART_QUOTES_NORMALIZED", "[\u201c\u201d]", '"', text)
+    out = replaced("UNQUOTED_KEY_QUOTED", UNQUOTED_KEY, r'\1"\2"\3', out)
+    parts, stack = [], []
+    for piece in PIECES.finditer(out):
+        part = piece[0]
+        if part[0] == '"':
+            part = '"' + re.sub(r"(?s)\\(.)|[\n\r\t]", inside, part[1:])
+            if not piece["end"]:
+                part += '"'
+                done.setdefault("UNTERMINATED_STRING_CLOSED")
         else:
-            if c in "{[":
-                stack.append("}" if c == "{" else "]")
-            chars.append(c)
-        i += 1
-    if inside:
-        chars.append('"')
-        step("unclosed_string", "x", "")
+            part = replaced("TRAILING_COMMA_REMOVED", r",(?=\s*[}\]])", "", part)
+            for c in part:
+                if c in "{[":
+                    stack.append("}" if c == "{" else "]")
+                elif c in "}]" and stack:
+                    stack.pop()
+        parts.append(part)
     if stack:
-        chars += reversed(stack)
-        step("unbalanced_brackets", "x", "")
-    fixed = "".join(chars)
+        parts += reversed(stack)
+        done.setdefault("UNBALANCED_BRACKETS_CLOSED")
+    if not done:
+        return False, None, []
+    fixed = "".join(parts)
     try:
-        json.loads(fixed)
-    except ValueError:
-        return False, None, done
-    return bool(done), fixed if done else None, done
+        json.loads(fixed, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
+        return False, fixed, list(done)
+    return True, fixed, list(done)
 
 
 @F.pandas_udf(T.StructType().add("success", "boolean").add("text", "string").add("repairs", T.ArrayType(T.StringType())))

@@ -89,16 +89,20 @@ def is_status(v: Column) -> Column:
 CLASSIFIERS = {"email": detect.looks_like_email, "phone": detect.looks_like_phone, "date": detect.looks_like_date, "currency": is_currency, "company": is_company, "location": is_location, "name": is_name, "status": is_status}
 
 
-def analyze_columns(fields: DataFrame) -> DataFrame:
+def analyze_columns(fields: DataFrame, classifiers: dict | None = None) -> DataFrame:
     """Statistics of the normalized values of each column: cardinality, entropy, share of each shape.
 
+    ``classifiers``, by default ``CLASSIFIERS``, are functions from a value's
+    column to whether it has a shape; each gives a column ``<name>_ratio``.
+
     Values are counted first, so entropy and distinct counts come from one
     partial aggregate and no value list is ever collected.
     """
+    classifiers = CLASSIFIERS if classifiers is None else classifiers
     some = F.col("value").isNotNull() & (F.col("value") != "")
     values = fields.groupBy(*COLUMN, F.col("normalized_value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     values = values.withColumn("n_some", F.when(some, F.col("n")).otherwise(0))
-    shapes = {k: F.coalesce(F.sum(F.when(f(F.col("value")), F.col("n_some"))), F.lit(0)) for k, f in CLASSIFIERS.items()}
+    shapes = {k: F.coalesce(F.sum(F.when(f(F.col("value")), F.col("n_some"))), F.lit(0)) for k, f in classifiers.items()}
     out = values.groupBy(*COLUMN).agg(
         F.sum("n").cast("long").alias("total_count"),
         F.sum("n_some").cast("long").alias("non_empty_count"),
@@ -112,19 +116,19 @@ def analyze_columns(fields: DataFrame) -> DataFrame:
     entropy = F.when(F.col("unique_count") > 1, (F.log2(n) - F.col("_nlogn") / n) / F.log2("unique_count")).otherwise(0.0)
     uniqueness = share(F.col("unique_count"))
     few = (n >= 5) & (uniqueness <= 0.3) & (F.col("unique_count") <= 15)
-    status = F.when(F.col("_status") > 0, share(F.col("_status"))).when(few, 0.3).otherwise(0.0)
+    status = F.when(F.col("_status") > 0, share(F.col("_status"))).when(few, 0.3).otherwise(0.0) if "status" in classifiers else None
     return out.select(
         *COLUMN, "total_count", "non_empty_count", "unique_count", uniqueness.alias("uniqueness"),
         F.when(F.col("total_count") > 0, (F.col("total_count") - n) / F.col("total_count")).otherwise(0.0).alias("null_ratio"),
         share(F.col("_chars")).alias("average_length"), entropy.alias("entropy"),
-        *((status if k == "status" else share(F.col(f"_{k}"))).alias(f"{k}_ratio") for k in CLASSIFIERS),
+        *((status if k == "status" else share(F.col(f"_{k}"))).alias(f"{k}_ratio") for k in classifiers),
     )
 
 
-def classifier_evidence(fields: DataFrame, most: int = 3) -> DataFrame:
+def classifier_evidence(fields: DataFrame, most: int = 3, classifiers: dict | None = None) -> DataFrame:
     """``upload_id, column_index, classifier, evidence``: the first different values, by row, that each classifier takes; at most ``most``."""
     values = fields.filter(F.col("normalized_value") != "").groupBy(*COLUMN, F.col("normalized_value").alias("value")).agg(F.min("row_number").alias("first_row"))
-    kinds = F.filter(F.array(*(F.when(f(F.col("value")), F.lit(k)) for k, f in CLASSIFIERS.items())), lambda k: k.isNotNull())
+    kinds = F.filter(F.array(*(F.when(f(F.col("value")), F.lit(k)) for k, f in (CLASSIFIERS if classifiers is None else classifiers).items())), lambda k: k.isNotNull())
     found = values.select(*COLUMN, "value", "first_row", F.explode(kinds).alias("classifier"))
     rank = F.row_number().over(W.partitionBy(*COLUMN, "classifier").orderBy("first_row", "value"))
     first = found.withColumn("rank", rank).filter(F.col("rank") <= most)
@@ -170,8 +174,12 @@ def dataset_kind(headers: DataFrame) -> DataFrame:
 SOURCE_WEIGHTS = {"header": 0.85, "knowledge": 0.97, "regex": 1.0, "pattern": 0.6}
 
 
-def signals(matches: DataFrame, columns: DataFrame) -> DataFrame:
-    """``upload_id, column_index, field_id, source, weight`` of all rules but the statistical one."""
+def signals(matches: DataFrame, columns: DataFrame, more: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
+    """``upload_id, column_index, field_id, source, weight`` of all rules but the statistical one.
+
+    ``more`` gives sources of the caller: for each, pairs of a field and the
+    column of ``columns`` that holds its weight, such as a classifier's ratio.
+    """
     key = [*COLUMN, "field_id"]
     header = matches.filter("match_type = 'fuzzy'").select(*key, F.lit("header").alias("source"), F.col("score").alias("weight"))
     known = matches.filter("match_type = 'exact_alias'").select(*key, F.lit("knowledge").alias("source"), F.lit(1.0).alias("weight"))
@@ -179,14 +187,22 @@ def signals(matches: DataFrame, columns: DataFrame) -> DataFrame:
     regex = shaped("regex", [("email", "email_ratio"), ("phone", "phone_ratio"), ("created_at", "date_ratio")])
     pattern = shaped("pattern", [("name", "name_ratio"), ("company", "company_ratio"), ("crm_status", "status_ratio")])
     places = matches.filter(F.col("field_id").isin("city", "state", "country")).join(columns, COLUMN).filter("location_ratio > 0").select(*key, F.lit("pattern").alias("source"), F.col("location_ratio").alias("weight"))
-    return header.unionByName(known).unionByName(regex).unionByName(pattern).unionByName(places)
+    found = header.unionByName(known).unionByName(regex).unionByName(pattern).unionByName(places)
+    for source, pairs in (more or {}).items():
+        found = found.unionByName(shaped(source, pairs))
+    return found
 
 
-def confidences(matches: DataFrame, columns: DataFrame, most: int = 5, least: float = 0.05) -> DataFrame:
-    """Noisy-or of all signals of a column and field, moved by value statistics; the ``most`` best fields."""
-    coefficient = F.create_map(*(x for k, w in SOURCE_WEIGHTS.items() for x in (F.lit(k), F.lit(w))))
-    order = F.create_map(*(x for i, k in enumerate(SOURCE_WEIGHTS) for x in (F.lit(k), F.lit(i))))
-    rows = signals(matches, columns).withColumn("_miss", 1 - text.clamp(F.col("weight") * F.element_at(coefficient, F.col("source"))))
+def confidences(matches: DataFrame, columns: DataFrame, most: int = 5, least: float = 0.05, weights: dict[str, float] | None = None, more: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
+    """Noisy-or of all signals of a column and field, moved by value statistics; the ``most`` best fields.
+
+    ``weights``, by default ``SOURCE_WEIGHTS``, say how much each source
+    counts, one that isn't there not at all; ``more`` as for ``signals``.
+    """
+    weights = SOURCE_WEIGHTS if weights is None else weights
+    coefficient = F.create_map(*(x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))))
+    order = F.create_map(*(x for i, k in enumerate(weights) for x in (F.lit(k), F.lit(i))))
+    rows = signals(matches, columns, more).filter(F.col("source").isin(*weights)).withColumn("_miss", 1 - text.clamp(F.col("weight") * F.element_at(coefficient, F.col("source"))))
     base = rows.groupBy(*COLUMN, "field_id").agg((1 - F.product("_miss")).alias("base"), F.min(F.element_at(order, F.col("source"))).alias("_rule"), F.array_sort(F.collect_set("source")).alias("evidence"))
     hinted = matches.select(*COLUMN, "field_id").distinct().withColumn("_hinted", F.lit(True))
     base = base.join(hinted, [*COLUMN, "field_id"], "left").join(columns.select(*COLUMN, "uniqueness", "non_empty_count"), COLUMN)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import batches, trust
-from ..sources import delimited
+from ..functions import rules, text
+from ..operators import batches, cells, semantic, trust
+from ..sources import delimited, large
+from ..sources.storage import shared_path
 from . import oracle as O
 from .leads import table
 from .queries import _RAW, raw_records
@@ -57,6 +58,19 @@ def header_repeats(spark, sf_dir):
     return datasets.select("upload_id", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("dup_flags", lambda x: x.cast("string")), "|").alias("repeated"))
 
 
+@query("""SELECT CAST(c_custkey % 4 AS INTEGER) AS part, CAST(row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) - 1 AS BIGINT) AS ordinal,
+  c_name || chr(10) || '"' || c_mktsegment || '"' || chr(10) || ',|' || CAST(c_custkey AS VARCHAR) || CASE WHEN c_custkey % 3 = 0 THEN '|5" pipe' ELSE '' END AS raw_cells FROM customer""")
+def split_files(spark, sf_dir):
+    """Files whose cells hold line ends, quotes and delimiters, written and read in ranges of some kilobytes."""
+    k = F.col("c_custkey")
+    line = F.concat(F.lit('"'), "c_name", F.lit('\n""'), "c_mktsegment", F.lit('""\n,", "'), k.cast("string"), F.lit('"'), F.when(k % 3 == 0, F.lit(',5" pipe')).otherwise(""))
+    rows = table(spark, sf_dir, "customer").select((k % 4).alias("part"), k, line.alias("value")).repartition("part").sortWithinPartitions("part", "c_custkey")
+    path = shared_path(spark, "split-files")
+    rows.select("part", "value").write.partitionBy("part").text(path)
+    got = large.read_large(spark, path, 1 << 12)
+    return got.select(F.regexp_extract("upload_id", r"part=(\d+)", 1).cast("int").alias("part"), "ordinal", F.array_join("raw_cells", "|").alias("raw_cells"))
+
+
 # records
 
 _NAMES = f"[{O.quoted(trust.FIELDS)}]"
@@ -159,20 +173,41 @@ def execution_metrics(spark, sf_dir):
 
 # answers
 
-_BROKEN = """case event_id % 6
-  when 0 then concat('{"said": "', event_type, '", "list": [1, 2,], "open": {"a": 1')
+_BROKEN = """case event_id % 12
+  when 0 then concat('{"said": "', event_type, '", "list": [1, 2,], "open": {"a": ', cast(event_id as string))
   when 1 then concat('{“said”: “', event_type, '”}')
-  when 2 then concat('{said: "', event_type, '", other: 2}')
+  when 2 then concat('{said: "', event_type, '", other: ', cast(event_id as string), '}')
   when 3 then concat('{"said": "', event_type, chr(9), 'x"')
   when 4 then concat('{"said": "', event_type, '"}')
-  else concat('nothing said of ', event_type) end"""
-
-
-@query("""SELECT event_id, event_id % 6 < 4 AS success, CASE event_id % 6 WHEN 0 THEN 'trailing_commas,unbalanced_brackets' WHEN 1 THEN 'smart_quotes' WHEN 2 THEN 'unquoted_keys' WHEN 3 THEN 'control_characters,unbalanced_brackets' ELSE '' END AS repairs,
-  CASE WHEN event_id % 6 = 3 THEN event_type || chr(9) || 'x' WHEN event_id % 6 < 3 THEN event_type END AS said FROM events""")
+  when 5 then concat('nothing said of ', event_type)
+  when 6 then concat('{"said": "', event_type, '’s ‘', cast(event_id as string), '’"}')
+  when 7 then concat('{said: NaN, id: ', cast(event_id as string), '}')
+  when 8 then concat('{"said": "', event_type, '\\\\q"}')
+  when 9 then concat('{"said": "', event_type)
+  when 10 then concat('[{"said": "', event_type, ', }"}, ]')
+  else concat('{"said": "', event_type, '"]') end"""
+
+_KEY = '{"said": "'
+
+
+@query(f"""WITH b AS (SELECT event_id, event_type AS t, CAST(event_id AS VARCHAR) AS i, event_id % 12 AS k FROM events)
+SELECT event_id, k NOT IN (4, 5, 6, 7, 11) AS success,
+  CASE k WHEN 0 THEN 'TRAILING_COMMA_REMOVED,UNBALANCED_BRACKETS_CLOSED' WHEN 1 THEN 'SMART_QUOTES_NORMALIZED' WHEN 2 THEN 'UNQUOTED_KEY_QUOTED' WHEN 3 THEN 'CONTROL_CHARACTER_ESCAPED,UNBALANCED_BRACKETS_CLOSED'
+    WHEN 7 THEN 'UNQUOTED_KEY_QUOTED' WHEN 8 THEN 'INVALID_ESCAPE_FIXED' WHEN 9 THEN 'UNTERMINATED_STRING_CLOSED,UNBALANCED_BRACKETS_CLOSED' WHEN 10 THEN 'TRAILING_COMMA_REMOVED' ELSE '' END AS repairs,
+  CASE k WHEN 0 THEN '{_KEY}' || t || '", "list": [1, 2], "open": {{"a": ' || i || '}}}}' WHEN 1 THEN '{_KEY}' || t || '"}}' WHEN 2 THEN '{_KEY}' || t || '", "other": ' || i || '}}' WHEN 3 THEN '{_KEY}' || t || '\tx"}}'
+    WHEN 7 THEN '{{"said": NaN, "id": ' || i || '}}' WHEN 8 THEN '{_KEY}' || t || '\\\\q"}}' WHEN 9 THEN '{_KEY}' || t || '"}}' WHEN 10 THEN '[{_KEY}' || t || ', }}"}} ]' END AS repaired FROM b""")
 def json_repair(spark, sf_dir):
     got = table(spark, sf_dir, "events").select("event_id", text.repair_json(F.expr(_BROKEN)).alias("r"))
-    return got.select("event_id", "r.success", F.array_join("r.repairs", ",").alias("repairs"), F.get_json_object("r.text", "$.said").alias("said"))
+    return got.select("event_id", "r.success", F.array_join("r.repairs", ",").alias("repairs"), F.col("r.text").alias("repaired"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'EMPTY_RESPONSE' WHEN 1 THEN 'SURROUNDING_TEXT_STRIPPED' WHEN 2 THEN 'MARKDOWN_CODE_BLOCK_STRIPPED' WHEN 3 THEN 'MARKDOWN_CODE_BLOCK_STRIPPED,SURROUNDING_TEXT_STRIPPED' WHEN 4 THEN 'JSON_PARSE_FAILED' ELSE '' END AS codes,
+  CASE event_id % 6 WHEN 0 THEN '' WHEN 4 THEN event_type ELSE '{"a": "' || event_type || '"}' END AS candidate FROM events""")
+def answer_parts(spark, sf_dir):
+    k, json = F.col("event_id") % 6, F.concat(F.lit('{"a": "'), "event_type", F.lit('"}'))
+    answer = F.when(k == 0, F.lit(" \n")).when(k == 1, F.concat(F.lit("So: "), json, F.lit(". Done"))).when(k == 2, F.concat(F.lit("Here:\n```JSON\n"), json, F.lit("\n```\nor [1]")))
+    answer = answer.when(k == 3, F.concat(F.lit("```\nthis is it: "), json, F.lit(" \n```"))).when(k == 4, F.col("event_type")).otherwise(F.concat(F.lit(" "), json))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(text.answer_diagnostics(answer), ",").alias("codes"), text.json_candidate(answer).alias("candidate"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'EMPTY_RESPONSE' WHEN 1 THEN 'JSON_PARSE_FAILED' END AS problem FROM events")
@@ -188,3 +223,68 @@ def cost_estimates(spark, sf_dir):
     prices = spark.createDataFrame([("user", 0.25, 1.5), ("assistant", 3.0, 0.125)], "model string, prompt_price double, completion_price double")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.estimate_tokens(F.col("text")).alias("prompt_tokens"), text.completion_tokens(F.col("turn")).alias("completion_tokens"))
     return text.with_cost(rows, prices, "role").select("conv_id", "turn", "prompt_tokens", "completion_tokens", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+# rules and classifiers of the caller
+
+
+def _key_of(value: str) -> str:
+    number = int(value.removeprefix("Customer#"))
+    if number % 10 == 0:
+        raise ValueError("a round number")
+    return str(number)
+
+
+CALLERS_RULES = [
+    rules.Rule("segment", lambda v: v.rlike("^[A-Z]+$"), lambda v: rules.outcome(F.lower(v), 0.9, [(v == "BUILDING", "OLD_SEGMENT", "no longer used")], F.when(v == "MACHINERY", F.lit("no such segment")))),
+    rules.python_rule("customer_key", lambda v: v.startswith("Customer#"), _key_of),
+    *rules.CONTENT,
+]
+
+
+@query("""WITH c AS (SELECT c_custkey AS row_number, 'c_name' AS header, c_name AS v, CAST(substr(c_name, 10) AS BIGINT) AS n FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment, NULL FROM customer),
+f AS (SELECT *, CASE WHEN header = 'c_name' THEN n % 10 = 0 ELSE v = 'MACHINERY' END AS failed FROM c)
+SELECT row_number, header, CASE WHEN failed THEN v WHEN header = 'c_name' THEN CAST(n AS VARCHAR) ELSE lower(v) END AS normalized_value, CASE WHEN failed THEN '' WHEN header = 'c_name' THEN 'customer_key' ELSE 'segment' END AS applied,
+  CASE WHEN failed THEN 'failed' WHEN v = 'BUILDING' THEN 'warning' ELSE 'normalized' END AS status, CASE WHEN failed THEN 0.0 WHEN header = 'c_name' THEN 1.0 ELSE 0.9 END::DOUBLE AS confidence,
+  CASE WHEN failed THEN 'NORMALIZATION_RULE_ERROR' WHEN v = 'BUILDING' THEN 'OLD_SEGMENT' ELSE '' END AS codes FROM f""")
+def callers_rules(spark, sf_dir):
+    rows = cells.to_cells(table(spark, sf_dir, "customer"), "c_custkey", ["c_name", "c_mktsegment"])
+    got = cells.normalize_cells(rows, compose=False, content=CALLERS_RULES)
+    return got.select("row_number", "header", "normalized_value", F.array_join("applied_rules", ",").alias("applied"), "status", "confidence", F.array_join("warnings.code", ",").alias("codes"))
+
+
+@query("""WITH c AS (SELECT 'c_name' AS header, c_name AS v FROM customer UNION ALL SELECT 'c_mktsegment', lower(c_mktsegment) FROM customer WHERE c_mktsegment <> 'MACHINERY' UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY')
+SELECT header, CAST(count(*) AS BIGINT) AS total_count, round(count(*) FILTER (regexp_matches(v, '^[a-z]+$')) / count(*), 9)::DOUBLE AS small_ratio, round(count(*) FILTER (regexp_matches(v, '[05]$')) / count(*), 9)::DOUBLE AS round_ratio FROM c GROUP BY header""")
+def callers_classifiers(spark, sf_dir):
+    rows = cells.to_cells(table(spark, sf_dir, "customer"), "c_custkey", ["c_name", "c_mktsegment"])
+    fields = cells.normalize_cells(rows, compose=False, content=[CALLERS_RULES[0]])
+    got = semantic.analyze_columns(fields, {"small": lambda v: v.rlike("^[a-z]+$"), "round": lambda v: v.rlike("[05]$")})
+    header = F.element_at(F.array(F.lit("c_name"), F.lit("c_mktsegment")), F.col("column_index") + 1)
+    return got.select(header.alias("header"), "total_count", F.round("small_ratio", 9).alias("small_ratio"), F.round("round_ratio", 9).alias("round_ratio"))
+
+
+#: Countries of the fixture and others: calling code and the first digits of a number that its plan has.
+_NUMBERS = [("213", "551"), ("54", "911"), ("55", "119"), ("86", "139"), ("39", "061"), ("254", "712"), ("7", "912"), ("966", "501"), ("84", "912"), ("44", "712"), ("1", "2125"), ("962", "790"), ("999", "555")]
+_LENGTHS = {"213": 9, "54": 11, "55": 11, "86": 11, "39": 10, "254": 9, "7": 10, "966": 9, "84": 9, "44": 10, "1": 10, "962": 9, "999": 9}
+
+
+@query(f"""WITH p(i, code, lead_, n) AS (VALUES {', '.join(f"({i}, '{c}', '{d}', {_LENGTHS[c]})" for i, (c, d) in enumerate(_NUMBERS))}),
+d AS (SELECT c_custkey AS row_number, code, lead_ || lpad(CAST(c_custkey AS VARCHAR), CAST(n - length(lead_) AS INTEGER), '7') AS national, c_custkey % 4 = 3 AS long, code <> '999' AND c_custkey % 4 <> 3 AS ok FROM customer JOIN p ON c_custkey % {len(_NUMBERS)} = i),
+e AS (SELECT *, CASE WHEN long THEN national || '1234' ELSE national END AS said FROM d)
+SELECT row_number, CASE WHEN ok THEN '+' || code || said ELSE code || said END AS value, CASE WHEN ok THEN '+' || code END AS country_code, CASE WHEN ok THEN said ELSE code || said END AS national_number, CASE WHEN ok THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence
+FROM e WHERE length(code || said) <= 15""")
+def phone_plans(spark, sf_dir):
+    k = F.col("c_custkey")
+    plans = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(d).alias("lead_"), F.lit(_LENGTHS[c] - len(d)).alias("rest")) for c, d in _NUMBERS))
+    rows = table(spark, sf_dir, "customer").select(k.alias("row_number"), F.get(plans, (k % len(_NUMBERS)).cast("int")).alias("p"))
+    said = F.concat(F.lit("+"), "p.code", F.lit(" "), "p.lead_", F.lit("-"), F.expr("lpad(cast(row_number as string), p.rest, '7')"), F.when(F.col("row_number") % 4 == 3, F.lit("1234")).otherwise(""))
+    rows = rows.withColumn("parts", rules.phone_parts(said)).filter(rules.applies_phone(F.col("parts"))).withColumn("o", rules.phone_rule(F.col("parts")))
+    return rows.select("row_number", "o.value", "o.details.phone.country_code", "o.details.phone.national_number", "o.confidence")
+
+
+_MARKED = "concat(c_name, 'e\u0301 A\u030a \u200b', case when c_custkey % 2 = 0 then 'o\u0323\u0302' else '\u1112\u1161\u11ab' end, chr(7), c_mktsegment)"
+
+
+@query(f"SELECT c_custkey AS row_number, regexp_replace(nfc_normalize({_MARKED}), '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{FEFF}}]|[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS composed FROM customer")
+def composed_text(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_number"), rules.unicode_rule(F.expr(_MARKED), compose=True).alias("composed"))

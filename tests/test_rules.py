@@ -140,6 +140,11 @@ def test_read_ragged_file(spark, tmp_path):
 def test_json_repair(spark):
     got = values(spark, ['{a: 1,}', '{"a": "x\ny"', '{"ok": 1}', "nothing", None, '{"a": "b\\q"}'], text.repair_json)
     assert [(r.success, r.text) for r in got] == [(True, '{"a": 1}'), (True, '{"a": "x\\ny"}'), (False, None), (False, None), (False, None), (True, '{"a": "b\\\\q"}')]
+    got = values(spark, ['{"n": "O’Brien"}', "{a: NaN}", '{"a": "\\', '{"a": [1}', '{“a”: "x\x01"}'], text.repair_json)
+    assert [(r.success, r.text, r.repairs) for r in got] == [
+        (False, None, []), (False, '{"a": NaN}', ["UNQUOTED_KEY_QUOTED"]), (False, '{"a": "\\"}', ["UNTERMINATED_STRING_CLOSED", "UNBALANCED_BRACKETS_CLOSED"]),
+        (False, '{"a": [1}}', ["UNBALANCED_BRACKETS_CLOSED"]), (False, '{"a": "x\x01"}', ["SMART_QUOTES_NORMALIZED"]),
+    ]
 
 
 def test_trust_takes_repairs_before_rules(spark):
