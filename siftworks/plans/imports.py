@@ -194,7 +194,7 @@ _KEY = '{"said": "'
 SELECT event_id, k NOT IN (4, 5, 6, 7, 11) AS success,
   CASE k WHEN 0 THEN 'TRAILING_COMMA_REMOVED,UNBALANCED_BRACKETS_CLOSED' WHEN 1 THEN 'SMART_QUOTES_NORMALIZED' WHEN 2 THEN 'UNQUOTED_KEY_QUOTED' WHEN 3 THEN 'CONTROL_CHARACTER_ESCAPED,UNBALANCED_BRACKETS_CLOSED'
     WHEN 7 THEN 'UNQUOTED_KEY_QUOTED' WHEN 8 THEN 'INVALID_ESCAPE_FIXED' WHEN 9 THEN 'UNTERMINATED_STRING_CLOSED,UNBALANCED_BRACKETS_CLOSED' WHEN 10 THEN 'TRAILING_COMMA_REMOVED' ELSE '' END AS repairs,
-  CASE k WHEN 0 THEN '{_KEY}' || t || '", "list": [1, 2], "open": {{"a": ' || i || '}}}}' WHEN 1 THEN '{_KEY}' || t || '"}}' WHEN 2 THEN '{_KEY}' || t || '", "other": ' || i || '}}' WHEN 3 THEN '{_KEY}' || t || '\tx"}}'
+  CASE k WHEN 0 THEN '{_KEY}' || t || '", "list": [1, 2], "open": {{"a": ' || i || '}}}}' WHEN 1 THEN '{_KEY}' || t || '"}}' WHEN 2 THEN '{_KEY}' || t || '", "other": ' || i || '}}' WHEN 3 THEN '{_KEY}' || t || '\\tx"}}'
     WHEN 7 THEN '{{"said": NaN, "id": ' || i || '}}' WHEN 8 THEN '{_KEY}' || t || '\\\\q"}}' WHEN 9 THEN '{_KEY}' || t || '"}}' WHEN 10 THEN '[{_KEY}' || t || ', }}"}} ]' END AS repaired FROM b""")
 def json_repair(spark, sf_dir):
     got = table(spark, sf_dir, "events").select("event_id", text.repair_json(F.expr(_BROKEN)).alias("r"))
