@@ -30,20 +30,20 @@ _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 DIGITS = 9
 
 
-def group_terms(docs: DataFrame, most: int = 100_000) -> DataFrame:
+def group_terms(docs: DataFrame, most: int = 300_000) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences of each term in a group and documents that hold it; no shuffle but the sum's.
 
     A group has a row of the empty term, which no text holds, so that groups
-    without terms are there, too. A task holds ``most`` terms at a time.
+    without terms are there, too. A task holds some ``most`` terms at a time.
     """
+    one, most_docs = 1 << 40, 1 << 20  # documents are counted above the occurrences, in one integer a term
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: dict = defaultdict(Counter)
-        held: dict = defaultdict(Counter)
+        held: dict = defaultdict(dict)
+        seen = 0
 
         def rows() -> pd.DataFrame:
-            out = [(*group, term, count, held[group][term]) for group, terms in n.items() for term, count in terms.items()]
-            n.clear()
+            out = [(*group, term, both % one, both // one) for group, terms in held.items() for term, both in terms.items()]
             held.clear()
             frame = pd.DataFrame(out, columns=["lang", "source", "term", "n", "docs"])
             frame["term"] = [t.decode(errors="replace") for t in frame["term"]]
@@ -51,14 +51,16 @@ def group_terms(docs: DataFrame, most: int = 100_000) -> DataFrame:
 
         for pdf in batches:
             for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"], strict=True):
-                found = Counter(text.encode().translate(_TERMS).split())
-                group = (lang, source)
-                n[group].update(found)
-                held[group].update(found.keys())
-                n[group][b""] = 0
-            if sum(map(len, n.values())) > most:
+                own = held[lang, source]
+                own[b""] = 0
+                get = own.get
+                for term, count in Counter(text.encode().translate(_TERMS).split()).items():
+                    own[term] = get(term, 0) + count + one
+            seen += len(pdf)
+            if seen >= most_docs or sum(map(len, held.values())) > most:
                 yield rows()
-        if n:
+                seen = 0
+        if held:
             yield rows()
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
