@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import batches, cells, semantic, trust
+from ..operators import batches, cells, incremental, semantic, trust
 from ..sources import delimited, large
-from ..sources.storage import shared_path
+from ..sources.storage import shared_path, stored
 from . import oracle as O
 from .leads import table
 from .queries import _RAW, raw_records
@@ -130,7 +130,7 @@ rs AS (SELECT *, 'import-batch-' || CAST(i AS VARCHAR) AS batch_id, CASE WHEN i
 def import_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The reconciled batches of the leads and their validated records; every seventh batch has no result."""
     records = batches.assign_batches(trust.run_trust(raw_records(spark, sf_dir)), 25)
-    records = records.select("row_number", "batch_id", "batch_index", "approval_status").cache()  # used for the batches and for each split
+    records = stored(records.select("row_number", "batch_id", "batch_index", "approval_status"), "import-records")  # used for the batches and for each split
     made = records.groupBy("batch_id", "batch_index").agg(F.count(F.lit(1)).alias("record_count"))
     i = F.col("batch_index")
     codes = lambda holds, code: F.when(holds, F.array(F.lit(code))).otherwise(F.array().cast("array<string>"))
@@ -171,6 +171,20 @@ def execution_metrics(spark, sf_dir):
     return got.select("batch_count", "completed_count", "failed_count", "record_count", "cost_usd", "elapsed_ms", "busy_ms", *rounded, F.round("remaining_ms", 6).alias("remaining_ms"))
 
 
+@query(_RAW + "SELECT CAST(count(*) AS BIGINT) AS record_count, CAST(count(*) FILTER (st = 'approved') AS BIGINT) AS approved_count, CAST(count(*) FILTER (st = 'needs_review') AS BIGINT) AS needs_review_count, CAST(count(*) FILTER (st = 'rejected') AS BIGINT) AS rejected_count, CAST(count(*) FILTER (st = 'skipped') AS BIGINT) AS skipped_count, round(avg(rc), 6) AS average_confidence, round(avg(qs), 6) AS average_quality, CAST(sum(repairs) AS BIGINT) AS repair_count FROM z")
+def incremental_summary(spark, sf_dir):
+    """Batches that come out of order, twice, and once with numbers that a later run corrects."""
+    got = batches.assign_batches(trust.run_trust(raw_records(spark, sf_dir)), 25)
+    got = stored(got.select("batch_id", "batch_index", "approval_status", "repair_count", "quality_score", "record_confidence"), "incremental-records")
+    path, i = shared_path(spark, "incremental"), F.col("batch_index")
+    incremental.record_batches(got.filter(i % 3 > 0).withColumn("repair_count", F.col("repair_count") + F.when(i % 2 == 0, 1).otherwise(0)), path)
+    incremental.record_batches(got.filter(i % 2 == 0), path, version=2)
+    incremental.record_batches(got.filter(i % 3 == 0), path)
+    incremental.record_batches(got.filter(i % 2 == 1), path)
+    out = incremental.merged_summary(incremental.latest(spark, path))
+    return out.withColumns({c: F.round(c, 6) for c in ("average_confidence", "average_quality")})
+
+
 # answers
 
 _BROKEN = """case event_id % 12
