@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import batches, cells, incremental, semantic, trust
+from ..operators import batches, cells, closest, incremental, semantic, trust
 from ..sources import delimited, large
 from ..sources.storage import shared_path, stored
 from . import oracle as O
@@ -302,3 +302,17 @@ _MARKED = "concat(c_name, 'e\u0301 A\u030a \u200b', case when c_custkey % 2 = 0
 @query(f"SELECT c_custkey AS row_number, regexp_replace(nfc_normalize({_MARKED}), '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{FEFF}}]|[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS composed FROM customer")
 def composed_text(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_number"), rules.unicode_rule(F.expr(_MARKED), compose=True).alias("composed"))
+
+
+_TYPED = "case p_partkey % 5 when 0 then split_part(p_name, ' ', 2) when 1 then substr(split_part(p_name, ' ', 2), 2) when 2 then concat(split_part(p_name, ' ', 2), 'xyz') when 3 then concat(replace(split_part(p_name, ' ', 2), 'i', 'e'), 'o') else p_name end"
+
+
+@query(f"""WITH w AS (SELECT term, min(doc_id) AS place FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+')) AS term FROM documents) GROUP BY term HAVING length(term) <= 24),
+v AS (SELECT DISTINCT {_TYPED} AS value FROM part), d AS (SELECT value, term, place, levenshtein(regexp_replace(lower(trim(value)), '[\\s-]+', '_', 'g'), term) AS d FROM v, w),
+b AS (SELECT value, min(struct_pack(d := d, place := place, term := term)) AS b FROM d WHERE d <= 3 GROUP BY value)
+SELECT v.value, b.term AS closest, CAST(b.d AS INTEGER) AS distance FROM v LEFT JOIN b USING (value)""")
+def closest_words(spark, sf_dir):
+    """Misspelled words and the closest of all words of the documents."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("term")).filter(F.length("term") <= 24)
+    words = words.groupBy("term").agg(F.min("doc_id").alias("place"))
+    return closest.closest_terms(table(spark, sf_dir, "part").select(F.expr(_TYPED).alias("value")), words)
