@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import detect, text
 from ..functions import vocabulary as V
+from .similar import similar_names
 
 COLUMN = ["upload_id", "column_index"]
 
@@ -30,25 +31,33 @@ def alias_table(spark: SparkSession, extra: dict[str, list[str]] | None = None)
     return rows.groupBy("alias", "field_id").agg(F.min("alias_order").alias("alias_order"))
 
 
-def match_headers(headers: DataFrame, threshold: float = 0.45, most: int = 3, extra: dict[str, list[str]] | None = None) -> DataFrame:
+def match_headers(headers: DataFrame, threshold: float = 0.45, most: int = 3, extra: dict[str, list[str]] | None = None, registry: DataFrame | None = None) -> DataFrame:
     """``upload_id, column_index, normalized`` with candidates ``field_id, score, match_type, matched_alias``.
 
     Exact aliases, and only where there are none, the best similar alias of
-    each field from ``threshold`` on, the ``most`` best fields.
+    each field from ``threshold`` on, the ``most`` best fields. ``registry``
+    (``alias, field_id, alias_order``, aliases as ``header_name`` gives them)
+    takes the place of the fixed list and of ``extra``; it may have any size,
+    is never broadcast by a hint, and only aliases that pass the filters of
+    ``similar_names`` are compared.
     """
     names = headers.select("upload_id", "column_index", "normalized")
-    aliases = F.broadcast(alias_table(headers.sparkSession, extra))
+    aliases = F.broadcast(alias_table(headers.sparkSession, extra)) if registry is None else registry.groupBy("alias", "field_id").agg(F.min("alias_order").alias("alias_order"))
     exact = names.join(aliases, names["normalized"] == aliases["alias"]).select("upload_id", "column_index", "normalized", "field_id", F.lit(1.0).alias("score"), F.lit("exact_alias").alias("match_type"), F.col("alias").alias("matched_alias"), "alias_order")
     rest = names.join(aliases.select("alias"), names["normalized"] == F.col("alias"), "left_anti")
-    # a generator over the fixed list of aliases, inside each header's row
-    entries: dict[tuple[str, str], int] = {}
-    for i, (alias, field) in enumerate(_pairs(extra)):
-        entries.setdefault((re.sub(r"[\W_]+", "_", alias.lower()).strip("_"), field), i)
-    listed = F.array(*(F.struct(F.lit(i).alias("alias_order"), F.lit(a).alias("alias"), F.lit(f).alias("field_id")) for (a, f), i in entries.items()))
-    scored = rest.withColumn("e", F.explode(listed)).withColumn("score", text.dice(F.col("normalized"), F.col("e.alias"))).filter(F.col("score") >= threshold)
-    best = scored.withColumn("_n", F.row_number().over(W.partitionBy(*COLUMN, "e.field_id").orderBy(F.col("score").desc(), "e.alias_order"))).filter("_n = 1")
-    first = F.min("e.alias_order").over(W.partitionBy(*COLUMN, "e.field_id"))
-    top = best.withColumn("_first", first).withColumn("_n", F.row_number().over(W.partitionBy(*COLUMN).orderBy(F.col("score").desc(), "_first"))).filter(F.col("_n") <= most)
+    if registry is None:
+        # a generator over the fixed list of aliases, inside each header's row
+        entries: dict[tuple[str, str], int] = {}
+        for i, (alias, field) in enumerate(_pairs(extra)):
+            entries.setdefault((re.sub(r"[\W_]+", "_", alias.lower()).strip("_"), field), i)
+        listed = F.array(*(F.struct(F.lit(i).alias("alias_order"), F.lit(a).alias("alias"), F.lit(f).alias("field_id")) for (a, f), i in entries.items()))
+        scored = rest.withColumn("e", F.explode(listed)).withColumn("score", text.dice(F.col("normalized"), F.col("e.alias"))).filter(F.col("score") >= threshold)
+    else:
+        near = similar_names(rest.select(F.col("normalized").alias("name")), aliases, threshold)
+        scored = rest.join(near, F.col("normalized") == F.col("name")).join(aliases, "alias").select("upload_id", "column_index", "normalized", F.struct("alias_order", "alias", "field_id").alias("e"), "score")
+    of_field = W.partitionBy(*COLUMN, "e.field_id")
+    best = scored.withColumns({"_first": F.min("e.alias_order").over(of_field), "_n": F.row_number().over(of_field.orderBy(F.col("score").desc(), "e.alias_order"))}).filter("_n = 1")
+    top = best.withColumn("_n", F.row_number().over(W.partitionBy(*COLUMN).orderBy(F.col("score").desc(), "_first"))).filter(F.col("_n") <= most)
     fuzzy = top.select("upload_id", "column_index", "normalized", F.col("e.field_id").alias("field_id"), "score", F.lit("fuzzy").alias("match_type"), F.col("e.alias").alias("matched_alias"), F.col("e.alias_order").alias("alias_order"))
     return exact.unionByName(fuzzy)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import batches, cells, closest, incremental, semantic, trust
+from ..operators import answers, batches, cells, closest, incremental, ledger, semantic, trust
 from ..sources import delimited, large
 from ..sources.storage import shared_path, stored
 from . import oracle as O
@@ -161,6 +161,24 @@ def import_outcome(spark, sf_dir):
     return out
 
 
+@query(_BATCHES + """SELECT st AS part, batch_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(row_number) AS BIGINT) AS total, '' AS code FROM z JOIN rs ON CAST(floor((z.row_number - 1) / 25) AS BIGINT) + 1 = rs.i WHERE rs.status = 'completed' GROUP BY ALL
+UNION ALL SELECT 'failed', batch_id, 1, CAST(record_count AS BIGINT), status FROM rs WHERE status <> 'completed'
+UNION ALL SELECT 'issues', batch_id, 1, NULL, 'error ' || errors FROM rs WHERE errors <> '' UNION ALL SELECT 'issues', batch_id, 1, NULL, 'warning ' || warnings FROM rs WHERE warnings <> ''""")
+def outcome_ledger(spark, sf_dir):
+    """The outcome of an import, written twice in one pass each, read back by part."""
+    made, records = import_batches(spark, sf_dir)
+    path, one = shared_path(spark, "ledger"), F.lit(1).cast("long")
+    ledger.write_outcome(made, records.filter("row_number % 2 = 0"), path, "leads")
+    ledger.write_outcome(made, records, path, "leads", version=2)
+    read = lambda part, schema: ledger.read_part(spark, path, part, schema)
+    out = read("failed", made.schema).select(F.lit("failed").alias("part"), "batch_id", one.alias("n"), F.col("record_count").alias("total"), F.col("status").alias("code"))
+    out = out.unionByName(read("issues", "").select(F.lit("issues").alias("part"), "batch_id", one.alias("n"), F.lit(None).cast("long").alias("total"), F.concat_ws(" ", "severity", "code").alias("code")))
+    for part in ledger.STATUSES:
+        got = read(part, records.schema).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sum("row_number").cast("long").alias("total"))
+        out = out.unionByName(got.select(F.lit(part).alias("part"), "batch_id", "n", "total", F.lit("").alias("code")))
+    return out
+
+
 @query(_BATCHES + """SELECT CAST(count(*) AS BIGINT) AS batch_count, CAST(count(*) FILTER (status = 'completed') AS BIGINT) AS completed_count, CAST(count(*) FILTER (status <> 'completed') AS BIGINT) AS failed_count, CAST(sum(record_count) AS BIGINT) AS record_count,
   sum(c)::DOUBLE AS cost_usd, CAST(max(e) - min(s) AS BIGINT) AS elapsed_ms, CAST(sum(e - s) AS BIGINT) AS busy_ms, round(least(1, sum(e - s) / ((max(e) - min(s)) * 8)), 9)::DOUBLE AS utilization,
   round(sum(record_count) / ((max(e) - min(s)) / 1000), 9)::DOUBLE AS records_per_second, round(count(*) FILTER (status = 'completed') / count(*) * 100, 9)::DOUBLE AS percent_complete,
@@ -239,6 +257,32 @@ def cost_estimates(spark, sf_dir):
     return text.with_cost(rows, prices, "role").select("conv_id", "turn", "prompt_tokens", "completion_tokens", F.round("cost_usd", 9).alias("cost_usd"))
 
 
+def _provider(prompt: str) -> str:
+    number, keys = prompt.removeprefix("batch ").split(":")
+    if int(number) % 5 == 0:
+        raise TimeoutError("no answer in time")
+    if int(number) % 7 == 0:
+        return "I don't know"
+    listed = ", ".join(f'{{"key": {k}, "twice": {2 * int(k)}}}' for k in keys.split(","))
+    return f"Here it is:\n```json\n[{listed}]\n```"
+
+
+@query("""WITH b AS (SELECT c_custkey // 25 AS i, count(*) AS n, sum(2 * c_custkey) AS total FROM customer GROUP BY 1)
+SELECT CAST(i AS VARCHAR) AS batch_id, CASE WHEN i % 5 = 0 OR i % 7 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN i % 5 = 0 THEN 'PROVIDER_ERROR' WHEN i % 7 = 0 THEN 'JSON_PARSE_FAILED' ELSE '' END AS problem,
+  CASE WHEN i % 5 = 0 THEN '' WHEN i % 7 = 0 THEN 'JSON_PARSE_FAILED' ELSE 'MARKDOWN_CODE_BLOCK_STRIPPED' END AS diagnostics, CAST(CASE WHEN i % 5 = 0 OR i % 7 = 0 THEN 0 ELSE n END AS INTEGER) AS record_count, CAST(CASE WHEN i % 5 <> 0 AND i % 7 <> 0 THEN total END AS BIGINT) AS total FROM b""")
+def resumed_answers(spark, sf_dir):
+    """Batches of customers, asked about in two runs of which the second asks for the rest."""
+    b = F.floor(F.col("c_custkey") / 25).cast("long")
+    rows = table(spark, sf_dir, "customer").groupBy(b.alias("b")).agg(F.array_sort(F.collect_list("c_custkey")).alias("keys"))
+    prompts = rows.select(F.col("b").cast("string").alias("batch_id"), F.format_string("batch %s:%s", F.col("b").cast("string"), F.array_join(F.col("keys").cast("array<string>"), ",")).alias("prompt"))
+    path = shared_path(spark, "answers-kept")
+    answers.ask(prompts.filter("batch_id % 2 = 0"), _provider, path)
+    answers.ask(prompts, _provider, path, attempt=2)
+    got = answers.split_answers(answers.answered(prompts, path), "struct<key:long,twice:long>")
+    sums = got["records"].groupBy("batch_id").agg(F.sum("twice").alias("total"))
+    return got["report"].join(sums, "batch_id", "left").select("batch_id", "status", F.coalesce("problem", F.lit("")).alias("problem"), F.array_join("diagnostics", ",").alias("diagnostics"), "record_count", "total")
+
+
 # rules and classifiers of the caller
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions import vocabulary as V
-from ..operators import profile, semantic
+from ..operators import profile, semantic, similar
 from . import oracle as O
 from .leads import LEADS, leads, table
 from .queries import lead_fields
@@ -57,6 +58,39 @@ def header_ambiguity(spark, sf_dir):
     return semantic.header_ambiguity(semantic.match_headers(headers(spark, sf_dir))).select("upload_id", "column_index", "top_field", "is_ambiguous")
 
 
+_REGISTRY = """al AS (SELECT replace(p_name, ' ', '_') AS alias, p_type AS field_id, min(p_partkey) AS alias_order FROM part GROUP BY 1, 2),
+n AS (SELECT p_brand AS upload_id, p_partkey AS column_index, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '_') ELSE split_part(p_name, ' ', 2) || '_' || split_part(p_name, ' ', 1) END AS normalized FROM part),
+d AS (SELECT DISTINCT normalized FROM n WHERE normalized NOT IN (SELECT alias FROM al)),
+g AS (SELECT normalized, alias, list_transform(range(1, length(normalized)), lambda i: normalized[i:i+1]) AS x, list_transform(range(1, length(alias)), lambda i: alias[i:i+1]) AS y FROM d, (SELECT DISTINCT alias FROM al)),
+z AS (SELECT normalized, alias, 2.0 * list_sum(list_transform(list_distinct(x), lambda b: least(len(list_filter(x, lambda c: c = b)), len(list_filter(y, lambda c: c = b))))) / (len(x) + len(y)) AS score FROM g),
+b AS (SELECT n.*, al.*, score, row_number() OVER (PARTITION BY upload_id, column_index, field_id ORDER BY score DESC, alias_order) AS k, min(alias_order) OVER (PARTITION BY upload_id, column_index, field_id) AS f FROM n JOIN z USING (normalized) JOIN al USING (alias) WHERE score >= 0.45),
+t AS (SELECT *, row_number() OVER (PARTITION BY upload_id, column_index ORDER BY score DESC, f) AS j FROM b WHERE k = 1)
+SELECT upload_id, column_index, normalized, field_id, 1.0::DOUBLE AS score, 'exact_alias' AS match_type, alias AS matched_alias FROM n JOIN al ON normalized = alias
+UNION ALL SELECT upload_id, column_index, normalized, field_id, round(score::DOUBLE, 9), 'fuzzy', alias FROM t WHERE j <= 3"""
+
+
+@query("WITH " + _REGISTRY)
+def registry_match(spark, sf_dir):
+    """Headers made of the parts' names, some turned round, against a registry of all names by type."""
+    part = table(spark, sf_dir, "part")
+    registry = part.select(text.header_name(F.col("p_name")).alias("alias"), F.col("p_type").alias("field_id"), F.col("p_partkey").alias("alias_order"))
+    turned = F.regexp_replace("p_name", r"^(\S+) (\S+)$", "$2 $1")
+    names = part.select(F.col("p_brand").alias("upload_id"), F.col("p_partkey").alias("column_index"), text.header_name(F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(turned)).alias("normalized"))
+    got = semantic.match_headers(names, registry=registry)
+    return got.select("upload_id", "column_index", "normalized", "field_id", F.round("score", 9).alias("score"), "match_type", "matched_alias")
+
+
+@query("""WITH a AS (SELECT DISTINCT w AS alias FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents)), p AS (SELECT DISTINCT replace(p_name, ' ', '') AS name FROM part),
+g AS (SELECT *, list_transform(range(1, length(name)), lambda i: name[i:i+1]) AS x, list_transform(range(1, length(alias)), lambda i: alias[i:i+1]) AS y FROM p, a WHERE length(name) > 1 AND length(alias) > 1),
+z AS (SELECT name, alias, 2.0 * list_sum(list_transform(list_distinct(x), lambda b: least(len(list_filter(x, lambda c: c = b)), len(list_filter(y, lambda c: c = b))))) / (len(x) + len(y)) AS score FROM g)
+SELECT name, alias, round(score::DOUBLE, 9) AS score FROM z WHERE score >= 0.45""")
+def similar_words(spark, sf_dir):
+    """All words of the documents that are similar to a part's name."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("alias"))
+    got = similar.similar_names(table(spark, sf_dir, "part").select(F.regexp_replace("p_name", " ", "").alias("name")), words)
+    return got.select("name", "alias", F.round("score", 9).alias("score"))
+
+
 _KINDS = "w(place, kind, word) AS (VALUES " + ", ".join(f"({i}, '{k}', '{word}')" for i, (k, words) in enumerate(V.DATASET_KINDS.items()) for word in words) + ")"
 
 
