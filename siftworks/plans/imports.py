@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import answers, batches, cells, closest, incremental, ledger, semantic, trust
-from ..sources import delimited, large
+from ..sources import datasource, delimited, large
 from ..sources.storage import shared_path, stored
 from . import oracle as O
 from .leads import table
@@ -71,6 +71,22 @@ def split_files(spark, sf_dir):
     return got.select(F.regexp_extract("upload_id", r"part=(\d+)", 1).cast("int").alias("part"), "ordinal", F.array_join("raw_cells", "|").alias("raw_cells"))
 
 
+@query("""SELECT CAST(c_custkey % 4 AS INTEGER) AS part, CAST(row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) AS BIGINT) AS row_number, CAST(c_custkey AS VARCHAR) AS key, c_name || ';"x"' AS name,
+  CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment || ' ' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 5 = 0 THEN 'recovered' ELSE 'ok' END AS status FROM customer""")
+def source_files(spark, sf_dir):
+    """Files written by line and read through the data source in ranges of some kilobytes; every seventh leaves a quote open."""
+    k = F.col("c_custkey")
+    line = F.concat(k.cast("string"), F.lit(';"'), "c_name", F.lit(';""x"""'), F.lit(";"), F.when(k % 5 == 0, F.concat("c_mktsegment", F.when(k % 7 == 0, F.lit(" ")).otherwise(""), F.lit(";more"))).when(k % 7 == 0, F.concat(F.lit('"'), "c_mktsegment", F.lit(" "))).otherwise(F.col("c_mktsegment")))
+    rows = table(spark, sf_dir, "customer").select((k % 4).cast("int").alias("part"), k, line.alias("value"))
+    heads = rows.select("part").distinct().select("part", F.lit(-1).cast("long").alias("c_custkey"), F.lit("key;name;segment\n;;").alias("value"))
+    path = shared_path(spark, "source-files")
+    rows.select("part", k.cast("long"), "value").unionByName(heads).repartition("part").sortWithinPartitions("part", "c_custkey").select("part", "value").write.partitionBy("part").text(path)
+    records = spark.read.format(datasource.register(spark)).option("multiline", "false").option("range_bytes", 1 << 14).load(path)
+    _, got = delimited.parse(records)
+    cell = lambda i: F.get("cells", F.lit(i))
+    return got.select(F.regexp_extract("upload_id", r"part=(\d+)", 1).cast("int").alias("part"), "row_number", cell(0).alias("key"), cell(1).alias("name"), cell(2).alias("segment"), "status")
+
+
 # records
 
 _NAMES = f"[{O.quoted(trust.FIELDS)}]"
