@@ -82,7 +82,7 @@ def source_files(spark, sf_dir):
     path = shared_path(spark, "source-files")
     rows.select("part", k.cast("long"), "value").unionByName(heads).repartition("part").sortWithinPartitions("part", "c_custkey").select("part", "value").write.partitionBy("part").text(path)
     records = spark.read.format(datasource.register(spark)).option("multiline", "false").option("range_bytes", 1 << 14).load(path)
-    _, got = delimited.parse(records)
+    _, got = delimited.parse(stored(records, "source-records"))  # read by Python once, not once for each of the heads, counts and rows
     cell = lambda i: F.get("cells", F.lit(i))
     return got.select(F.regexp_extract("upload_id", r"part=(\d+)", 1).cast("int").alias("part"), "row_number", cell(0).alias("key"), cell(1).alias("name"), cell(2).alias("segment"), "status")
 
