@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ PHONE = r"^[+()\-.\s\d]+\z"
 NUMERIC = r"^(?:[+-]?\$)?,*[+-]?,*\d[\d,]*(?:\.,*\d[\d,]*)?%?\z"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trim(value: Column) -> Column:
     """Without white space, Unicode's included, at both ends; most values have none there and skip the pattern."""
     clean = F.ascii(value).between(33, 126) & F.ascii(F.right(value, F.lit(1))).between(33, 126)

@@ -68,7 +68,8 @@ def completion_tokens(records: Column, each: int = 60) -> Column:
 
 def answer_problem(text: Column) -> Column:
     """``EMPTY_RESPONSE`` or ``JSON_PARSE_FAILED`` of an answer, or null."""
-    return F.when(detect.trim(F.coalesce(text, F.lit(""))) == "", "EMPTY_RESPONSE").when(F.try_parse_json(json_candidate(text)).isNull(), "JSON_PARSE_FAILED")
+    said = lambda t: F.when(F.coalesce(t, F.lit("")) == "", "EMPTY_RESPONSE").when(F.try_parse_json(_isolated(_unfenced(t))).isNull(), "JSON_PARSE_FAILED")
+    return detect.let(detect.trim(text), said)
 
 
 def round_half_up(value: Column) -> Column:
@@ -89,36 +90,46 @@ def header_name(header: Column) -> Column:
     return F.when(bare == "", F.lit("column")).otherwise(bare)
 
 
-def _unfenced(text: Column) -> Column:
-    """The first fenced block of an answer, trimmed, else the trimmed answer."""
-    t = detect.trim(text)
-    return F.when(t.rlike(FENCE), detect.trim(F.regexp_extract(t, FENCE, 1))).otherwise(t)
+def _unfenced(trimmed: Column) -> Column:
+    """The first fenced block of a trimmed answer, trimmed, else the answer."""
+    return F.when(trimmed.rlike(FENCE), detect.let(F.regexp_extract(trimmed, FENCE, 1), detect.trim)).otherwise(trimmed)
 
 
 def _isolated(inner: Column) -> Column:
     """From the first opening bracket to the last closing one of its kind; all of it where there are none."""
-    brace, bracket = F.locate("{", inner), F.locate("[", inner)
-    first = F.when(brace == 0, bracket).when(bracket == 0, brace).otherwise(F.least(brace, bracket))
-    closer = F.when(F.substring(inner, first, F.lit(1)) == "{", F.lit("}")).otherwise(F.lit("]"))
-    last = F.length(inner) - F.when(closer == "}", F.locate("}", F.reverse(inner))).otherwise(F.locate("]", F.reverse(inner))) + 1
-    found = (first > 1) & inner.contains(closer) & (last >= first)
-    return F.when(found, F.substring(inner, first, last - first + 1)).otherwise(inner)
+
+    def between(inner: Column, first: Column) -> Column:
+        closer = F.when(F.substring(inner, first, F.lit(1)) == "{", F.lit("}")).otherwise(F.lit("]"))
+        last = F.length(inner) - F.when(closer == "}", F.locate("}", F.reverse(inner))).otherwise(F.locate("]", F.reverse(inner))) + 1
+        return detect.let(last, lambda last: F.when((first > 1) & inner.contains(closer) & (last >= first), F.substring(inner, first, last - first + 1)).otherwise(inner))
+
+    def opened(brace: Column, bracket: Column) -> Column:
+        return F.when(brace == 0, bracket).when(bracket == 0, brace).otherwise(F.least(brace, bracket))
+
+    return detect.let(inner, lambda i: detect.let(opened(F.locate("{", i), F.locate("[", i)), lambda first: between(i, first)))
 
 
 def json_candidate(text: Column) -> Column:
     """What may be JSON in an answer: the first fenced block, else all of it, without prose around the brackets."""
-    return _isolated(_unfenced(text))
+    return detect.let(detect.trim(text), lambda t: _isolated(_unfenced(t)))
 
 
 def answer_diagnostics(text: Column) -> Column:
-    """Codes of what was taken off an answer, and of what is wrong with the rest."""
-    inner = _unfenced(text)
-    blank = detect.trim(F.coalesce(text, F.lit(""))) == ""
-    codes = F.array(
-        F.when(blank, "EMPTY_RESPONSE"), F.when(detect.trim(text).rlike(FENCE), "MARKDOWN_CODE_BLOCK_STRIPPED"),
-        F.when(_isolated(inner) != inner, "SURROUNDING_TEXT_STRIPPED"), F.when(~blank & F.try_parse_json(_isolated(inner)).isNull(), "JSON_PARSE_FAILED"),
-    )
-    return F.filter(codes, lambda c: c.isNotNull())
+    """Codes of what was taken off an answer, and of what is wrong with the rest.
+
+    Each step is evaluated once: an expression that names the one before
+    several times would repeat all of it, at every step anew.
+    """
+
+    def codes(trimmed: Column, inner: Column, candidate: Column) -> Column:
+        blank = F.coalesce(trimmed, F.lit("")) == ""
+        return F.array(
+            F.when(blank, "EMPTY_RESPONSE"), F.when(trimmed.rlike(FENCE), "MARKDOWN_CODE_BLOCK_STRIPPED"),
+            F.when(candidate != inner, "SURROUNDING_TEXT_STRIPPED"), F.when(~blank & F.try_parse_json(candidate).isNull(), "JSON_PARSE_FAILED"),
+        )
+
+    listed = detect.let(detect.trim(text), lambda t: detect.let(_unfenced(t), lambda i: detect.let(_isolated(i), lambda c: codes(t, i, c))))
+    return F.filter(listed, lambda c: c.isNotNull())
 
 
 def _no_constant(name: str):

@@ -10,7 +10,7 @@ from ..operators import answers, batches, cells, closest, incremental, ledger, s
 from ..sources import datasource, delimited, large
 from ..sources.storage import shared_path, stored
 from . import oracle as O
-from .leads import table
+from .leads import spread, table
 from .queries import _RAW, raw_records
 from .registry import query
 
@@ -255,14 +255,14 @@ def answer_parts(spark, sf_dir):
     k, json = F.col("event_id") % 6, F.concat(F.lit('{"a": "'), "event_type", F.lit('"}'))
     answer = F.when(k == 0, F.lit(" \n")).when(k == 1, F.concat(F.lit("So: "), json, F.lit(". Done"))).when(k == 2, F.concat(F.lit("Here:\n```JSON\n"), json, F.lit("\n```\nor [1]")))
     answer = answer.when(k == 3, F.concat(F.lit("```\nthis is it: "), json, F.lit(" \n```"))).when(k == 4, F.col("event_type")).otherwise(F.concat(F.lit(" "), json))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(text.answer_diagnostics(answer), ",").alias("codes"), text.json_candidate(answer).alias("candidate"))
+    return spread(table(spark, sf_dir, "events"), "event_id").select("event_id", F.array_join(text.answer_diagnostics(answer), ",").alias("codes"), text.json_candidate(answer).alias("candidate"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'EMPTY_RESPONSE' WHEN 1 THEN 'JSON_PARSE_FAILED' END AS problem FROM events")
 def answer_problems(spark, sf_dir):
     k = F.col("event_id") % 4
     answer = F.when(k == 0, F.lit(" \n")).when(k == 1, F.concat("event_type", F.lit(': {"a": 1'))).when(k == 2, F.concat(F.lit('So: {"a": "'), "event_type", F.lit('"}.'))).otherwise(F.concat(F.lit('```json\n{"a": "'), "event_type", F.lit('"}\n```')))
-    return table(spark, sf_dir, "events").select("event_id", text.answer_problem(answer).alias("problem"))
+    return spread(table(spark, sf_dir, "events"), "event_id").select("event_id", text.answer_problem(answer).alias("problem"))
 
 
 @query("""WITH p(model, a, b) AS (VALUES ('user', 0.25, 1.5), ('assistant', 3.0, 0.125)), t AS (SELECT conv_id, turn, role, CAST(ceil(length(text) / 4) AS BIGINT) AS prompt_tokens, CAST(greatest(turn, 0) * 60 AS BIGINT) AS completion_tokens FROM conversations)

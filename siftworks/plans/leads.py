@@ -31,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to twice as many tasks as there are cores, or to all shuffle partitions.
+
+    A file of few bytes is read by one task, which would then do all the work
+    on its rows; rows are cheap to move before that work, not after.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     # subqueries for the tables' names, so that no view of the session is replaced
     text = LEADS
