@@ -46,4 +46,4 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = LEADS
     for name in ("customer", "nation"):
         text = text.replace(f"from {name} ", f"from {{{name}}} {name} ").replace(f"join {name} ", f"join {{{name}}} {name} ")
-    return spark.sql(text, customer=table(spark, sf_dir, "customer"), nation=table(spark, sf_dir, "nation"))
+    return spark.sql(text, customer=spread(table(spark, sf_dir, "customer"), "c_custkey"), nation=table(spark, sf_dir, "nation"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siftworks.functions import text
+from siftworks.plans import leads
 
 
 def planned(df):
@@ -13,3 +14,7 @@ def test_steps_of_an_answer_are_not_repeated(spark):
     got = spark.createDataFrame([("So: [1] or",)], "a string").select(F.array_join(text.answer_diagnostics(F.col("a")), ",").alias("codes"), text.json_candidate(F.col("a")).alias("candidate"), text.answer_problem(F.col("a")).alias("problem"))
     assert tuple(got.first()) == ("SURROUNDING_TEXT_STRIPPED", "[1]", None)
     assert planned(got).count("regexp_extract") <= 3  # one for each of the three; thousands when each step repeats the one before
+
+
+def test_leads_are_dealt_to_all_cores(spark, sf_dir):
+    assert leads.leads(spark, sf_dir).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
