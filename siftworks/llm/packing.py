@@ -10,6 +10,7 @@ windows of powers of two, which need no padding either.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -41,10 +42,19 @@ class WordEncoder:
         self.tok, self.most = load_tokenizer(path), most
         self.end = end.to_bytes(4, "little")
         special = {token.content: number for number, token in self.tok.get_added_tokens_decoder().items() if token.special}
-        self.marks = tuple(special)
-        self.mark, self.mark_id = max(special.items(), key=lambda x: x[1], default=("", -1))
+        self.mark, self.mark_id = self._sign() or max(special.items(), key=lambda x: x[1], default=("", -1))
+        self.odd = re.compile("|".join(map(re.escape, {*special, self.mark.strip(" ")} - {""})) or "(?!)").search
         self.words: dict[str, bytes] = {"": b""}
 
+    def _sign(self) -> tuple[str, int] | None:
+        """A sign that, between blanks, is one token: it keeps words apart at half the cost of a special token."""
+        ids = lambda text: self.tok.encode(text, add_special_tokens=False).ids
+        a = ids("a")
+        for sign in "|~^\\":
+            if len(ids(sign)) == 1 and a.count(ids(sign)[0]) == 0 and ids(f"a {sign} a") == [*a, *ids(sign), *a]:
+                return f" {sign} ", ids(sign)[0]
+        return None
+
     @classmethod
     def shared(cls, path: str, end: int, most: int) -> WordEncoder:
         """The one of this Python worker, which keeps its words from task to task."""
@@ -53,11 +63,11 @@ class WordEncoder:
         return cls._made[path, end, most]
 
     def _learn(self, words: list[str], size: int = 4096) -> list[str]:
-        """Encode new ``words``, many in one call, kept apart by a special token; words that hold such a token go alone."""
-        odd = [w for w in words if any(m in w for m in self.marks)] if self.mark else words
+        """Encode new ``words``, many in one call, kept apart by a sign; words that hold it or a special token go alone."""
+        odd = list(filter(self.odd, words)) if self.mark else words
         for word, ids in encode_unseen(self.tok, odd.copy()):
             self.words[word] = pack_ids(ids)
-        plain = [w for w in words if not any(m in w for m in self.marks)] if self.mark else []
+        plain = ([w for w in words if not self.odd(w)] if odd else words) if self.mark else []
         for at in range(0, len(plain), size):
             part = plain[at : at + size]
             ids = np.array(self.tok.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from siftworks.functions import text
+from siftworks.llm import packing
+from siftworks.llm.common import load_tokenizer, tokenizer_path
 from siftworks.plans import leads
 
 
@@ -18,3 +20,12 @@ def test_steps_of_an_answer_are_not_repeated(spark):
 
 def test_leads_are_dealt_to_all_cores(spark, sf_dir):
     assert leads.leads(spark, sf_dir).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_words_are_kept_apart_by_a_plain_sign():
+    path = tokenizer_path("word_bpe_49k.json")
+    coder, tok = packing.WordEncoder(path, 2), load_tokenizer(path)
+    assert coder.mark.strip() not in {t.content for t in tok.get_added_tokens_decoder().values()}
+    special = next(t.content for t in tok.get_added_tokens_decoder().values())
+    texts = ["it's | a|b ||", f"x{special}y {special} z", "́a é ΣΑΣ İI", "\t \x0b.  b　c", "don't 'twas 12 3.4 中文!?", "~ ^ ` \\ a~b", ""]
+    assert list(coder.encode(texts)) == [packing.pack_ids([*tok.encode(t, add_special_tokens=False).ids, 2]) for t in texts]
