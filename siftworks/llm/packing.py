@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, encode_unseen, load_tokenizer, staged, tokenizer_path
 
+#: Words of Latin letters and punctuation, without digits and apostrophes: cheap steps split them as the usual patterns do.
+_LETTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]"
+_plain = re.compile(f"{_LETTERS}+").fullmatch
+
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -45,6 +49,7 @@ class WordEncoder:
         self.mark, self.mark_id = self._sign() or max(special.items(), key=lambda x: x[1], default=("", -1))
         self.odd = re.compile("|".join(map(re.escape, {*special, self.mark.strip(" ")} - {""})) or "(?!)").search
         self.words: dict[str, bytes] = {"": b""}
+        self.twin = self._twin()
 
     def _sign(self) -> tuple[str, int] | None:
         """A sign that, between blanks, is one token: it keeps words apart at half the cost of a special token."""
@@ -55,6 +60,23 @@ class WordEncoder:
                 return f" {sign} ", ids(sign)[0]
         return None
 
+    def _twin(self):
+        """The same model behind steps without patterns, for plain words in lower case; None unless it agrees on all pairs of their signs.
+
+        Whether two signs stand in one token's word depends on no others there, so pairs tell.
+        """
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        if not _plain(self.mark.strip(" ")):
+            return None
+        twin = Tokenizer.from_str(self.tok.to_str())
+        twin.normalizer = None
+        twin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Punctuation("contiguous"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        signs = re.findall(_LETTERS, "".join(map(chr, range(256))))
+        pairs = [self.mark.join(a + b for b in signs) for a in signs]
+        ids = lambda tok, texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return twin if ids(self.tok, pairs) == ids(twin, [p.lower() for p in pairs]) else None
+
     @classmethod
     def shared(cls, path: str, end: int, most: int) -> WordEncoder:
         """The one of this Python worker, which keeps its words from task to task."""
@@ -67,15 +89,19 @@ class WordEncoder:
         odd = list(filter(self.odd, words)) if self.mark else words
         for word, ids in encode_unseen(self.tok, odd.copy()):
             self.words[word] = pack_ids(ids)
-        plain = ([w for w in words if not self.odd(w)] if odd else words) if self.mark else []
-        for at in range(0, len(plain), size):
-            part = plain[at : at + size]
-            ids = np.array(self.tok.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4
-            packed, begin = ids.tobytes(), 0
-            for word, stop in zip(part, ends.tolist(), strict=True):
-                self.words[word] = packed[begin:stop]
-                begin = stop + 4
+        even = ([w for w in words if not self.odd(w)] if odd else words) if self.mark else []
+        easy = list(filter(_plain, even)) if self.twin else []
+        rest = [w for w in even if not _plain(w)] if easy else even
+        for tok, some in ((self.twin, easy), (self.tok, rest)):
+            for at in range(0, len(some), size):
+                part = some[at : at + size]
+                line = self.mark.join(part)
+                ids = np.array(tok.encode_batch_fast([line.lower() if tok is self.twin else line], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4
+                packed, begin = ids.tobytes(), 0
+                for word, stop in zip(part, ends.tolist(), strict=True):
+                    self.words[word] = packed[begin:stop]
+                    begin = stop + 4
         return words
 
     def encode(self, texts: list[str], budget: int = 1 << 21) -> Iterator[bytes]:

@@ -1,5 +1,7 @@
 """Plans stay small, and work is dealt to many tasks whatever the files are cut into."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from siftworks.functions import text
@@ -29,3 +31,14 @@ def test_words_are_kept_apart_by_a_plain_sign():
     special = next(t.content for t in tok.get_added_tokens_decoder().values())
     texts = ["it's | a|b ||", f"x{special}y {special} z", "́a é ΣΑΣ İI", "\t \x0b.  b　c", "don't 'twas 12 3.4 中文!?", "~ ^ ` \\ a~b", ""]
     assert list(coder.encode(texts)) == [packing.pack_ids([*tok.encode(t, add_special_tokens=False).ids, 2]) for t in texts]
+
+
+def test_plain_words_take_the_cheap_steps():
+    path = tokenizer_path("word_bpe_49k.json")
+    coder, tok = packing.WordEncoder(path, 2), load_tokenizer(path)
+    signs = [chr(i) for i in range(33, 0x250)]
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choices(signs if n % 3 else signs[:94], k=draw.randint(1, 9))) for _ in range(300)) for n in range(30)]
+    assert list(coder.encode(texts)) == [packing.pack_ids([*tok.encode(t, add_special_tokens=False).ids, 2]) for t in texts]
+    coder.tok = None
+    assert list(coder.encode(["Émile (a-b), C++... ÀÖß"])) == [packing.pack_ids([*tok.encode("Émile (a-b), C++... ÀÖß", add_special_tokens=False).ids, 2])]
