@@ -14,8 +14,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that share 0.8 of their five-word shingles one stays, that of the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of texts with fingerprints three bits apart or less, or that share 0.8 of their five-word shingles, one stays, that of the smallest id."""
+    return simhash.drop_near_duplicates(docs, radius=3)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ bound. No pair becomes a row but the links of a spanning forest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -259,18 +259,20 @@ def _candidates(docs: DataFrame, percent: int, shingle: int, share: float) -> Da
     return met.groupBy("sid").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("sid")
 
 
-def similar_sets(docs: DataFrame, percent: int = 80, shingle: int = 5, share: float = 0.4, label: str = "ngrams", row: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows, ``doc_id, row, n, key, salt``, and links ``a, b`` of keys that connect all sets that reach ``percent``; both staged.
+def similar_sets(docs: DataFrame, percent: int = 80, shingle: int = 5, share: float = 0.4, label: str = "ngrams", row: Column | None = None, mark: Callable[[bytes], int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows, ``doc_id, row, n, key, mark, salt``, and links ``a, b`` of keys that connect all sets that reach ``percent``; both staged.
 
     ``row`` is a binary column of ``docs``, null if not given; ``salt``
-    differs from row to row.
+    differs from row to row; ``mark`` is that function of the text, null if
+    not given.
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = _sets_of(pdf, shingle)
             keys = list(map(_name, sets))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "said": pdf["said"], "n": list(map(len, sets)), "key": keys, "sid": list(map(_short, keys))})
+            marks = pd.array([None] * len(pdf) if mark is None else [mark(t.encode()) for t in pdf["text"]], "Int64")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "said": pdf["said"], "n": list(map(len, sets)), "key": keys, "sid": list(map(_short, keys)), "mark": marks})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -280,7 +282,7 @@ def similar_sets(docs: DataFrame, percent: int = 80, shingle: int = 5, share: fl
     said = F.unhex(F.sha2(text, 256)).alias("said")
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     rows = bounded_batches(docs.select(doc_id, (F.lit(None).cast("binary") if row is None else row).alias("row"), said, text.alias("text")))
-    rows = rows.mapInPandas(sign, "doc_id long, row binary, said binary, n long, key binary, sid long").withColumn("salt", F.monotonically_increasing_id())
+    rows = rows.mapInPandas(sign, "doc_id long, row binary, said binary, n long, key binary, sid long, mark long").withColumn("salt", F.monotonically_increasing_id())
     rows = staged(rows, f"{label}-rows")
 
     # the sets that may have a partner, read from one row each; a join by text and id, so that the copies of a text are dealt to many tasks
@@ -306,7 +308,7 @@ def similar_sets(docs: DataFrame, percent: int = 80, shingle: int = 5, share: fl
     found = forest(edges)
     cluster = found.unionByName(tops.join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
     clusters = staged(sets.join(cluster, F.col("sid") == F.col("node")).select(F.col("root").alias("cluster"), "key", "own"), f"{label}-clustered")
-    return rows.select("doc_id", "row", "n", "key", "salt"), cluster_links(clusters, percent, label)
+    return rows.select("doc_id", "row", "n", "key", "mark", "salt"), cluster_links(clusters, percent, label)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5, share: float = 0.4) -> DataFrame:

@@ -13,7 +13,8 @@ buckets are cut into strips of the first coordinates.
 
 Similar texts (``similar_components``) are another matter: fingerprints three
 bits apart don't tell a similarity of 0.8, so their links are those of the
-exact n-gram join (``ngrams``).
+exact n-gram join (``ngrams``). ``drop_near_duplicates`` takes the links of
+both where it is given a radius: none of either is lost.
 """
 
 from __future__ import annotations
@@ -188,12 +189,29 @@ def _row_digest(docs: DataFrame) -> Column:
     return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), rest, F.lit(" "), F.col("text").isNull().cast("string"), F.coalesce("text", F.lit(""))), 256))
 
 
-def _similar_roots(docs: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+def _signed(text: bytes) -> int:
+    return int(np.uint64(simhash(text)).view(np.int64))
+
+
+def _print_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links ``a, b`` of the ``key`` of ``rows`` that connect all whose fingerprints, ``mark``, differ in ``radius`` bits or fewer."""
+    named = staged(rows.groupBy(F.col("mark").alias("fp"), "key").agg(F.count(F.lit(1)).alias("m")), "similar-prints")
+    distinct = staged(named.groupBy("fp").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("keys")), "similar-heads")
+    same = join_lookup(named.select("fp", "key"), distinct, "fp", "keys", ["key"]).filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    head = lambda end: distinct.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
+    near = near_links(distinct, radius).join(head("a"), "a").join(head("b"), "b").filter("a_head <> b_head")
+    return staged(same.unionByName(near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))), "similar-print-links")
+
+
+def _similar_roots(docs: DataFrame, percent: int, shingle: int, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows, ``doc_id, row, key, salt`` (digests of row and set), and of each set ``key, m, best, root``.
 
     ``m`` rows have the set, ``best`` is the first of them by id and digest.
+    With a ``radius``, fingerprints link too.
     """
-    rows, links = ngrams.similar_sets(docs, percent, shingle, label="similar", row=_row_digest(docs))
+    rows, links = ngrams.similar_sets(docs, percent, shingle, label="similar", row=_row_digest(docs), mark=None if radius is None else _signed)
+    if radius is not None:
+        links = links.unionByName(_print_links(rows, radius))
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     sets = rows.groupBy("key").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("m"))
     sets = sets.join(forest(links), F.col("key") == F.col("node"), "left").select("key", "m", "best", F.coalesce("root", "key").alias("root"))
@@ -214,14 +232,17 @@ def similar_components(docs: DataFrame, percent: int = 80, shingle: int = 5) ->
     return join_lookup(rows, named, "key", "m", ["salt"]).select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, radius: int | None = None) -> DataFrame:
     """One row of ``docs`` for each component of similar texts: that of its smallest id.
 
+    With a ``radius``, texts whose fingerprints differ in so many bits or
+    fewer are linked as well, whatever share of shingles they have in common.
+
     Nulls come last among the ids; rows of one id go by their digest, which
     covers text and all other columns, so the choice is the same in every
     run. Other rows of that id stay or go with their own component.
     """
-    _, sets = _similar_roots(docs, percent, shingle)
+    _, sets = _similar_roots(docs, percent, shingle, radius)
     (row,) = unused(docs, "_row")
     kept = sets.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
     return docs.withColumn(row, _row_digest(docs)).join(kept, row, "left_semi").dropDuplicates([row]).select(*(f"`{c}`" for c in docs.columns))

@@ -105,3 +105,21 @@ def test_similar_texts_meet(spark):
     texts = [" ".join(base), " ".join([*base[:150], "x", *base[150:]]), " ".join([*base[:100], *base[110:]]), " ".join(f"v{i}" for i in range(300)), "", None, "a b", "a b c"]
     got = {r.doc_id: r.component_id for r in simhash.similar_components(documents(spark, texts)).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+def test_near_duplicates_are_those_of_fingerprints_and_of_shingles(spark, sf_dir):
+    # one word over and over, with an end of its own: equal fingerprints, few shingles in common
+    texts = [" ".join(["on"] * 40 + [f"{c}{i}" for i in range(6)]) for c in "abc"]
+    texts += [" ".join(f"w{i}" for i in range(n)) for n in (104, 87)]  # 0.83 of the shingles
+    texts += [" ".join(f"v{i}" for i in range(9)), "on", "a b"]
+    docs = documents(spark, texts)
+    fps = [simhash.simhash(t.encode()) for t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= 3 and (fps[3] ^ fps[4]).bit_count() > 3
+    root = list(range(len(texts)))
+    for i, t in enumerate(texts):
+        for j in range(i):
+            a, b = shingles(t), shingles(texts[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or 5 * len(a & b) >= 4 * len(a | b):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert root[:5] == [0, 0, 0, 3, 3]
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == set(root)
