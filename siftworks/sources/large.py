@@ -29,6 +29,8 @@ from .storage import stored
 LINE_END = re.compile(r"\r\n|\r|\n")
 #: Rows of the table of ranges up to which it is broadcast; beyond, the lines are numbered and sorted into their ranges.
 MOST_RANGES = 100_000
+#: Bytes of small ranges that one task may take, once there are more ranges than twice the cores.
+TASK_BYTES = 128 << 20
 
 
 def record_ends(line: str, inside: bool, delimiter: str) -> tuple[list[int], bool]:
@@ -212,12 +214,19 @@ def _splits(spark: SparkSession, size: int):
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
+def _grouped(lines: DataFrame, range_bytes: int) -> DataFrame:
+    """``lines`` with many small ranges a task: each stays whole and in order, none costs a task's start."""
+    spark = lines.sparkSession
+    ranges = lines.rdd.getNumPartitions()
+    return lines.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-ranges * range_bytes // TASK_BYTES), 1))
+
+
 def read_large(spark: SparkSession, path: str, range_bytes: int = 128 << 20, most_ranges: int = MOST_RANGES) -> DataFrame:
     """``upload_id, ordinal, raw_cells, delimiter, encoding, block`` of all files at ``path``, for ``parse``; of no limited size.
 
     The rows are those of ``read_records``, stored in the shared folder.
-    Ranges of about ``range_bytes`` are tasks of their own; they end at line
-    feeds, so a file whose lines end in carriage returns alone is one range.
+    Files are cut into ranges of about ``range_bytes``, of which a task takes
+    one or, where they are many and small, several; they end at line feeds, so a file whose lines end in carriage returns alone is one range.
     Only the pieces of a record that goes over ranges meet in one task. Files
     in UTF-16 are read whole. A table of more than ``most_ranges`` ranges is
     not broadcast but joined to the lines by range.
@@ -229,6 +238,7 @@ def read_large(spark: SparkSession, path: str, range_bytes: int = 128 << 20, mos
             F.regexp_replace(F.make_valid_utf8("value"), "^\ufeff", "").alias("line"), (F.octet_length("value") + 1).cast("long").alias("n_bytes"), F.col("_metadata.file_size").alias("file_bytes"),
             F.when(F.hex(F.substring(raw, 1, 2)).isin("FFFE", "FEFF"), F.hex(F.substring(raw, 1, 2))).when(F.hex(F.substring(raw, 1, 3)) == "EFBBBF", "EFBBBF").otherwise("").alias("mark"),
         )
+        lines = _grouped(lines, range_bytes)
         made = lines.mapInPandas(_summaries, "upload_id string, block long, states array<boolean>, ends array<long>, n_bytes long, file_bytes long, head array<array<int>>, mark string")
         known = made.groupBy("upload_id").applyInPandas(_composed, "upload_id string, block long, inside boolean, before long, delimiter string, encoding string, mark string, open_end boolean")
         known = stored(known, "large-ranges")

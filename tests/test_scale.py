@@ -8,6 +8,7 @@ from siftworks.functions import text
 from siftworks.llm import packing
 from siftworks.llm.common import load_tokenizer, tokenizer_path
 from siftworks.plans import leads
+from siftworks.sources import large
 
 
 def planned(df):
@@ -42,3 +43,13 @@ def test_plain_words_take_the_cheap_steps():
     assert list(coder.encode(texts)) == [packing.pack_ids([*tok.encode(t, add_special_tokens=False).ids, 2]) for t in texts]
     coder.tok = None
     assert list(coder.encode(["Émile (a-b), C++... ÀÖß"])) == [packing.pack_ids([*tok.encode("Émile (a-b), C++... ÀÖß", add_special_tokens=False).ids, 2])]
+
+
+def test_small_ranges_share_a_task(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("".join(f'{i},"a\n{i}"\n' for i in range(5000)))
+    with large._splits(spark, 512):
+        lines = spark.read.text(str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 100
+        assert large._grouped(lines, 512).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    got = large.read_large(spark, str(tmp_path), 512).collect()
+    assert sorted((r.ordinal, *r.raw_cells) for r in got) == [(i, str(i), f"a\n{i}") for i in range(5000)]
