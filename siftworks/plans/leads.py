@@ -31,14 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task works on.
+TASK_ROWS = 25_000
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` to twice as many tasks as there are cores, or to all shuffle partitions.
+    """``df`` dealt by ``keys`` to tasks of some ``TASK_ROWS`` rows, to twice as many tasks as there are cores at least, or to all shuffle partitions.
 
     A file of few bytes is read by one task, which would then do all the work
-    on its rows; rows are cheap to move before that work, not after.
+    on its rows; rows are cheap to move before that work, not after. The
+    number of tasks grows with the rows, so time and memory of one don't.
     """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(max(least, -(-df.count() // TASK_ROWS)), *keys)
 
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:

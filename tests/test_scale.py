@@ -1,13 +1,16 @@
 """Plans stay small, and work is dealt to many tasks whatever the files are cut into."""
 
 import random
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftworks.functions import text
 from siftworks.llm import packing
 from siftworks.llm.common import load_tokenizer, tokenizer_path
-from siftworks.plans import leads
+from siftworks.plans import imports, leads, queries, semantics  # noqa: F401  (they register their queries)
+from siftworks.plans.registry import QUERIES
 from siftworks.sources import large
 
 
@@ -25,6 +28,25 @@ def test_leads_are_dealt_to_all_cores(spark, sf_dir):
     assert leads.leads(spark, sf_dir).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
 
 
+#: Queries that do all their work on leads.
+ON_LEADS = ["normalize_cells"]
+
+
+@pytest.mark.parametrize("name", ON_LEADS)
+def test_tasks_of_leads_grow_with_the_rows(spark, sf_dir, monkeypatch, name):
+    rows = leads.table(spark, sf_dir, "customer").count()
+    monkeypatch.setattr(leads, "TASK_ROWS", 10)
+    group, sc = uuid.uuid4().hex, spark.sparkContext
+    sc.setJobGroup(group, name)
+    try:
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= rows / 10 > 2 * sc.defaultParallelism
+
+
 def test_words_are_kept_apart_by_a_plain_sign():
     path = tokenizer_path("word_bpe_49k.json")
     coder, tok = packing.WordEncoder(path, 2), load_tokenizer(path)
