@@ -29,7 +29,7 @@ def test_leads_are_dealt_to_all_cores(spark, sf_dir):
 
 
 #: Queries that do all their work on leads.
-ON_LEADS = ["normalize_cells", "batch_summaries", "trust_records", "import_outcome", "enum_warnings", "extract_records", "decision_reasons"]
+ON_LEADS = ["normalize_cells", "batch_summaries", "trust_records", "import_outcome", "enum_warnings", "extract_records", "decision_reasons", "batch_results"]
 
 
 @pytest.mark.parametrize("name", ON_LEADS)
