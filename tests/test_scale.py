@@ -29,7 +29,7 @@ def test_leads_are_dealt_to_all_cores(spark, sf_dir):
 
 
 #: Queries that do all their work on leads.
-ON_LEADS = ["normalize_cells", "batch_summaries", "trust_records", "import_outcome", "enum_warnings", "extract_records", "decision_reasons", "batch_results", "business_rules", "incremental_summary", "column_semantics", "classifier_evidence", "execution_metrics", "outcome_ledger"]
+ON_LEADS = ["normalize_cells", "batch_summaries", "trust_records", "import_outcome", "enum_warnings", "extract_records", "decision_reasons", "batch_results", "business_rules", "incremental_summary", "column_semantics", "classifier_evidence", "execution_metrics", "outcome_ledger", "report_warnings"]
 
 
 @pytest.mark.parametrize("name", ON_LEADS)
